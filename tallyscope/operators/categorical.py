@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyscope import rules
 from tallyscope.functions.labels import concentration_label
 from tallyscope.plans.histogram import value_counts
-from tallyscope.plans.table import Table, field, join_on, table, unpivoted
+from tallyscope.plans.table import Table, join_on, quoted, table, unpivoted
 
 TOP_VALUES = 5
 DIGEST_LENGTH = 32
@@ -36,7 +36,7 @@ def sizes(t: Table) -> tuple[DataFrame, DataFrame | None]:
     parts = [counts.groupBy(*group).agg(*size)] if counted else []
     if wide:
         digest = (
-            t.df.select(unpivoted(t, wide, field))
+            t.df.select(unpivoted(t, wide, quoted))
             .where("value is not null")
             .withColumn(
                 "value",

@@ -16,9 +16,7 @@ from tallyscope.functions.probability import (
     polynomial,
 )
 from tallyscope.plans import quantiles as q
-from tallyscope.plans.table import Table, field, join_on, table, unpivoted, with_group_values
-
-LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
+from tallyscope.plans.table import Table, field, join_on, quoted, table, unpivoted, with_group_values
 
 # Royston (1995), algorithm AS R94, lowest power first.
 LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
@@ -50,12 +48,12 @@ def shapiro_wilk(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
     else:
         rows = with_group_values(t, t.df, counts)
 
-    def small_enough(c: str) -> Column:
-        value = field(c).cast("double")
+    def small_enough(c: str) -> str:
+        value = f"CAST({quoted(c)} AS DOUBLE)"
         if not t.by:
             return value
-        size = F.col("counts")[t.numeric.index(c)]
-        return F.when((size >= rules.MIN_SHAPE) & (size < rules.SHAPIRO_LIMIT), value)
+        size = f"counts[{t.numeric.index(c)}]"
+        return f"IF({size} >= {rules.MIN_SHAPE} AND {size} < {rules.SHAPIRO_LIMIT}, {value}, NULL)"
 
     values = rows.select(*t.keys, unpivoted(t, columns, small_enough)).where("value is not null")
     group = Window.partitionBy(*t.keys, "column")
@@ -63,7 +61,7 @@ def shapiro_wilk(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
     scored = (
         values.withColumn("n", F.count(F.lit(1)).over(group))
         .withColumn("i", F.row_number().over(group.orderBy("value")))
-        .withColumn("m", normal_quantile((i - 0.375) / (n + 0.25)))
+        .withColumn("m", normal_quantile("((i - 0.375D) / (n + 0.25D))"))
     )
     inner = (i > 2) & (i < n - 1)
 
@@ -81,13 +79,12 @@ def shapiro_wilk(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
         at(n, x).alias("x_last"),
         at(n - 1, x).alias("x_next"),
     )
-    u = 1 / F.sqrt(n)
+    u = "(1 / sqrt(n))"
     root = F.sqrt("mm")
-    ln_n = F.log(n)
     weighted = (
         sums.where("x_first < x_last")
-        .withColumn("a_last", F.col("m_last") / root + polynomial(LAST_WEIGHT, u))
-        .withColumn("a_next", F.col("m_next") / root + polynomial(NEXT_WEIGHT, u))
+        .withColumn("a_last", F.col("m_last") / root + F.expr(polynomial(LAST_WEIGHT, u)))
+        .withColumn("a_next", F.col("m_next") / root + F.expr(polynomial(NEXT_WEIGHT, u)))
         .withColumn(
             "eps",
             (F.col("mm") - 2 * F.pow("m_last", F.lit(2)) - 2 * F.pow("m_next", F.lit(2)))
@@ -99,7 +96,7 @@ def shapiro_wilk(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
         + F.col("a_next") * (F.col("x_next") - F.col("x_second"))
         + F.col("mx") / F.sqrt("eps")
     )
-    z = (F.log(1 - F.col("w")) - polynomial(LOG_MEAN, ln_n)) / F.exp(polynomial(LOG_SD, ln_n))
+    z = f"(ln(1 - w) - {polynomial(LOG_MEAN, 'ln(n)')}) / exp({polynomial(LOG_SD, 'ln(n)')})"
     return (
         weighted.withColumn("w", F.least(F.try_divide(top * top, F.col("ss")), F.lit(1.0)))
         .withColumn("p", F.when(F.col("w") >= 1, 1.0).otherwise(normal_upper_tail(z)))
@@ -113,12 +110,12 @@ def distributions(
     """Quantiles, kurtosis, normality test and shape label per numeric column."""
     t = table(df, by)
     stats = ["n", "min", "max", "skewness", "kurtosis"]
-    shape = q.moments_with_quantiles(t, t.numeric, stats, LEVELS, buffered_rows).where(
+    shape = q.moments_with_quantiles(t, t.numeric, stats, q.LEVELS, buffered_rows).where(
         (F.col("n") >= rules.MIN_SHAPE) & (F.col("min") < F.col("max"))
     )
     small = shapiro_wilk(t).select(*t.keys, "column", F.col("p").alias("shapiro_p"))
     shape = join_on(shape, small, [*t.by, "column"], "left")
-    large = dagostino_p(F.col("n"), F.col("skewness"), F.col("kurtosis"))
+    large = dagostino_p("n", "skewness", "kurtosis")
     p = F.when(F.col("n") < rules.SHAPIRO_LIMIT, F.col("shapiro_p")).otherwise(large)
     q05, q1, q2, q3, q95 = [F.col("q")[i] for i in range(5)]
     return (

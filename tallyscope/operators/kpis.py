@@ -4,126 +4,111 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope import rules
 from tallyscope.functions.labels import human_number
 from tallyscope.operators.schema import infer_types
 from tallyscope.plans.histogram import value_counts
-from tallyscope.plans.table import Table, field, join_on, table
+from tallyscope.plans.table import Table, inlined, join_on, quoted, table, text
 
 SEGMENT_RANGE = (2, 50)
 
 
 def entry(
-    seq: int,
     name: str,
-    value: Column,
-    formatted: Column,
-    source: str | Column,
+    value: str,
+    source: str,
     computation: str,
     confidence: float,
-    text: Column | None = None,
-    valid: Column | None = None,
-) -> Column:
-    source = F.lit(source) if isinstance(source, str) else source
-    return F.struct(
-        F.lit(seq).alias("seq"),
-        F.lit(name).alias("name"),
-        value.cast("double").alias("value"),
-        (F.lit(None).cast("string") if text is None else text).alias("text_value"),
-        formatted.alias("formatted_value"),
-        source.alias("source_column"),
-        F.lit(computation).alias("computation"),
-        F.lit(confidence).alias("confidence"),
-        (F.lit(True) if valid is None else valid).alias("valid"),
-    )
+    valid: str = "true",
+    currency: str = "false",
+    whole: bool = False,
+    shown: str = "CAST(NULL AS STRING)",
+    words: str = "CAST(NULL AS STRING)",
+) -> dict[str, object]:
+    """One candidate as SQL; ``shown`` replaces the usual number format."""
+    return {
+        "name": text(name),
+        "value": f"CAST({value} AS DOUBLE)",
+        "text_value": words,
+        "shown": shown,
+        "currency": currency,
+        "whole": str(whole).lower(),
+        "source_column": source,
+        "computation": text(computation),
+        "confidence": f"{confidence!r}D",
+        "valid": valid,
+    }
 
 
-def kpis(df: DataFrame | Table, limit: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """The ``limit`` most trusted key figures, ranked, one scan for all of them."""
-    t = table(df, by)
-    types = infer_types(t)
-    wanted: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    entries = [
-        entry(0, "Total Records", F.col("rows"), human_number(F.col("rows"), whole=True),
-              "_rows_", "count", 1.0, valid=F.col("rows") > 0)
-    ]
-
+def number_entries(t: Table, types: dict[str, str]) -> tuple[list[str], list[dict]]:
+    """Aggregates and candidates for numeric columns that look like money or counts."""
+    wanted, entries = [], []
     for c in [c for c in t.columns if types[c] == "numeric"]:
-        i = t.position[c]
-        title = rules.display_name(c)
-        total, mean, n = F.col(f"sum{i}"), F.col(f"mean{i}"), F.col(f"n{i}")
+        i, title, value = t.position[c], rules.display_name(c), f"CAST({quoted(c)} AS DOUBLE)"
         if rules.named_like(c, rules.REVENUE_NAME):
-            value = field(c).cast("double")
-            wanted += [
-                F.sum(value).alias(f"sum{i}"),
-                F.avg(value).alias(f"mean{i}"),
-                F.min(value).alias(f"min{i}"),
-                F.count(value).alias(f"n{i}"),
-            ]
-            lower = c.lower()
-            currency = F.lit("revenue" in lower or "amount" in lower) | (
-                (F.col(f"min{i}") >= 0) & F.lit("price" in lower)
-            )
-            entries += [
-                entry(len(entries), f"Total {title}", total, human_number(total, currency),
-                      c, "sum", 0.85, valid=n > 0),
-                entry(len(entries) + 1, f"Avg {title}", mean, human_number(mean, currency),
-                      c, "mean", 0.80, valid=n > 0),
-            ]
+            wanted += [f"sum({value}) AS sum{i}", f"avg({value}) AS mean{i}"]
+            wanted += [f"min({value}) AS min{i}", f"count({value}) AS n{i}"]
+            name = c.lower()
+            if "revenue" in name or "amount" in name:
+                currency = "true"
+            else:
+                currency = f"coalesce(min{i} >= 0, false)" if "price" in name else "false"
+            kind = {"source": text(c), "valid": f"n{i} > 0", "currency": currency}
+            entries.append(entry(f"Total {title}", f"sum{i}", computation="sum", confidence=0.85, **kind))
+            entries.append(entry(f"Avg {title}", f"mean{i}", computation="mean", confidence=0.80, **kind))
         elif rules.named_like(c, rules.COUNT_NAME):
-            value = field(c).cast("double")
-            wanted += [F.sum(value).alias(f"sum{i}"), F.count(value).alias(f"n{i}")]
-            whole = total - total % 1.0
+            wanted += [f"sum({value}) AS sum{i}", f"count({value}) AS n{i}"]
             entries.append(
-                entry(len(entries), f"Total {title}", whole, human_number(whole, whole=True),
-                      c, "sum", 0.80, valid=n > 0)
+                entry(f"Total {title}", f"sum{i} - sum{i} % 1", text(c), "sum", 0.80,
+                      valid=f"n{i} > 0", whole=True)
             )
+    return wanted, entries
+
+
+def kpis(df: DataFrame | Table, limit: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """The ``limit`` most trusted key figures, ranked, one scan for all of them."""
+    t = table(df, by)
+    types = infer_types(t)
+    entries = [
+        entry("Total Records", "rows", "'_rows_'", "count", 1.0, valid="rows > 0", whole=True)
+    ]
+    wanted, found = number_entries(t, types)
+    entries += found
+    aggregates = [F.count(F.lit(1)).alias("rows"), *map(F.expr, wanted)]
 
     dates = [c for c in t.columns if types[c] == "temporal"]
+    for i, c in enumerate(dates):
+        aggregates += [F.min(t.moment(c)).alias(f"from{i}"), F.max(t.moment(c)).alias(f"to{i}")]
     if dates:
-        ranges = []
-        for c in dates:
-            i = t.position[c]
-            moment = t.moment(c)
-            wanted += [F.min(moment).alias(f"from{i}"), F.max(moment).alias(f"to{i}")]
-            ranges.append(
-                F.when(
-                    F.col(f"from{i}").isNotNull(),
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.col(f"from{i}").alias("start"),
-                        F.col(f"to{i}").alias("end"),
-                    ),
-                )
-            )
-        first = F.coalesce(*ranges)
-        span = F.timestamp_diff("DAY", first["start"], first["end"])
-        text = F.concat(
-            F.date_format(first["start"], "MMM yyyy"),
-            F.lit(" – "),
-            F.date_format(first["end"], "MMM yyyy"),
-        )
-        known = first.isNotNull()
+        ranges = [
+            f"IF(from{i} IS NULL, NULL, struct({text(c)} AS name, from{i} AS a, to{i} AS b))"
+            for i, c in enumerate(dates)
+        ]
+        span = "timestampdiff(DAY, dates.a, dates.b)"
+        words = "concat(date_format(dates.a, 'MMM yyyy'), ' – ', date_format(dates.b, 'MMM yyyy'))"
+        kind = {"source": "dates.name", "computation": "range", "confidence": 0.95}
+        kind["valid"] = "dates IS NOT NULL"
         entries += [
-            entry(len(entries), "Date Range", F.lit(None), text, first["column"], "range", 0.95,
-                  text=text, valid=known),
-            entry(len(entries) + 1, "Time Span", span, F.format_string("%d days", span),
-                  first["column"], "range", 0.95, valid=known),
-        ]
+            entry("Date Range", "NULL", shown=words, words=words, **kind),
+            entry("Time Span", span, shown=f"concat({span}, ' days')", **kind),
+        ]
 
     categories = [c for c in t.columns if types[c] == "categorical"]
-    cardinality = category_counts(t, categories)
+    known = {} if t.by else t.low_cardinality(categories, rules.HIGH_CARDINALITY)
+    low, high = SEGMENT_RANGE
     for c in categories:
-        n = cardinality[c]
+        n = f"coalesce(cardinality[{text(c)}], 0L)" if t.by else f"{known[c] or 0}L"
         entries.append(
-            entry(len(entries), f"Unique {rules.display_name(c)}s", n, n.cast("string"), c,
-                  "count", 0.70, valid=n.between(*SEGMENT_RANGE))
+            entry(f"Unique {rules.display_name(c)}s", n, text(c), "count", 0.70,
+                  valid=f"{n} BETWEEN {low} AND {high}", shown=f"CAST({n} AS STRING)")
         )
 
-    measured = t.df.groupBy(*t.keys).agg(*wanted)
+    measured = t.df.groupBy(*t.keys).agg(*aggregates)
+    if dates:
+        measured = measured.withColumn("dates", F.expr(f"coalesce({', '.join(ranges)})"))
     if t.by and categories:
         counts = (
             value_counts(t, categories)
@@ -133,26 +118,21 @@ def kpis(df: DataFrame | Table, limit: int = 10, by: Sequence[str] = ()) -> Data
             .agg(F.map_from_entries(F.collect_list(F.struct("column", "n"))).alias("cardinality"))
         )
         measured = join_on(measured, counts, t.by, "left")
-    rows = measured.select(*t.keys, F.inline(F.array(*entries))).where("valid")
+    rows = measured.select(
+        *t.keys, inlined([{"seq": i} | e for i, e in enumerate(entries)])
+    ).where("valid")
     # Bounded windows: at most a few entries per input column and group.
     order = [F.desc("confidence"), F.col("seq")]
     same_name = Window.partitionBy(*t.keys, "name").orderBy(*order)
     group = Window.partitionBy(*(t.keys or [F.lit(0)])).orderBy(*order)
+    shown = F.coalesce("shown", human_number(F.col("value"), F.col("currency"), F.col("whole")))
     return (
         rows.withColumn("copy", F.row_number().over(same_name))
         .where("copy = 1")
         .withColumn("rank", F.row_number().over(group))
         .where(F.col("rank") <= limit)
         .select(
-            *t.keys, "rank", "name", "value", "text_value", "formatted_value",
+            *t.keys, "rank", "name", "value", "text_value", shown.alias("formatted_value"),
             "source_column", "computation", "confidence",
         )
     )
-
-
-def category_counts(t: Table, columns: Sequence[str]) -> dict[str, Column]:
-    """Distinct values per categorical column: known for the table, looked up per group."""
-    if t.by:
-        return {c: F.coalesce(F.col("cardinality")[c], F.lit(0)) for c in columns}
-    counts = t.low_cardinality(columns, rules.HIGH_CARDINALITY)
-    return {c: F.lit(counts[c] or 0).cast("bigint") for c in columns}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyscope import rules
 from tallyscope.functions.labels import finite_or
 from tallyscope.plans.moments import batches
-from tallyscope.plans.table import Table, checkpointed, field, join_on, table
+from tallyscope.plans.table import Table, checkpointed, field, inlined, join_on, quoted, table, text
 
 # Up to this many repeated row hashes (8 bytes each) are broadcast.
 BROADCAST_HASHES = 1_000_000
@@ -24,13 +24,11 @@ def column_facts(t: Table, columns: Sequence[str]) -> list[Column]:
     Spark's hash aggregate, where the texts themselves would force a sort per group.
     """
     facts = []
-    for i, c in enumerate(columns):
-        value = F.xxhash64(field(c)) if t.kinds[c] == "string" else field(c)
-        value = F.when(field(c).isNotNull(), value)
+    for i, name in enumerate(columns):
+        c = quoted(name)
+        value = f"IF({c} IS NULL, NULL, xxhash64({c}))" if t.kinds[name] == "string" else c
         facts.append(
-            F.struct(
-                F.count(field(c)).alias("n"), F.min(value).eqNullSafe(F.max(value)).alias("same")
-            ).alias(f"__{i}")
+            F.expr(f"struct(count({c}) AS n, min({value}) <=> max({value}) AS same) AS __{i}")
         )
     return facts
 
@@ -47,19 +45,17 @@ def column_quality(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
         counted = t.df.groupBy(*t.keys).agg(
             F.count(F.lit(1)).alias("__rows"), *column_facts(t, names)
         )
-        rows = F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(t.position[c]).alias("position"),
-                        F.lit(c).alias("column"),
-                        (F.col("__rows") - F.col(f"__{i}.n")).alias("missing_count"),
-                        F.col(f"__{i}.same").alias("is_constant"),
-                        F.col("__rows").alias("__total"),
-                    )
-                    for i, c in enumerate(names)
-                ]
-            )
+        rows = inlined(
+            [
+                {
+                    "position": t.position[c],
+                    "column": text(c),
+                    "missing_count": f"__rows - __{i}.n",
+                    "is_constant": f"__{i}.same",
+                    "__total": "__rows",
+                }
+                for i, c in enumerate(names)
+            ]
         )
         parts.append(counted.select(*t.keys, rows).where("__total > 0"))
     missing = pct(F.col("missing_count"), F.col("__total"))
@@ -117,22 +113,17 @@ def name_list(names: Column) -> Column:
 def table_quality(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
     """One row per group: missing cells, complete rows, duplicates, warnings and score."""
     t = table(df, by)
-    complete = reduce(lambda a, b: a & b, [field(c).isNotNull() for c in t.columns])
+    complete = F.expr(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in t.columns))
     counted = t.df.groupBy(*t.keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(complete).alias("complete"),
         *column_facts(t, t.columns),
     )
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                (F.col("rows") - F.col(f"__{i}.n")).alias("missing"),
-                F.col(f"__{i}.same").alias("same"),
-            )
-            for i, c in enumerate(t.columns)
-        ]
-    )
+    structs = [
+        f"struct({text(c)} AS column, rows - __{i}.n AS missing, __{i}.same AS same)"
+        for i, c in enumerate(t.columns)
+    ]
+    facts = F.expr(f"array({', '.join(structs)})")
     counted = counted.select(*t.keys, "rows", "complete", facts.alias("facts"))
     copies = duplicate_rows(t)
     if t.by:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.plans.table import Table, field, unpivoted
+from tallyscope.plans.table import Table, quoted, unpivoted
 
 
 def value_counts(t: Table, columns: Sequence[str]) -> DataFrame:
@@ -16,7 +16,7 @@ def value_counts(t: Table, columns: Sequence[str]) -> DataFrame:
     Counts are combined in the map tasks, so a value that fills a third of the table
     arrives at the shuffle as one row per task.
     """
-    rows = t.df.select(*t.keys, unpivoted(t, columns, lambda c: field(c).cast("string")))
+    rows = t.df.select(*t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS STRING)"))
     return (
         rows.where("value is not null")
         .groupBy(*t.keys, "position", "column", "value")

@@ -5,45 +5,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.plans.table import Table, field
+from tallyscope.plans.table import Table, inlined, quoted, text
 
-# Aggregation buffer fields per statistic. Spark compiles an aggregation into one
-# generated loop only below 100 fields, so columns are taken in batches that stay under.
+# How each statistic is computed, as SQL over a column.
+SQL = {
+    "n": "count({c})",
+    "min": "CAST(min({c}) AS DOUBLE)",
+    "max": "CAST(max({c}) AS DOUBLE)",
+    "sum": "sum(CAST({c} AS DOUBLE))",
+    "mean": "avg(CAST({c} AS DOUBLE))",
+    "std": "stddev_samp({c})",
+    "skewness": "skewness({c})",
+    "kurtosis": "kurtosis({c})",
+    "zeros": "count_if({c} = 0)",
+    "negatives": "count_if({c} < 0)",
+}
+# Aggregation buffer fields of each. Spark compiles an aggregation into one generated loop
+# only below 100 fields, so columns are taken in batches that stay under.
 WIDTH = {
     "n": 1, "min": 1, "max": 1, "sum": 1, "mean": 2, "std": 3, "skewness": 4, "kurtosis": 5,
     "zeros": 1, "negatives": 1,
-}
+}
 FIELD_BUDGET = 96
 
 
-def statistic(name: str, column: str) -> Column:
-    c = field(column)
-    if name == "n":
-        return F.count(c)
-    if name == "min":
-        return F.min(c).cast("double")
-    if name == "max":
-        return F.max(c).cast("double")
-    if name == "sum":
-        return F.sum(c.cast("double"))
-    if name == "mean":
-        return F.avg(c.cast("double"))
-    if name == "std":
-        return F.stddev_samp(c)
-    if name == "skewness":
-        return F.skewness(c)
-    if name == "kurtosis":
-        return F.kurtosis(c)
-    if name == "zeros":
-        return F.count_if(c == 0)
-    if name == "negatives":
-        return F.count_if(c < 0)
-    raise ValueError(name)
-
-
 def batches(columns: Sequence[str], width: int) -> list[list[str]]:
     size = max(1, FIELD_BUDGET // width)
     return [list(columns[i : i + size]) for i in range(0, len(columns), size)]
@@ -62,29 +50,25 @@ def moments(
     """
     if not columns:
         return empty_like(t, stats, percentiles)
+    if t.keep and not percentiles and list(columns) == t.numeric and len(stats) < len(SQL):
+        kept = t.kept("moments", lambda: moments(t, columns, list(SQL)))
+        return kept.select(*t.keys, "position", "column", *stats)
+    fields = [*stats, "q"] if percentiles else list(stats)
+    levels = ", ".join(f"{float(p)!r}D" for p in percentiles)
     parts = []
-    for names in batches(columns, sum(WIDTH[s] for s in stats) + len(t.by)):
-        wide = []
-        for i, c in enumerate(names):
-            values = [statistic(s, c).alias(s) for s in stats]
+    for names in batches(columns, max(1, sum(WIDTH[s] for s in stats))):
+        wide, rows = [], []
+        for i, name in enumerate(names):
+            c = quoted(name)
+            values = [f"{SQL[s].format(c=c)} AS {s}" for s in stats]
             if percentiles:
-                targets = F.array(*[F.lit(float(p)) for p in percentiles])
-                values.append(F.percentile(field(c).cast("double"), targets).alias("q"))
-            wide.append(F.struct(*values).alias(f"__{i}"))
-        fields = [*stats, "q"] if percentiles else list(stats)
-        rows = F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(t.position[c]).alias("position"),
-                        F.lit(c).alias("column"),
-                        *[F.col(f"__{i}.{s}").alias(s) for s in fields],
-                    )
-                    for i, c in enumerate(names)
-                ]
+                values.append(f"percentile(CAST({c} AS DOUBLE), array({levels})) AS q")
+            wide.append(F.expr(f"struct({', '.join(values)}) AS __{i}"))
+            rows.append(
+                {"position": t.position[name], "column": text(name)}
+                | {s: f"__{i}.{s}" for s in fields}
             )
-        )
-        parts.append(t.df.groupBy(*t.keys).agg(*wide).select(*t.keys, rows))
+        parts.append(t.df.groupBy(*t.keys).agg(*wide).select(*t.keys, inlined(rows)))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -17,13 +17,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.plans.moments import batches, moments
-from tallyscope.plans.table import Table, field, join_on, with_group_values
-
-BUFFERED_ROWS = 2_000_000
+from tallyscope.plans.table import (
+    Table,
+    field,
+    inlined,
+    join_on,
+    quoted,
+    text,
+    with_group_values,
+)
+
+BUFFERED_ROWS = 500_000
+# Levels that a full analysis computes once for all its parts.
+LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 SKETCH_ACCURACY = 20_000
 # Half width of a bracket; several times the sketch's own rank error.
 MARGIN = 4.0 / SKETCH_ACCURACY
@@ -38,8 +48,18 @@ def quantiles(
     probs: Sequence[float],
     buffered_rows: int = BUFFERED_ROWS,
 ) -> DataFrame:
-    """(keys, position, column, n, q) with ``q`` the exact quantiles as array<double>."""
-    return moments_with_quantiles(t, columns, ["n"], probs, buffered_rows)
+    """(keys, position, column, q) with ``q`` the exact quantiles as array<double>."""
+
+    def computed(levels: Sequence[float]) -> DataFrame:
+        if not columns or t.rows <= buffered_rows:
+            return moments(t, columns, [], levels)
+        return selected(t, columns, levels)
+
+    if t.keep and set(probs) <= set(LEVELS) and list(columns) == t.numeric:
+        kept = t.kept("quantiles", lambda: computed(LEVELS))
+        wanted = F.array(*[F.col("q")[LEVELS.index(p)] for p in probs])
+        return kept.withColumn("q", wanted)
+    return computed(probs)
 
 
 def moments_with_quantiles(
@@ -49,60 +69,64 @@ def moments_with_quantiles(
     probs: Sequence[float],
     buffered_rows: int = BUFFERED_ROWS,
 ) -> DataFrame:
-    if not columns or t.rows <= buffered_rows:
-        return moments(t, columns, stats, probs)
-    ranked = selected(t, columns, probs)
-    return join_on(moments(t, columns, stats), ranked.drop("position"), [*t.by, "column"], "left")
+    """Moments and quantiles, joined per column.
+
+    They are two aggregations on purpose: an aggregate that buffers objects, as the
+    percentiles do, would take the moments out of generated code with it.
+    """
+    ranked = quantiles(t, columns, probs, buffered_rows).drop("position")
+    return join_on(moments(t, columns, stats), ranked, [*t.by, "column"], "left")
 
 
 def brackets(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row per group: arrays ``lo_i``/``hi_i`` of bracket ends for each column."""
-    around = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
     k = len(probs)
-    parts = []
-    for i, c in enumerate(columns):
-        value = field(c).cast("double")
-        parts += [
-            F.count(value).alias(f"n_{i}"),
-            F.min(value).alias(f"min_{i}"),
-            F.max(value).alias(f"max_{i}"),
-            F.percentile_approx(value, around, SKETCH_ACCURACY).alias(f"s_{i}"),
-        ]
-    sketched = t.df.groupBy(*t.keys).agg(*parts)
-    ends = []
-    for i in range(len(columns)):
-        small = F.col(f"n_{i}") < SMALL_GROUP
-
-        def end(j: int, edge: str, at_edge: bool, i=i, small=small) -> Column:
-            if at_edge:
-                return F.col(f"{edge}_{i}")
-            return F.when(small, F.col(f"{edge}_{i}")).otherwise(F.col(f"s_{i}")[j])
-
-        ends.append(
-            F.array(*[end(j, "min", probs[j] <= MARGIN) for j in range(k)]).alias(f"lo_{i}")
-        )
-        ends.append(
-            F.array(*[end(k + j, "max", probs[j] >= 1 - MARGIN) for j in range(k)]).alias(f"hi_{i}")
+    around = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
+    levels = ", ".join(f"{p!r}D" for p in around)
+    sketches, ends = [], []
+    for i, name in enumerate(columns):
+        c = f"CAST({quoted(name)} AS DOUBLE)"
+        sketches.append(
+            F.expr(
+                f"struct(count({c}) AS n, min({c}) AS lo, max({c}) AS hi, percentile_approx("
+                f"{c}, array({levels}), {SKETCH_ACCURACY}) AS at) AS __{i}"
+            )
         )
-    return sketched.select(*t.keys, *ends)
+        small = f"__{i}.n < {SMALL_GROUP}"
+        low = [
+            f"__{i}.lo" if p <= MARGIN else f"IF({small}, __{i}.lo, __{i}.at[{j}])"
+            for j, p in enumerate(probs)
+        ]
+        high = [
+            f"__{i}.hi" if p >= 1 - MARGIN else f"IF({small}, __{i}.hi, __{i}.at[{k + j}])"
+            for j, p in enumerate(probs)
+        ]
+        ends += [
+            F.expr(f"array({', '.join(low)}) AS lo_{i}"),
+            F.expr(f"array({', '.join(high)}) AS hi_{i}"),
+        ]
+    return t.df.groupBy(*t.keys).agg(*sketches).select(*t.keys, *ends)
 
 
-def chunk_of(value: Column, lo: Column, hi: Column, k: int) -> Column:
-    """Number of the chunk a value falls in; grows with the value.
+def chunk_of(value: str, lo: str, hi: str, k: int) -> str:
+    """SQL for the number of the chunk a value falls in; it grows with the value.
 
     Chunk j*(CHUNKS+1) holds what lies below bracket j, the next CHUNKS numbers are the
     equal-width slices of bracket j itself.
     """
-    chunk = F.lit(k * (CHUNKS + 1))
-    for j in reversed(range(k)):
-        width = hi[j] - lo[j]
-        share = F.when(
-            (width > 0) & (width < float("inf")),
-            F.least(F.floor((value - lo[j]) / width * CHUNKS), F.lit(CHUNKS - 1)),
-        ).otherwise(F.lit(0))
-        inside = F.when(value >= lo[j], share + 1 + j * (CHUNKS + 1)).otherwise(j * (CHUNKS + 1))
-        chunk = F.when(value <= hi[j], inside).otherwise(chunk)
-    return chunk.cast("int")
+    cases = []
+    for j in range(k):
+        width = f"({hi}[{j}] - {lo}[{j}])"
+        slice_ = (
+            f"IF({width} > 0 AND {width} < double('inf'), least(CAST(floor(({value} - {lo}[{j}])"
+            f" / nullif({width}, 0D) * {CHUNKS}) AS INT), {CHUNKS - 1}), 0)"
+        )
+        first = j * (CHUNKS + 1)
+        cases.append(
+            f"WHEN {value} <= {hi}[{j}] THEN"
+            f" IF({value} >= {lo}[{j}], {first + 1} + {slice_}, {first})"
+        )
+    return f"CASE {' '.join(cases)} ELSE {k * (CHUNKS + 1)} END"
 
 
 def selected(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -119,20 +143,16 @@ def _selected(
 ) -> DataFrame:
     k = len(levels)
     rows = with_group_values(t, t.df, brackets(t, columns, levels))
-    placed = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(t.position[c]).alias("position"),
-                    F.lit(c).alias("column"),
-                    field(c).cast("double").alias("value"),
-                    chunk_of(
-                        field(c).cast("double"), F.col(f"lo_{i}"), F.col(f"hi_{i}"), k
-                    ).alias("chunk"),
-                )
-                for i, c in enumerate(columns)
-            ]
-        )
+    placed = inlined(
+        [
+            {
+                "position": t.position[c],
+                "column": text(c),
+                "value": f"CAST({quoted(c)} AS DOUBLE)",
+                "chunk": chunk_of(f"CAST({quoted(c)} AS DOUBLE)", f"lo_{i}", f"hi_{i}", k),
+            }
+            for i, c in enumerate(columns)
+        ]
     )
     gap = F.pmod("chunk", F.lit(CHUNKS + 1)) == 0
     counts = (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +40,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def field(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col(quoted(name))
@@ -54,8 +59,10 @@ class Table:
     table; thresholds on the number of values apply per group.
     """
 
-    def __init__(self, df: DataFrame, by: Sequence[str] = ()):
+    def __init__(self, df: DataFrame, by: Sequence[str] = (), keep: bool = False):
         self.by = list(by)
+        self.keep = keep
+        self._kept: dict[str, DataFrame] = {}
         unknown = [k for k in self.by if k not in df.columns]
         if unknown:
             raise ValueError(f"group keys not in the table: {unknown}")
@@ -170,6 +177,17 @@ class Table:
             return F.lit(None).cast("timestamp_ntz")
         return F.try_to_timestamp(field(column), F.lit(text_format)).cast("timestamp_ntz")
 
+    def kept(self, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
+        """A result that several analyses read, computed once; rows are groups x columns."""
+        if name not in self._kept:
+            self._kept[name] = compute().persist()
+        return self._kept[name]
+
+    def release(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
+
     @cached_property
     def distinct_counts(self) -> dict[str, int | None]:
         return {}
@@ -201,7 +219,7 @@ def exact_distinct(t: Table, columns: Sequence[str]) -> dict[str, int]:
     """Exact number of distinct non-null values per column, over the whole table."""
     counts = {c: 0 for c in columns}
     for names in same_type(t, columns):
-        values = t.df.select(unpivoted(t, names, lambda c: field(c)))
+        values = t.df.select(unpivoted(t, names, quoted))
         rows = (
             values.where("value is not null")
             .distinct()
@@ -223,22 +241,24 @@ def same_type(t: Table, columns: Sequence[str]) -> list[list[str]]:
     return list(lists.values())
 
 
-def unpivoted(t: Table, columns: Sequence[str], value) -> Column:
-    """Generator of (position, column, value) rows, one per column."""
-    return F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(t.position[c]).alias("position"),
-                    F.lit(c).alias("column"),
-                    value(c).alias("value"),
-                )
-                for c in columns
-            ]
-        )
+def unpivoted(t: Table, columns: Sequence[str], value: Callable[[str], str]) -> Column:
+    """Generator of (position, column, value) rows; ``value`` gives SQL for a column name."""
+    return inlined(
+        [
+            {"position": t.position[c], "column": text(c), "value": value(c)}
+            for c in columns
+        ]
     )
 
 
+def inlined(rows: Sequence[dict[str, object]]) -> Column:
+    """Generator that turns one row into several; each is given as SQL per output column."""
+    structs = [
+        "struct(" + ", ".join(f"{v} AS {quoted(k)}" for k, v in row.items()) + ")" for row in rows
+    ]
+    return F.expr(f"inline(array({', '.join(structs)}))")
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; key columns appear once."""
     renamed = {k: f"__right_{i}" for i, k in enumerate(keys)}
