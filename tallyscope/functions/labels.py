@@ -66,23 +66,45 @@ def correlation_strength(r: Column) -> Column:
     return F.coalesce(F.concat(word, sign), F.lit("none"))
 
 
+def rounded_exactly(c: Column, digits: int) -> Column:
+    """Round a double by its exact binary value, ties to even, as Python's formatting does.
+
+    405.95 is stored slightly below that number and gives 405.9 with one digit. The
+    product with 10**digits is computed with its rounding error (Dekker's splitting), which
+    decides the cases that look like ties.
+    """
+    scale = float(10**digits)
+
+    def rounded(x: Column) -> Column:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        product = x * scale
+        error = (high * scale - product) + (x - high) * scale
+        looks_tied = product - F.floor(product) == 0.5
+        return (
+            F.when(looks_tied & (error > 0), F.ceil(product).cast("double"))
+            .when(looks_tied & (error < 0), F.floor(product).cast("double"))
+            .otherwise(F.rint(product))
+            / scale
+        )
+
+    return F.get(F.transform(F.array(c.cast("double")), rounded), F.lit(0))
+
+
+def fixed(c: Column, digits: int, flags: str = "") -> Column:
+    """Text with a fixed number of decimals; ``flags`` as in printf."""
+    return F.format_string(f"%{flags}.{digits}f", rounded_exactly(c, digits))
+
+
 def human_number(value: Column, currency: Column | bool = False, whole: Column | bool = False) -> Column:
     """1234567 -> 1.2M; below a thousand two decimals, or none for whole numbers."""
     currency = F.lit(currency) if isinstance(currency, bool) else currency
     whole = F.lit(whole) if isinstance(whole, bool) else whole
     size = F.abs(value)
-
-    def scaled(by: float, letter: str) -> Column:
-        return F.format_string(f"%.1f{letter}", F.bround(value / by, 1))
-
-    # Python's '%.2f' of a double below a thousand has no separators; neither has an
-    # integer of that size.
-    text = (
-        F.when(size >= 1e9, scaled(1e9, "B"))
-        .when(size >= 1e6, scaled(1e6, "M"))
-        .when(size >= 1e3, scaled(1e3, "K"))
-        .when(whole, F.format_string("%d", F.when(size < 1e3, value).cast("bigint")))
-        .otherwise(F.format_string("%.2f", F.bround(value, 2)))
-    )
-    prefixed = F.concat(F.when(currency, "$").otherwise(""), text)
+    unit = F.when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).when(size >= 1e3, 1e3)
+    letter = F.when(size >= 1e9, "B").when(size >= 1e6, "M").otherwise("K")
+    plain = F.when(
+        whole, F.format_string("%d", F.when(size < 1e3, value).cast("bigint"))
+    ).otherwise(fixed(value, 2))
+    shown = F.when(size >= 1e3, F.concat(fixed(value / unit, 1), letter)).otherwise(plain)
+    prefixed = F.concat(F.when(currency, "$").otherwise(""), shown)
     return F.when(is_finite(value), prefixed).otherwise("N/A")

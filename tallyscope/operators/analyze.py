@@ -91,17 +91,22 @@ def analyze(df: DataFrame, depth: str = "standard", by: Sequence[str] = ()) -> A
         except Exception as error:  # noqa: BLE001 - reported, never hidden
             run.notes.append((name, "failed", f"{name} failed: {str(error).splitlines()[0]}"))
             return
-        if result is None:
-            run.notes.append((name, "empty", empty or f"{name}: nothing to analyse"))
-        else:
+        if result is not None:
             run.tables[name] = result
+        if result is None or (empty is not None and result.isEmpty()):
+            run.notes.append((name, "empty", empty or f"{name}: nothing to analyse"))
 
     if not t.by:
         add("schema_profile", lambda: schema.schema_profile(t))
         add("type_summary", lambda: schema.type_summary(t))
     add("column_quality", lambda: quality.column_quality(t))
     add("table_quality", lambda: t.kept("quality", lambda: quality.table_quality(t)))
-    add("numeric_summary", lambda: numeric.numeric_summary(t) if t.numeric else None)
+    if t.numeric:
+        add(
+            "numeric_summary",
+            lambda: t.kept("numeric", lambda: numeric.numeric_summary(t)),
+            "Numeric columns exist but summary could not be computed",
+        )
     add(
         "categorical_summary",
         lambda: t.kept("categorical", lambda: categorical.categorical_summary(t))
@@ -158,8 +163,14 @@ def add_standard(add: Callable, t: Table, run: Analysis) -> None:
         return operator(t, segment_cols=columns, kpi_cols=figures)
 
     no_pairs = "Segmentation analysis skipped: no suitable categorical/numeric pairs"
-    add("segments", lambda: segmented(segments.segments), no_pairs)
-    add("segment_insights", lambda: segmented(segments.segment_insights), no_pairs)
+    add("segments", lambda: segmented(segments.segments))
+    add(
+        "segment_insights",
+        lambda: t.kept("segments", lambda: segmented(segments.segment_insights))
+        if all(pairs())
+        else None,
+        no_pairs,
+    )
     add(
         "correlations",
         lambda: t.kept("correlations", lambda: correlations.correlations(t))
@@ -175,10 +186,15 @@ def add_standard(add: Callable, t: Table, run: Analysis) -> None:
     add(
         "column_outliers",
         lambda: t.kept("outliers", lambda: anomalies.column_outliers(t, bounds=bounds)),
-        no_numbers,
     )
     add("outlier_examples", lambda: anomalies.outlier_examples(t, bounds=bounds))
-    add("suspicious_values", lambda: anomalies.suspicious_values(t))
+    add(
+        "suspicious_values",
+        lambda: t.kept("suspicious", lambda: anomalies.suspicious_values(t)),
+    )
+    both = ("column_outliers", "suspicious_values")
+    if all(n in run.tables and run[n].isEmpty() for n in both):
+        run.notes.append(("anomalies", "empty", no_numbers))
     if "column_outliers" in run.tables:
         add(
             "outlier_summary",

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscope.functions.labels import fixed
 from tallyscope.plans.table import field, join_on
 
 # Scores that decide the ranking.
@@ -26,12 +27,8 @@ KEPT = 15
 QUALITY_ALERT = 0.8
 
 
-def fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.bround(c, digits))
-
-
 def thousands(c: Column) -> Column:
-    return F.format_string("%,.0f", F.bround(c, 0))
+    return fixed(c, 0, ",")
 
 
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -141,7 +138,9 @@ def trend_findings(trends: DataFrame, by: Sequence[str]) -> DataFrame:
     up = F.format_string("**%s** is trending **up** at %s%% per period.", metric, speed)
     down = F.format_string("**%s** is trending **down** at %s%% per period.", metric, speed)
     flat = F.format_string("**%s** is **stable** with no significant trend.", metric)
-    change = F.format_string(" Latest period change: %+.1f%%.", F.bround("change_pct", 1))
+    change = F.format_string(
+        " Latest period change: %s%%.", fixed(F.col("change_pct"), 1, "+")
+    )
     body = F.when(direction == "increasing", up).when(direction == "decreasing", down)
     severity = F.when(direction == "increasing", "positive").when(
         direction == "decreasing", "warning"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope import rules
-from tallyscope.functions.labels import finite_or
+from tallyscope.functions.labels import finite_or, fixed
 from tallyscope.plans.moments import batches
 from tallyscope.plans.table import Table, checkpointed, field, inlined, join_on, quoted, table, text
 
@@ -157,16 +157,16 @@ def table_quality(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
             F.when(
                 F.col("complete_rows_pct") < rules.COMPLETE_ROWS_PCT,
                 F.format_string(
-                    "Only %.1f%% of rows are complete (no missing values)",
-                    F.bround("complete_rows_pct", 1),
+                    "Only %s%% of rows are complete (no missing values)",
+                    fixed(F.col("complete_rows_pct"), 1),
                 ),
             ),
             F.when(
                 F.col("duplicate_pct") > rules.DUPLICATE_PCT,
                 F.format_string(
-                    "%d duplicate rows detected (%.1f%%)",
+                    "%d duplicate rows detected (%s%%)",
                     "duplicate_rows",
-                    F.bround("duplicate_pct", 1),
+                    fixed(F.col("duplicate_pct"), 1),
                 ),
             ),
             F.when(
