@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyscope import rules
 from tallyscope.operators import (
     anomalies,
     categorical,
@@ -77,126 +79,161 @@ class Analysis:
         self.table.release()
 
 
-def analyze(df: DataFrame, depth: str = "standard", by: Sequence[str] = ()) -> Analysis:
-    """Run a quick or standard analysis; one failing part does not stop the others."""
-    if depth not in ("quick", "standard"):
-        raise ValueError(f"depth must be quick or standard, not {depth!r}")
-    check_input(df)
-    t = Table(df, by, keep=True)
-    run = Analysis(t, depth)
+class Part:
+    """Results of one chain of operators; a failing operator does not stop the others."""
 
-    def add(name: str, compute: Callable[[], DataFrame | None], empty: str | None = None) -> None:
+    def __init__(self) -> None:
+        self.tables: dict[str, DataFrame] = {}
+        self.notes: list[tuple[str, str, str]] = []
+
+    def add(
+        self, name: str, compute: Callable[[], DataFrame | None], empty: str | None = None
+    ) -> None:
+        """Compute a table; with ``empty`` an empty one is noted with that sentence."""
         try:
             result = compute()
+            nothing = result is None or (empty is not None and result.isEmpty())
         except Exception as error:  # noqa: BLE001 - reported, never hidden
-            run.notes.append((name, "failed", f"{name} failed: {str(error).splitlines()[0]}"))
+            self.notes.append((name, "failed", f"{name} failed: {str(error).splitlines()[0]}"))
             return
         if result is not None:
-            run.tables[name] = result
-        if result is None or (empty is not None and result.isEmpty()):
-            run.notes.append((name, "empty", empty or f"{name}: nothing to analyse"))
+            self.tables[name] = result
+        if nothing and empty is not None:
+            self.notes.append((name, "empty", empty))
+
 
+def schema_part(t: Table, part: Part) -> None:
     if not t.by:
-        add("schema_profile", lambda: schema.schema_profile(t))
-        add("type_summary", lambda: schema.type_summary(t))
-    add("column_quality", lambda: quality.column_quality(t))
-    add("table_quality", lambda: t.kept("quality", lambda: quality.table_quality(t)))
+        part.add("schema_profile", lambda: schema.schema_profile(t))
+        part.add("type_summary", lambda: schema.type_summary(t))
+    part.add("kpis", lambda: t.kept("kpis", lambda: kpis.kpis(t)))
+
+
+def quality_part(t: Table, part: Part) -> None:
+    part.add("column_quality", lambda: quality.column_quality(t))
+    part.add("table_quality", lambda: t.kept("quality", lambda: quality.table_quality(t)))
+
+
+def numeric_part(t: Table, part: Part) -> None:
     if t.numeric:
-        add(
+        part.add(
             "numeric_summary",
             lambda: t.kept("numeric", lambda: numeric.numeric_summary(t)),
             "Numeric columns exist but summary could not be computed",
         )
-    add(
-        "categorical_summary",
-        lambda: t.kept("categorical", lambda: categorical.categorical_summary(t))
-        if categorical.categorical_columns(t)
-        else None,
-    )
-    add(
-        "category_top_values",
-        lambda: categorical.category_top_values(t) if categorical.categorical_columns(t) else None,
-    )
-    add("kpis", lambda: t.kept("kpis", lambda: kpis.kpis(t)))
-    if depth == "standard":
-        add_standard(add, t, run)
-    add("findings", lambda: findings.findings(run.tables, depth, t.by))
-    return run
 
 
-def add_standard(add: Callable, t: Table, run: Analysis) -> None:
-    add(
+def categorical_part(t: Table, part: Part) -> None:
+    if categorical.categorical_columns(t):
+        part.add(
+            "categorical_summary",
+            lambda: t.kept("categorical", lambda: categorical.categorical_summary(t)),
+        )
+        part.add("category_top_values", lambda: categorical.category_top_values(t))
+
+
+def shape_part(t: Table, part: Part) -> None:
+    part.add(
         "distributions",
         lambda: t.kept("distributions", lambda: distributions.distributions(t))
         if t.numeric
         else None,
         "Distribution analysis skipped: insufficient numeric data",
     )
-    date_col = None
-    try:
-        date_col = temporal.date_column(t)
-    except Exception as error:  # noqa: BLE001 - reported, never hidden
-        run.notes.append(("time_profile", "failed", str(error).splitlines()[0]))
-    no_dates = "Temporal analysis skipped: no temporal columns detected"
-    if date_col is None:
-        add("time_profile", lambda: None, no_dates)
-    else:
-        grain = t.kept("grain", lambda: temporal.time_grain(t, date_col))
-        add("time_profile", lambda: temporal.time_profile(t, date_col=date_col, grain=grain))
-        if t.numeric:
-            add("period_series", lambda: temporal.period_series(t, date_col, grain=grain))
-            add(
-                "trends",
-                lambda: t.kept("trends", lambda: temporal.trends(t, date_col=date_col, grain=grain)),
-            )
+    no_numbers = "Anomaly detection skipped: insufficient data"
+    if "distributions" not in part.tables:
+        part.add("anomalies", lambda: None, no_numbers)
+        return
+    bounds = anomalies.fences(t, quartiles=part.tables["distributions"])
+    part.add(
+        "column_outliers",
+        lambda: t.kept("outliers", lambda: anomalies.column_outliers(t, bounds=bounds)),
+    )
+    part.add("outlier_examples", lambda: anomalies.outlier_examples(t, bounds=bounds))
+    part.add(
+        "suspicious_values", lambda: t.kept("suspicious", lambda: anomalies.suspicious_values(t))
+    )
+    outliers = part.tables.get("column_outliers")
+    if outliers is not None:
+        part.add("outlier_summary", lambda: anomalies.outlier_summary(t, outliers=outliers))
+    found = [part.tables.get(n) for n in ("column_outliers", "suspicious_values")]
+    if all(df is not None and df.isEmpty() for df in found):
+        part.notes.append(("anomalies", "empty", no_numbers))
 
-    def pairs() -> tuple[list[str], list[str]]:
-        return (
-            segments.segment_columns(t)[: segments.rules.SEGMENT_COLUMNS],
-            segments.segment_kpis(t)[: segments.rules.SEGMENT_KPIS],
-        )
 
-    def segmented(operator: Callable) -> DataFrame | None:
-        columns, figures = pairs()
-        if not columns or not figures:
-            return None
-        return operator(t, segment_cols=columns, kpi_cols=figures)
-
-    no_pairs = "Segmentation analysis skipped: no suitable categorical/numeric pairs"
-    add("segments", lambda: segmented(segments.segments))
-    add(
-        "segment_insights",
-        lambda: t.kept("segments", lambda: segmented(segments.segment_insights))
-        if all(pairs())
-        else None,
-        no_pairs,
+def time_part(t: Table, part: Part) -> None:
+    date_col = temporal.date_column(t)
+    if date_col is None:
+        part.add(
+            "time_profile", lambda: None, "Temporal analysis skipped: no temporal columns detected"
+        )
+        return
+    grain = t.kept("grain", lambda: temporal.time_grain(t, date_col))
+    part.add(
+        "time_profile",
+        lambda: t.kept("time", lambda: temporal.time_profile(t, date_col=date_col, grain=grain)),
     )
-    add(
+    if t.numeric:
+        series = t.kept("series", lambda: temporal.period_series(t, date_col, grain=grain))
+        part.add("period_series", lambda: series)
+        part.add("trends", lambda: t.kept("trends", lambda: temporal.trends(t, series=series)))
+
+
+def segment_part(t: Table, part: Part) -> None:
+    columns = segments.segment_columns(t)[: rules.SEGMENT_COLUMNS]
+    figures = segments.segment_kpis(t)[: rules.SEGMENT_KPIS]
+    none = "Segmentation analysis skipped: no suitable categorical/numeric pairs"
+    if not columns or not figures:
+        part.add("segments", lambda: None, none)
+        return
+    ranked = t.kept("segments", lambda: segments.all_segments(t, (), columns, figures))
+    part.add("segments", lambda: segments.segments(t, ranked=ranked), none)
+    part.add("segment_insights", lambda: segments.segment_insights(t, ranked=ranked))
+
+
+def correlation_part(t: Table, part: Part) -> None:
+    part.add(
         "correlations",
         lambda: t.kept("correlations", lambda: correlations.correlations(t))
         if len(t.numeric) >= 2
         else None,
         "Correlation analysis skipped: insufficient numeric columns",
     )
-    no_numbers = "Anomaly detection skipped: insufficient data"
-    if not t.numeric or "distributions" not in run.tables:
-        add("column_outliers", lambda: None, no_numbers)
-        return
-    bounds = anomalies.fences(t, quartiles=run["distributions"])
-    add(
-        "column_outliers",
-        lambda: t.kept("outliers", lambda: anomalies.column_outliers(t, bounds=bounds)),
-    )
-    add("outlier_examples", lambda: anomalies.outlier_examples(t, bounds=bounds))
-    add(
-        "suspicious_values",
-        lambda: t.kept("suspicious", lambda: anomalies.suspicious_values(t)),
-    )
-    both = ("column_outliers", "suspicious_values")
-    if all(n in run.tables and run[n].isEmpty() for n in both):
-        run.notes.append(("anomalies", "empty", no_numbers))
-    if "column_outliers" in run.tables:
-        add(
-            "outlier_summary",
-            lambda: anomalies.outlier_summary(t, outliers=run["column_outliers"]),
-        )
+
+
+QUICK = (schema_part, quality_part, numeric_part, categorical_part)
+STANDARD = (*QUICK, shape_part, time_part, segment_part, correlation_part)
+
+
+def analyze(df: DataFrame, depth: str = "standard", by: Sequence[str] = ()) -> Analysis:
+    """Run a quick or standard analysis; one failing part does not stop the others.
+
+    The parts do not depend on each other, so their Spark jobs are submitted together and
+    share the cluster; what several parts need is computed once, beforehand or by whoever
+    asks first.
+    """
+    if depth not in ("quick", "standard"):
+        raise ValueError(f"depth must be quick or standard, not {depth!r}")
+    check_input(df)
+    t = Table(df, by, keep=True)
+    run = Analysis(t, depth)
+    chains = STANDARD if depth == "standard" else QUICK
+    schema.infer_types(t)
+    with ThreadPoolExecutor(max_workers=len(chains)) as pool:
+        for part in pool.map(lambda chain: run_part(chain, t), chains):
+            run.tables.update(part.tables)
+            run.notes.extend(part.notes)
+    last = Part()
+    last.add("findings", lambda: findings.findings(run.tables, depth, t.by))
+    run.tables.update(last.tables)
+    run.notes.extend(last.notes)
+    return run
+
+
+def run_part(chain: Callable[[Table, Part], None], t: Table) -> Part:
+    part = Part()
+    try:
+        chain(t, part)
+    except Exception as error:  # noqa: BLE001 - reported, never hidden
+        part.notes.append((chain.__name__, "failed", str(error).splitlines()[0]))
+    return part

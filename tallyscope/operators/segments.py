@@ -114,16 +114,20 @@ def all_segments(
     )
 
 
-def segments(df: DataFrame | Table, by: Sequence[str] = (), **columns) -> DataFrame:
-    """The ten best segments per pair."""
-    ranked = all_segments(df, by, **columns)
+def segments(
+    df: DataFrame | Table, by: Sequence[str] = (), ranked: DataFrame | None = None, **columns
+) -> DataFrame:
+    """The ten best segments per pair; ``ranked`` may be an ``all_segments`` result."""
+    ranked = all_segments(df, by, **columns) if ranked is None else ranked
     return ranked.where(F.col("rank") <= TOP_SEGMENTS).drop("segments")
 
 
-def segment_insights(df: DataFrame | Table, by: Sequence[str] = (), **columns) -> DataFrame:
+def segment_insights(
+    df: DataFrame | Table, by: Sequence[str] = (), ranked: DataFrame | None = None, **columns
+) -> DataFrame:
     """Best and worst segment, their ratio, and the concentration (sum of squared shares)."""
     t = table(df, by)
-    ranked = all_segments(t, **columns)
+    ranked = all_segments(t, **columns) if ranked is None else ranked
     keys = [*t.by, "segment_position", "segment_column", "kpi_position", "kpi_column"]
     share = F.col("kpi_contribution_pct") / 100
     top, bottom = F.col("rank"), F.col("segments")

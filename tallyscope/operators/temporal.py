@@ -230,10 +230,14 @@ def trends(
     date_col: str | None = None,
     metrics: Sequence[str] | None = None,
     grain: str | DataFrame | None = None,
+    series: DataFrame | None = None,
 ) -> DataFrame:
-    """Least-squares trend and latest period-over-period change per metric."""
+    """Least-squares trend and latest period-over-period change per metric.
+
+    ``series`` may be an existing ``period_series`` result.
+    """
     t = table(df, by)
-    series = period_series(t, date_col, metrics, grain)
+    series = period_series(t, date_col, metrics, grain) if series is None else series
     group = [*t.by, "position", "metric"]
     # One row per calendar period and metric.
     order = Window.partitionBy(*[field(c) for c in group]).orderBy("x")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Sequence
 from functools import cached_property, reduce
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,9 @@ class Table:
         self.by = list(by)
         self.keep = keep
         self._kept: dict[str, DataFrame] = {}
+        self._lock = Lock()
+        self._locks: dict[str, Lock] = {}
+        self.distinct_counts: dict[str, int] = {}
         unknown = [k for k in self.by if k not in df.columns]
         if unknown:
             raise ValueError(f"group keys not in the table: {unknown}")
@@ -179,8 +183,11 @@ class Table:
 
     def kept(self, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
         """A result that several analyses read, computed once; rows are groups x columns."""
-        if name not in self._kept:
-            self._kept[name] = compute().persist()
+        with self._lock:
+            lock = self._locks.setdefault(name, Lock())
+        with lock:
+            if name not in self._kept:
+                self._kept[name] = compute().persist()
         return self._kept[name]
 
     def release(self) -> None:
@@ -188,10 +195,6 @@ class Table:
             df.unpersist()
         self._kept.clear()
 
-    @cached_property
-    def distinct_counts(self) -> dict[str, int | None]:
-        return {}
-
     def low_cardinality(self, columns: Sequence[str], limit: int) -> dict[str, int | None]:
         """Exact distinct counts of the columns, or None where they exceed ``limit``.
 
