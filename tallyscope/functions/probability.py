@@ -154,7 +154,7 @@ def t_two_sided_sql(t: str, degrees: str) -> str:
         f" WHEN k % 2 = 1 THEN {2 / math.pi!r}D * (angle + sin(angle) * cos(angle) * {total})"
         f" ELSE sin(angle) * {total} END"
     )
-    few = f"greatest(1 - {let('angle', 'atan(t / sqrt(k))', inside)}, 0D)"
+    few = let("a", let("angle", "atan(t / sqrt(k))", inside), "IF(a > 1, 0D, 1 - a)")
     top = "((-0.4D * y - 3.3D) * y - 24.0D) * y - 85.5D"
     deviate = let(
         "b",

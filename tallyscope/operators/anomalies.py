@@ -40,9 +40,9 @@ def fences(
     """
     t = table(df, by)
     if quartiles is None:
-        found = q.moments_with_quantiles(t, t.numeric, ["n", "min", "max"], [0.25, 0.75], buffered_rows)
+        found = q.moments_with_quantiles(t, t.numeric, ["n", "varies"], [0.25, 0.75], buffered_rows)
         quartiles = found.where(
-            (F.col("n") >= rules.MIN_SHAPE) & (F.col("min") < F.col("max"))
+            (F.col("n") >= rules.MIN_SHAPE) & F.col("varies")
         ).withColumns({"q1": F.col("q")[0], "q3": F.col("q")[1]})
     iqr = F.col("q3") - F.col("q1")
     return quartiles.select(
@@ -195,8 +195,8 @@ def suspicious_values(
     schema = "position int, column string, issue string, count bigint, examples array<double>"
     if not named:
         return _empty(t, schema)
-    facts = moments(t, named, ["n", "min", "max", "zeros", "negatives"]).where(
-        (F.col("n") >= rules.MIN_SHAPE) & (F.col("min") < F.col("max"))
+    facts = moments(t, named, ["n", "varies", "zeros", "negatives"]).where(
+        (F.col("n") >= rules.MIN_SHAPE) & F.col("varies")
     )
     few_zeros = (F.col("zeros") > 0) & (F.col("zeros") < 0.5 * F.col("n"))
     zeros = facts.where(few_zeros).select(

@@ -58,9 +58,9 @@ def correlations(
     columns = t.numeric[:max_columns]
     full: set[str] = set()
     if len(columns) >= 2:
-        facts = moments(Table(t.source.select(*map(field, columns))), columns, ["n", "min", "max"])
+        facts = moments(Table(t.source.select(*map(field, columns))), columns, ["n", "varies"])
         rows = {r["column"]: r for r in facts.collect()}
-        columns = [c for c in columns if rows[c]["n"] > 0 and rows[c]["min"] < rows[c]["max"]]
+        columns = [c for c in columns if rows[c]["varies"]]
         full = {c for c in columns if rows[c]["n"] == t.rows}
     pairs = list(combinations(columns, 2))
     if not pairs:
@@ -108,7 +108,8 @@ def correlations(
     return (
         reduce(DataFrame.unionByName, parts)
         .where(F.col("__rows") >= rules.MIN_SHAPE)
-        .withColumn("r", F.greatest(F.least(raw, F.lit(1.0)), F.lit(-1.0)))
+        .withColumn("raw", raw)
+        .withColumn("r", F.when(F.abs("raw") > 1, F.signum("raw")).otherwise(F.col("raw")))
         .where(is_finite(r))
         .withColumn("df", df_)
         .withColumn("t_value", t_value)

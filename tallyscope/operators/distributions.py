@@ -109,9 +109,9 @@ def distributions(
 ) -> DataFrame:
     """Quantiles, kurtosis, normality test and shape label per numeric column."""
     t = table(df, by)
-    stats = ["n", "min", "max", "skewness", "kurtosis"]
+    stats = ["n", "varies", "skewness", "kurtosis"]
     shape = q.moments_with_quantiles(t, t.numeric, stats, q.LEVELS, buffered_rows).where(
-        (F.col("n") >= rules.MIN_SHAPE) & (F.col("min") < F.col("max"))
+        (F.col("n") >= rules.MIN_SHAPE) & F.col("varies")
     )
     small = shapiro_wilk(t).select(*t.keys, "column", F.col("p").alias("shapiro_p"))
     shape = join_on(shape, small, [*t.by, "column"], "left")

@@ -21,10 +21,10 @@ def numeric_summary(
     Columns with fewer than ten values or a single value are left out.
     """
     t = table(df, by)
-    stats = ["n", "mean", "std", "min", "max", "skewness"]
+    stats = ["n", "mean", "std", "min", "max", "varies", "skewness"]
     return (
         q.moments_with_quantiles(t, t.numeric, stats, [0.5], buffered_rows)
-        .where((F.col("n") >= rules.MIN_SUMMARY) & (F.col("min") < F.col("max")))
+        .where((F.col("n") >= rules.MIN_SUMMARY) & F.col("varies"))
         .withColumn("skewness", finite_or(F.col("skewness"), 0.0))
         .select(
             *t.keys,

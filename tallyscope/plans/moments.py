@@ -15,6 +15,7 @@ SQL = {
     "n": "count({c})",
     "min": "CAST(min({c}) AS DOUBLE)",
     "max": "CAST(max({c}) AS DOUBLE)",
+    "varies": "min({c}) <> max({c})",
     "sum": "sum(CAST({c} AS DOUBLE))",
     "mean": "avg(CAST({c} AS DOUBLE))",
     "std": "stddev_samp({c})",
@@ -26,7 +27,7 @@ SQL = {
 # Aggregation buffer fields of each. Spark compiles an aggregation into one generated loop
 # only below 100 fields, so columns are taken in batches that stay under.
 WIDTH = {
-    "n": 1, "min": 1, "max": 1, "sum": 1, "mean": 2, "std": 3, "skewness": 4, "kurtosis": 5,
+    "n": 1, "min": 1, "max": 1, "varies": 0, "sum": 1, "mean": 2, "std": 3, "skewness": 4, "kurtosis": 5,
     "zeros": 1, "negatives": 1,
 }
 FIELD_BUDGET = 96
@@ -73,9 +74,9 @@ def moments(
 
 
 def empty_like(t: Table, stats: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
-    counts = {"n", "zeros", "negatives"}
+    kinds = dict.fromkeys(("n", "zeros", "negatives"), "bigint") | {"varies": "boolean"}
     columns = [F.lit(0).alias("position"), F.lit("").alias("column")]
-    columns += [F.lit(None).cast("bigint" if s in counts else "double").alias(s) for s in stats]
+    columns += [F.lit(None).cast(kinds.get(s, "double")).alias(s) for s in stats]
     if percentiles:
         columns.append(F.lit(None).cast("array<double>").alias("q"))
     return t.df.select(*t.keys, *columns).where(F.lit(False))
