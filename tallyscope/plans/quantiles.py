@@ -17,17 +17,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.plans.moments import batches, moments
 from tallyscope.plans.table import (
+    BROADCAST_GROUPS,
     Table,
+    checkpointed,
     field,
     inlined,
     join_on,
     quoted,
-    text,
+    unpivoted,
     with_group_values,
 )
 
@@ -53,7 +55,9 @@ def quantiles(
     def computed(levels: Sequence[float]) -> DataFrame:
         if not columns or t.rows <= buffered_rows:
             return moments(t, columns, [], levels)
-        return selected(t, columns, levels)
+        if not t.by:
+            return selected(t, columns, levels)
+        return per_group(t, columns, levels, buffered_rows)
 
     if t.keep and set(probs) <= set(LEVELS) and list(columns) == t.numeric:
         kept = t.kept("quantiles", lambda: computed(LEVELS))
@@ -78,12 +82,28 @@ def moments_with_quantiles(
     return join_on(moments(t, columns, stats), ranked, [*t.by, "column"], "left")
 
 
+def per_group(
+    t: Table, columns: Sequence[str], probs: Sequence[float], buffered_rows: int
+) -> DataFrame:
+    """Groups that fit go to ``percentile``, the few that do not are ranked."""
+    sizes = t.df.groupBy(*t.keys).agg(F.count(F.lit(1)).alias("n"))
+    large = checkpointed(sizes.where(F.col("n") > buffered_rows).select(*t.keys))
+    found = large.count()
+    if found == 0:
+        return moments(t, columns, [], probs)
+    if found <= BROADCAST_GROUPS:
+        large = F.broadcast(large)
+    rest = Table(join_on(t.source, large, t.by, "left_anti"), t.by)
+    hot = Table(join_on(t.source, large, t.by, "left_semi"), t.by)
+    return moments(rest, columns, [], probs).unionByName(selected(hot, columns, probs))
+
+
 def brackets(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """One row per group: arrays ``lo_i``/``hi_i`` of bracket ends for each column."""
+    """(keys, position, lo, hi): arrays of bracket ends, one per level."""
     k = len(probs)
     around = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
     levels = ", ".join(f"{p!r}D" for p in around)
-    sketches, ends = [], []
+    sketches, rows = [], []
     for i, name in enumerate(columns):
         c = f"CAST({quoted(name)} AS DOUBLE)"
         sketches.append(
@@ -101,11 +121,36 @@ def brackets(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFr
             f"__{i}.hi" if p >= 1 - MARGIN else f"IF({small}, __{i}.hi, __{i}.at[{k + j}])"
             for j, p in enumerate(probs)
         ]
-        ends += [
-            F.expr(f"array({', '.join(low)}) AS lo_{i}"),
-            F.expr(f"array({', '.join(high)}) AS hi_{i}"),
-        ]
-    return t.df.groupBy(*t.keys).agg(*sketches).select(*t.keys, *ends)
+        rows.append(
+            {
+                "position": t.position[name],
+                "lo": f"array({', '.join(low)})",
+                "hi": f"array({', '.join(high)})",
+            }
+        )
+    found = t.df.groupBy(*t.keys).agg(*sketches).select(*t.keys, inlined(rows))
+    return found.where("lo[0] IS NOT NULL")
+
+
+def with_brackets(t: Table, rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Attach its brackets to every value; without group keys they become literals."""
+    if t.by:
+        return with_group_values(t, rows, ends, [*t.by, "position"])
+    found = ends.collect()
+
+    def literal(name: str) -> Column:
+        cases = " ".join(
+            f"WHEN {e['position']} THEN array({', '.join(f'double({v!r})' for v in map(sql_double, e[name]))})"
+            for e in found
+        )
+        return F.expr(f"CASE position {cases} END" if found else "CAST(NULL AS ARRAY<DOUBLE>)")
+
+    return rows.withColumns({"lo": literal("lo"), "hi": literal("hi")})
+
+
+def sql_double(value: float) -> str:
+    """Text that SQL reads back as the same double, infinities included."""
+    return repr(float(value))
 
 
 def chunk_of(value: str, lo: str, hi: str, k: int) -> str:
@@ -142,23 +187,15 @@ def _selected(
     t: Table, columns: Sequence[str], levels: Sequence[float], probs: Sequence[float]
 ) -> DataFrame:
     k = len(levels)
-    rows = with_group_values(t, t.df, brackets(t, columns, levels))
-    placed = inlined(
-        [
-            {
-                "position": t.position[c],
-                "column": text(c),
-                "value": f"CAST({quoted(c)} AS DOUBLE)",
-                "chunk": chunk_of(f"CAST({quoted(c)} AS DOUBLE)", f"lo_{i}", f"hi_{i}", k),
-            }
-            for i, c in enumerate(columns)
-        ]
+    values = t.df.select(
+        *t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS DOUBLE)")
+    ).where("value is not null")
+    rows = with_brackets(t, values, brackets(t, columns, levels)).withColumn(
+        "chunk", F.expr(chunk_of("value", "lo", "hi", k))
     )
     gap = F.pmod("chunk", F.lit(CHUNKS + 1)) == 0
     counts = (
-        rows.select(*t.keys, placed)
-        .where("value is not null")
-        .groupBy(
+        rows.groupBy(
             *t.keys, "position", "column", "chunk", F.when(~gap, F.col("value")).alias("value")
         )
         .agg(F.count(F.lit(1)).alias("n"))

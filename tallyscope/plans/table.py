@@ -292,25 +292,28 @@ BROADCAST_GROUPS = 50_000
 SALTS = 32
 
 
-def with_group_values(t: Table, rows: DataFrame, values: DataFrame) -> DataFrame:
+def with_group_values(
+    t: Table, rows: DataFrame, values: DataFrame, keys: Sequence[str] | None = None
+) -> DataFrame:
     """Attach a row of per-group values (array<double> columns) to every row.
 
     Without group keys the single row of values is read back and becomes literals, so
     the scan keeps its shape. With keys, ``values`` is materialised and counted: a small
     one is broadcast, a large one is joined on the keys plus a salt.
     """
-    names = [c for c in values.columns if c not in t.by]
-    if not t.by:
+    keys = t.by if keys is None else list(keys)
+    if not keys:
         row = values.first()
         literals = [
-            F.array(*[F.lit(x).cast("double") for x in (row[c] or [])]).alias(c) for c in names
+            F.array(*[F.lit(x).cast("double") for x in (row[c] or [])]).alias(c)
+            for c in values.columns
         ]
         return rows.select("*", *literals)
     values = checkpointed(values)
     if values.count() <= BROADCAST_GROUPS:
-        return join_on(rows, F.broadcast(values), t.by)
+        return join_on(rows, F.broadcast(values), keys)
     salted = rows.withColumn(
         "__salt", F.pmod(F.xxhash64(*[field(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
     )
     repeated = values.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return join_on(salted, repeated, [*t.by, "__salt"]).drop("__salt")
+    return join_on(salted, repeated, [*keys, "__salt"]).drop("__salt")
