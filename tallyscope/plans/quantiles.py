@@ -1,7 +1,7 @@
 """Exact, linearly interpolated quantiles at any size.
 
-Up to ``BUFFERED_ROWS`` rows Spark's ``percentile`` does the work: it keeps every distinct
-value of a group in memory. Beyond that:
+Up to ``BUFFERED_VALUES`` values, rows times columns, Spark's ``percentile`` does the work:
+it keeps every distinct value of a group in memory. Beyond that:
 
 1. one pass of ``percentile_approx`` brackets each wanted rank from both sides;
 2. a second pass counts exactly, but only values inside a bracket keep their identity,
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.plans.moments import batches, moments
@@ -29,11 +29,12 @@ from tallyscope.plans.table import (
     inlined,
     join_on,
     quoted,
+    text,
     unpivoted,
     with_group_values,
 )
 
-BUFFERED_ROWS = 500_000
+BUFFERED_VALUES = 8_000_000
 # Levels that a full analysis computes once for all its parts.
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 SKETCH_ACCURACY = 20_000
@@ -48,16 +49,16 @@ def quantiles(
     t: Table,
     columns: Sequence[str],
     probs: Sequence[float],
-    buffered_rows: int = BUFFERED_ROWS,
+    buffered_values: int = BUFFERED_VALUES,
 ) -> DataFrame:
     """(keys, position, column, q) with ``q`` the exact quantiles as array<double>."""
 
     def computed(levels: Sequence[float]) -> DataFrame:
-        if not columns or t.rows <= buffered_rows:
+        if not columns or t.rows * len(columns) <= buffered_values:
             return moments(t, columns, [], levels)
         if not t.by:
             return selected(t, columns, levels)
-        return per_group(t, columns, levels, buffered_rows)
+        return per_group(t, columns, levels, buffered_values)
 
     if t.keep and set(probs) <= set(LEVELS) and list(columns) == t.numeric:
         kept = t.kept("quantiles", lambda: computed(LEVELS))
@@ -71,23 +72,23 @@ def moments_with_quantiles(
     columns: Sequence[str],
     stats: Sequence[str],
     probs: Sequence[float],
-    buffered_rows: int = BUFFERED_ROWS,
+    buffered_values: int = BUFFERED_VALUES,
 ) -> DataFrame:
     """Moments and quantiles, joined per column.
 
     They are two aggregations on purpose: an aggregate that buffers objects, as the
     percentiles do, would take the moments out of generated code with it.
     """
-    ranked = quantiles(t, columns, probs, buffered_rows).drop("position")
+    ranked = quantiles(t, columns, probs, buffered_values).drop("position")
     return join_on(moments(t, columns, stats), ranked, [*t.by, "column"], "left")
 
 
 def per_group(
-    t: Table, columns: Sequence[str], probs: Sequence[float], buffered_rows: int
+    t: Table, columns: Sequence[str], probs: Sequence[float], buffered_values: int
 ) -> DataFrame:
     """Groups that fit go to ``percentile``, the few that do not are ranked."""
     sizes = t.df.groupBy(*t.keys).agg(F.count(F.lit(1)).alias("n"))
-    large = checkpointed(sizes.where(F.col("n") > buffered_rows).select(*t.keys))
+    large = checkpointed(sizes.where(F.col("n") * len(columns) > buffered_values).select(*t.keys))
     found = large.count()
     if found == 0:
         return moments(t, columns, [], probs)
@@ -132,46 +133,63 @@ def brackets(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFr
     return found.where("lo[0] IS NOT NULL")
 
 
-def with_brackets(t: Table, rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """Attach its brackets to every value; without group keys they become literals."""
-    if t.by:
-        return with_group_values(t, rows, ends, [*t.by, "position"])
-    found = ends.collect()
+def placed(t: Table, columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """(keys, position, column, value, chunk) for every value.
 
-    def literal(name: str) -> Column:
-        cases = " ".join(
-            f"WHEN {e['position']} THEN array({', '.join(f'double({v!r})' for v in map(sql_double, e[name]))})"
-            for e in found
+    Without group keys the brackets are a few numbers per column; they are read back and
+    become constants of the generated code.
+    """
+    k = len(levels)
+    ends = brackets(t, columns, levels)
+    if t.by:
+        values = t.df.select(
+            *t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS DOUBLE)")
+        ).where("value is not null")
+        rows = with_group_values(t, values, ends, [*t.by, "position"])
+        chunk = chunk_of("value", [f"lo[{j}]" for j in range(k)], [f"hi[{j}]" for j in range(k)])
+        return rows.withColumn("chunk", F.expr(chunk))
+    found = {e["position"]: e for e in ends.collect()}
+
+    def constants(numbers: Sequence[float]) -> list[str]:
+        return [f"double('{v!r}')" for v in numbers]
+
+    rows = []
+    for name in columns:
+        end = found.get(t.position[name])
+        if end is None:
+            continue  # nothing but nulls
+        value = f"CAST({quoted(name)} AS DOUBLE)"
+        rows.append(
+            {
+                "position": t.position[name],
+                "column": text(name),
+                "value": value,
+                "chunk": chunk_of(value, constants(end["lo"]), constants(end["hi"])),
+            }
         )
-        return F.expr(f"CASE position {cases} END" if found else "CAST(NULL AS ARRAY<DOUBLE>)")
-
-    return rows.withColumns({"lo": literal("lo"), "hi": literal("hi")})
-
+    if not rows:
+        rows = [{"position": 0, "column": "''", "value": "CAST(NULL AS DOUBLE)", "chunk": 0}]
+    return t.df.select(inlined(rows)).where("value is not null")
 
-def sql_double(value: float) -> str:
-    """Text that SQL reads back as the same double, infinities included."""
-    return repr(float(value))
 
-
-def chunk_of(value: str, lo: str, hi: str, k: int) -> str:
+def chunk_of(value: str, lo: Sequence[str], hi: Sequence[str]) -> str:
     """SQL for the number of the chunk a value falls in; it grows with the value.
 
     Chunk j*(CHUNKS+1) holds what lies below bracket j, the next CHUNKS numbers are the
     equal-width slices of bracket j itself.
     """
     cases = []
-    for j in range(k):
-        width = f"({hi}[{j}] - {lo}[{j}])"
+    for j, (low, high) in enumerate(zip(lo, hi)):
+        width = f"({high} - {low})"
         slice_ = (
-            f"IF({width} > 0 AND {width} < double('inf'), least(CAST(floor(({value} - {lo}[{j}])"
+            f"IF({width} > 0 AND {width} < double('inf'), least(CAST(floor(({value} - {low})"
             f" / nullif({width}, 0D) * {CHUNKS}) AS INT), {CHUNKS - 1}), 0)"
         )
         first = j * (CHUNKS + 1)
         cases.append(
-            f"WHEN {value} <= {hi}[{j}] THEN"
-            f" IF({value} >= {lo}[{j}], {first + 1} + {slice_}, {first})"
+            f"WHEN {value} <= {high} THEN IF({value} >= {low}, {first + 1} + {slice_}, {first})"
         )
-    return f"CASE {' '.join(cases)} ELSE {k * (CHUNKS + 1)} END"
+    return f"CASE {' '.join(cases)} ELSE {len(lo) * (CHUNKS + 1)} END"
 
 
 def selected(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -186,16 +204,10 @@ def selected(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFr
 def _selected(
     t: Table, columns: Sequence[str], levels: Sequence[float], probs: Sequence[float]
 ) -> DataFrame:
-    k = len(levels)
-    values = t.df.select(
-        *t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS DOUBLE)")
-    ).where("value is not null")
-    rows = with_brackets(t, values, brackets(t, columns, levels)).withColumn(
-        "chunk", F.expr(chunk_of("value", "lo", "hi", k))
-    )
     gap = F.pmod("chunk", F.lit(CHUNKS + 1)) == 0
     counts = (
-        rows.groupBy(
+        placed(t, columns, levels)
+        .groupBy(
             *t.keys, "position", "column", "chunk", F.when(~gap, F.col("value")).alias("value")
         )
         .agg(F.count(F.lit(1)).alias("n"))

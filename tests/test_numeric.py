@@ -66,7 +66,7 @@ LEVELS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
 def test_ranked_quantiles_are_exact(many):
     frame, df = many
     t = Table(df.drop("g"))
-    found = by_key(q.quantiles(t, t.numeric, LEVELS, buffered_rows=0), "column")
+    found = by_key(q.quantiles(t, t.numeric, LEVELS, buffered_values=0), "column")
     for c in t.numeric:
         assert found[c]["q"] == pytest.approx(frame[c].quantile(LEVELS).tolist(), rel=1e-12)
 
@@ -76,7 +76,7 @@ def test_ranked_quantiles_with_narrow_brackets(many, monkeypatch):
     monkeypatch.setattr(q, "SMALL_GROUP", 100)
     frame, df = many
     t = Table(df.drop("g"))
-    found = by_key(q.quantiles(t, t.numeric, LEVELS, buffered_rows=0), "column")
+    found = by_key(q.quantiles(t, t.numeric, LEVELS, buffered_values=0), "column")
     for c in t.numeric:
         assert found[c]["q"] == pytest.approx(frame[c].quantile(LEVELS).tolist(), rel=1e-12)
 
@@ -88,7 +88,7 @@ def test_ranked_quantiles_per_group(many, monkeypatch, broadcast):
     monkeypatch.setattr(table, "BROADCAST_GROUPS", broadcast)
     frame, df = many
     t = Table(df, ["g"])
-    found = by_key(q.quantiles(t, t.numeric, [0.25, 0.5], buffered_rows=0), "g", "column")
+    found = by_key(q.quantiles(t, t.numeric, [0.25, 0.5], buffered_values=0), "g", "column")
     want = frame.groupby("g").quantile([0.25, 0.5])
     for (g, c), r in found.items():
         assert r["q"] == pytest.approx(want.loc[g][c].tolist(), rel=1e-12)
@@ -101,7 +101,7 @@ def test_a_missed_bracket_is_an_error(many, monkeypatch):
     _, df = many
     t = Table(df.select("spread"))
     with pytest.raises(Exception, match="outside its bracket"):
-        q.quantiles(t, ["spread"], [0.5], buffered_rows=0).collect()
+        q.quantiles(t, ["spread"], [0.5], buffered_values=0).collect()
 
 
 def test_order_and_partitions_do_not_matter(many):
