@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyscope import rules
 from tallyscope.functions.labels import concentration_label
 from tallyscope.plans.histogram import value_counts
-from tallyscope.plans.table import Table, join_on, quoted, table, unpivoted
+from tallyscope.plans.table import Table, join_on, name_at, quoted, table, unpivoted
 
 TOP_VALUES = 5
 DIGEST_LENGTH = 32
@@ -44,8 +44,9 @@ def sizes(t: Table) -> tuple[DataFrame, DataFrame | None]:
                     F.concat(F.lit("="), "value")
                 ),
             )
-            .groupBy("position", "column", "value")
+            .groupBy("position", "value")
             .agg(F.count(F.lit(1)).alias("n"))
+            .select("position", name_at(t, wide), "value", "n")
         )
         parts.append(digest.groupBy(*group).agg(*size))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

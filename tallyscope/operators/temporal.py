@@ -159,7 +159,7 @@ def period_series(
     grain: str | DataFrame | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, metric, x, period, value): sums per calendar period, empty periods as 0.
+    """(keys, metric, periods, x, period, value): sums per calendar period, empty ones 0.
 
     ``grain`` is one of the grain names, the result of ``time_grain``, or None to detect
     it. All metrics are summed in one aggregation; the calendar holds one row per period.
@@ -209,15 +209,22 @@ def period_series(
     ends = long.groupBy(*[field(c) for c in group]).agg(
         F.min("start").alias("from"), F.max("start").alias("to"), F.sum("rows").alias("rows")
     )
-    calendar = ends.where(F.col("rows") >= MIN_DATES).select(
-        *[field(c) for c in group],
-        F.posexplode(F.sequence("from", "to", period_step(F.col("__grain")))).alias("x", "start"),
+    starts = F.sequence("from", "to", period_step(F.col("__grain")))
+    calendar = (
+        ends.where(F.col("rows") >= MIN_DATES)
+        .withColumn("starts", starts)
+        .select(
+            *[field(c) for c in group],
+            F.size("starts").alias("periods"),
+            F.posexplode("starts").alias("x", "start"),
+        )
     )
     filled = join_on(calendar, long.drop("rows"), [*group, "start"], "left")
     return filled.select(
         *t.keys,
         "position",
         "metric",
+        "periods",
         "x",
         period_end(F.col("start"), F.col("__grain")).alias("period"),
         F.coalesce("value", F.lit(0.0)).alias("value"),
@@ -239,20 +246,24 @@ def trends(
     t = table(df, by)
     series = period_series(t, date_col, metrics, grain) if series is None else series
     group = [*t.by, "position", "metric"]
-    # One row per calendar period and metric.
-    order = Window.partitionBy(*[field(c) for c in group]).orderBy("x")
-    before = F.struct("period", "value")
     x, y = F.col("x"), F.col("value")
+
+    def back(steps: int, column: str) -> Column:
+        """The value ``steps`` periods before the end; fixed-width, so hash-aggregated."""
+        return F.max(F.when(x == F.col("periods") - steps, F.col(column)))
+
     fitted = (
-        series.withColumn("before", F.lag(before).over(order))
-        .groupBy(*[field(c) for c in group])
+        series.groupBy(*[field(c) for c in group])
         .agg(
             F.count(F.lit(1)).alias("k"),
             F.avg(y).alias("mean"),
             (F.min(y) == F.max(y)).alias("flat"),
             F.regr_slope(y, x).alias("slope"),
             F.regr_r2(y, x).alias("r2"),
-            F.max_by(F.struct("period", "value", "before"), x).alias("last"),
+            back(1, "period").alias("current_period"),
+            back(2, "period").alias("previous_period"),
+            back(1, "value").alias("current_value"),
+            back(2, "value").alias("previous_value"),
         )
         .where(F.col("k") >= MIN_DATES)
     )
@@ -264,7 +275,7 @@ def trends(
     ).otherwise(F.signum("slope") * float("inf"))
     p = F.when(short | F.col("flat"), 1.0).otherwise(t_two_sided("t_value", "df"))
     slope = F.when(short | F.col("flat"), 0.0).otherwise(F.col("slope"))
-    current, previous = F.col("last.value"), F.col("last.before.value")
+    current, previous = F.col("current_value"), F.col("previous_value")
     return (
         fitted.withColumn("t_value", t_value)
         .withColumn("df", F.greatest(k - 2, F.lit(1)).cast("double"))
@@ -285,10 +296,10 @@ def trends(
                 "slope_pct"
             ),
             "p_value",
-            F.col("last.period").cast("string").alias("current_period"),
-            F.col("last.before.period").cast("string").alias("previous_period"),
-            current.alias("current_value"),
-            previous.alias("previous_value"),
+            F.col("current_period").cast("string").alias("current_period"),
+            F.col("previous_period").cast("string").alias("previous_period"),
+            "current_value",
+            "previous_value",
             F.coalesce(F.try_divide(current - previous, previous) * 100, F.lit(0.0)).alias(
                 "change_pct"
             ),

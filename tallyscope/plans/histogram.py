@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.plans.table import Table, quoted, unpivoted
+from tallyscope.plans.table import Table, name_at, quoted, unpivoted
 
 
 def value_counts(t: Table, columns: Sequence[str]) -> DataFrame:
@@ -19,6 +19,7 @@ def value_counts(t: Table, columns: Sequence[str]) -> DataFrame:
     rows = t.df.select(*t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS STRING)"))
     return (
         rows.where("value is not null")
-        .groupBy(*t.keys, "position", "column", "value")
+        .groupBy(*t.keys, "position", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(*t.keys, "position", name_at(t, columns), "value", "n")
     )

@@ -28,8 +28,8 @@ from tallyscope.plans.table import (
     field,
     inlined,
     join_on,
+    name_at,
     quoted,
-    text,
     unpivoted,
     with_group_values,
 )
@@ -134,7 +134,7 @@ def brackets(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFr
 
 
 def placed(t: Table, columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
-    """(keys, position, column, value, chunk) for every value.
+    """(keys, position, value, chunk) for every value.
 
     Without group keys the brackets are a few numbers per column; they are read back and
     become constants of the generated code.
@@ -142,9 +142,11 @@ def placed(t: Table, columns: Sequence[str], levels: Sequence[float]) -> DataFra
     k = len(levels)
     ends = brackets(t, columns, levels)
     if t.by:
-        values = t.df.select(
-            *t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS DOUBLE)")
-        ).where("value is not null")
+        values = (
+            t.df.select(*t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS DOUBLE)"))
+            .where("value is not null")
+            .drop("column")
+        )
         rows = with_group_values(t, values, ends, [*t.by, "position"])
         chunk = chunk_of("value", [f"lo[{j}]" for j in range(k)], [f"hi[{j}]" for j in range(k)])
         return rows.withColumn("chunk", F.expr(chunk))
@@ -162,13 +164,12 @@ def placed(t: Table, columns: Sequence[str], levels: Sequence[float]) -> DataFra
         rows.append(
             {
                 "position": t.position[name],
-                "column": text(name),
                 "value": value,
                 "chunk": chunk_of(value, constants(end["lo"]), constants(end["hi"])),
             }
         )
     if not rows:
-        rows = [{"position": 0, "column": "''", "value": "CAST(NULL AS DOUBLE)", "chunk": 0}]
+        rows = [{"position": 0, "value": "CAST(NULL AS DOUBLE)", "chunk": 0}]
     return t.df.select(inlined(rows)).where("value is not null")
 
 
@@ -208,11 +209,11 @@ def _selected(
     counts = (
         placed(t, columns, levels)
         .groupBy(
-            *t.keys, "position", "column", "chunk", F.when(~gap, F.col("value")).alias("value")
+            *t.keys, "position", "chunk", F.when(~gap, F.col("value")).alias("value")
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    group = [*t.by, "position", "column"]
+    group = [*t.by, "position"]
     # At most len(probs) * (CHUNKS + 1) + 1 chunks per group from here on.
     whole = Window.partitionBy(*[field(c) for c in group])
     chunks = (
@@ -253,6 +254,7 @@ def _selected(
         .agg(by_level.alias("levels"))
         .select(
             *[field(c) for c in group],
+            name_at(t, columns),
             F.array(*[F.col("levels")[F.lit(float(p))] for p in probs]).alias("q"),
         )
     )

@@ -225,6 +225,7 @@ def exact_distinct(t: Table, columns: Sequence[str]) -> dict[str, int]:
         values = t.df.select(unpivoted(t, names, quoted))
         rows = (
             values.where("value is not null")
+            .select("position", "value")
             .distinct()
             .groupBy("position")
             .agg(F.count(F.lit(1)).alias("n"))
@@ -254,6 +255,12 @@ def unpivoted(t: Table, columns: Sequence[str], value: Callable[[str], str]) ->
     )
 
 
+def name_at(t: Table, columns: Sequence[str]) -> Column:
+    """The column name for a position; lets aggregations group by the number alone."""
+    cases = " ".join(f"WHEN {t.position[c]} THEN {text(c)}" for c in columns)
+    return F.expr(f"CASE position {cases} END").alias("column")
+
+
 def inlined(rows: Sequence[dict[str, object]]) -> Column:
     """Generator that turns one row into several; each is given as SQL per output column."""
     structs = [
