@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from tallyscope import rules
 from tallyscope.functions.probability import t_two_sided
-from tallyscope.plans.table import Table, checkpointed, field, inlined, join_on, quoted, table, text
+from tallyscope.plans.table import (
+    BROADCAST_GROUPS,
+    Table,
+    checkpointed,
+    field,
+    inlined,
+    join_on,
+    quoted,
+    table,
+    text,
+)
 
 GRAINS = ("daily", "weekly", "monthly", "quarterly", "yearly")
 # Largest median gap, in days, of each grain but the last (fixed values).
@@ -98,8 +108,10 @@ def time_grain(
     rows = t.df.select(*t.keys, moment.alias("moment")).where("moment is not null")
     if t.by:
         stats = checkpointed(stats)
-        open_groups = stats.where("not crowded").select(*t.keys)
-        rows = join_on(rows, open_groups, t.by)
+        # The largest crowded groups leave before the join, so no hot key is shuffled.
+        largest = stats.where("crowded").orderBy(F.desc("n")).limit(BROADCAST_GROUPS)
+        rows = join_on(rows, F.broadcast(largest.select(*t.keys)), t.by, "left_anti")
+        rows = join_on(rows, stats.where("not crowded").select(*t.keys), t.by)
     else:
         one = stats.first()
         if one is None or one["crowded"]:
