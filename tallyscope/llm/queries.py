@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import chat, exact, quality, sharding
+from tallyscope.llm import bpe, chat, exact, packing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,30 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in sequences of 1024 tokens."""
+    return packing.pack(
+        packing.pieces(
+            _documents(spark, sf_dir),
+            public_tokenizers.path("byte_bpe_50k.json"),
+            public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            public_tokenizers.PATTERN,
+        )
+    )
+
+
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_texts(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return bpe.decode_ids(encoded, ranks).select(
+        "doc_id",
+        F.expr("octet_length(ids) DIV 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document and whether the rules keep it."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -139,6 +164,8 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op6_feistel_shards": op6_feistel_shards,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_prefix_bpe": op8_prefix_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
