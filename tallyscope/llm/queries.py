@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import bpe, chat, exact, packing, quality, sharding
+from tallyscope.llm import bpe, chat, exact, packing, pii, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,26 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 
+def _listed(spans: str) -> Column:
+    names = F.array(*[F.lit(n) for n in pii.NAMES])
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ","
+    )
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.find_pii(_documents(spark, sf_dir))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(_listed("spans"), 256).alias("base_sha256"), _listed("all_spans").alias("spans")
+    )
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to 40 shards by the permutation of their row numbers."""
     return sharding.shard_rows(_documents(spark, sf_dir), 40).select(
@@ -163,6 +183,7 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_pii": op3_pii,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_prefix_bpe": op8_prefix_bpe,
