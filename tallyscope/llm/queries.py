@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import bpe, chat, exact, packing, pii, quality, sharding
+from tallyscope.llm import bpe, chat, exact, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to 40 shards by the permutation of their row numbers."""
     return sharding.shard_rows(_documents(spark, sf_dir), 40).select(
@@ -184,6 +189,7 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_pii": op3_pii,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_prefix_bpe": op8_prefix_bpe,
