@@ -42,31 +42,36 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         ),
         "chat-up",
     )
-    levels = []
+    levels, ended = [], []
     while True:
-        levels.append(level.where("up IS NOT NULL").select("tree", "id", "up"))
-        if (1 << (len(levels) - 1)) > count or levels[-1].isEmpty():
+        live = level.where("up IS NOT NULL")
+        levels.append(live.select("tree", "id", "up"))
+        if (1 << (len(levels) - 1)) > count or live.isEmpty():
             break
-        above = level.select(
+        # Those at the top of their way are only looked up from now on.
+        known = level
+        for part in ended:
+            known = known.unionAll(part)
+        above = known.select(
             "tree", F.col("id").alias("up"), F.col("up").alias("further"), F.col("total").alias("more"),
             F.col("length").alias("longer"), F.col("top").alias("higher"),
         ).alias("above")
-        here = level.alias("here")
+        ended.append(level.where("up IS NULL"))
         level = written(
-            here.join(
+            live.alias("here").join(
                 above,
                 (F.col("here.up") == F.col("above.up")) & F.col("here.tree").eqNullSafe(F.col("above.tree")),
-                "left",
             ).select(
-                "here.tree", "id", F.col("further").alias("up"),
-                (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length"),
-                F.coalesce("higher", "top").alias("top"),
+                "here.tree", "id", F.col("further").alias("up"), (F.col("total") + F.col("more")).alias("total"),
+                (F.col("length") + F.col("longer")).alias("length"), F.col("higher").alias("top"),
             ),
             "chat-up",
         )
     # Whoever still has someone above after more steps than there are messages stands on a circle.
-    return levels[:-1], level.where("up IS NULL")
+    ways = level.where("up IS NULL")
+    for part in ended:
+        ways = ways.unionAll(part)
+    return levels[:-1], ways
 
 
 def conversations_of_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
