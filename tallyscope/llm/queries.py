@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import bpe, chat, exact, packing, pii, quality, sharding, simhash
+from tallyscope.llm import bpe, chat, exact, lm, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learned from those of other remainders than 2."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm.score_texts(_documents(spark, sf_dir), ~held_out).select(
+        "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to 40 shards by the permutation of their row numbers."""
     return sharding.shard_rows(_documents(spark, sf_dir), 40).select(
@@ -190,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_pii": op3_pii,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_context_tree": op5_context_tree,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_prefix_bpe": op8_prefix_bpe,
