@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import bpe, chat, exact, lm, packing, pii, quality, sharding, simhash
+from tallyscope.llm import bpe, chat, exact, language, lm, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,20 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 
+def _remainder(of: int) -> Column:
+    """crc32 of the id as text, modulo a number (a null id as an empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those of other remainders than 2."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = _remainder(4) == 2
+    return language.with_language(docs, ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def _listed(spans: str) -> Column:
     names = F.array(*[F.lit(n) for n in pii.NAMES])
     return F.array_join(
@@ -83,8 +97,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document, learned from those of other remainders than 2."""
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    return lm.score_texts(_documents(spark, sf_dir), ~held_out).select(
+    return lm.score_texts(_documents(spark, sf_dir), _remainder(7) != 2).select(
         "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 
@@ -196,6 +209,7 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_context_tree": op5_context_tree,
