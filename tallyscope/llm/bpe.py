@@ -253,7 +253,7 @@ class WordEncoder:
 
     _runs = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
     _odd = re.compile(f" [{SPACES}]|[{SPACES}] ")
-    _stopped = re.compile("[^\\W\\d_][,.]$").search
+    _stopped = re.compile(r"[^\W\d_][,.]\Z").search
     #: Characters of texts that are looked up together.
     block = 1_000_000
 
