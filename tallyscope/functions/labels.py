@@ -40,6 +40,8 @@ def kurtosis_label(kurtosis: Column) -> Column:
 
 
 def distribution_label(skew: Column, kurtosis: Column, is_normal: Column) -> Column:
+    """NaN counts as no value: Spark would call it larger than any number."""
+    skew, kurtosis = finite_or(skew, None), finite_or(kurtosis, None)
     return (
         F.when(is_normal | ((F.abs(skew) <= 0.5) & (F.abs(kurtosis) <= 1)), "normal")
         .when(skew > 1, "right-skewed")

@@ -74,24 +74,37 @@ class Analysis:
             parts.insert(0, self["table_quality"].select(F.explode("warnings").alias("warning")))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
     def close(self) -> None:
-        """Give up the kept intermediate results."""
+        """Delete the result tables; they cannot be read afterwards."""
         self.table.release()
 
 
 class Part:
     """Results of one chain of operators; a failing operator does not stop the others."""
 
-    def __init__(self) -> None:
+    def __init__(self, t: Table) -> None:
+        self.t = t
         self.tables: dict[str, DataFrame] = {}
         self.notes: list[tuple[str, str, str]] = []
 
     def add(
         self, name: str, compute: Callable[[], DataFrame | None], empty: str | None = None
     ) -> None:
-        """Compute a table; with ``empty`` an empty one is noted with that sentence."""
+        """Compute a table; with ``empty`` an empty one is noted with that sentence.
+
+        The table is written here and now, so that whatever fails while it is read fails here, and
+        so that it shows the input of this run.
+        """
         try:
             result = compute()
+            if result is not None and not self.t.is_kept(result):
+                result = self.t.kept(f"part {name}", lambda made=result: made)
             nothing = result is None or (empty is not None and result.isEmpty())
         except Exception as error:  # noqa: BLE001 - reported, never hidden
             self.notes.append((name, "failed", f"{name} failed: {str(error).splitlines()[0]}"))
@@ -210,7 +223,8 @@ def analyze(df: DataFrame, depth: str = "standard", by: Sequence[str] = ()) -> A
 
     The parts do not depend on each other, so their Spark jobs are submitted together and
     share the cluster; what several parts need is computed once, beforehand or by whoever
-    asks first.
+    asks first. Results are tables in the shared folder, made anew by every call; they go with
+    ``close()``, or as a context manager's block or the process ends.
     """
     if depth not in ("quick", "standard"):
         raise ValueError(f"depth must be quick or standard, not {depth!r}")
@@ -218,12 +232,14 @@ def analyze(df: DataFrame, depth: str = "standard", by: Sequence[str] = ()) -> A
     t = Table(df, by, keep=True)
     run = Analysis(t, depth)
     chains = STANDARD if depth == "standard" else QUICK
-    schema.infer_types(t)
+    first = Part(t)
+    first.add("types", lambda: schema.infer_types(t) and None)
+    run.notes.extend(first.notes)
     with ThreadPoolExecutor(max_workers=len(chains)) as pool:
         for part in pool.map(lambda chain: run_part(chain, t), chains):
             run.tables.update(part.tables)
             run.notes.extend(part.notes)
-    last = Part()
+    last = Part(t)
     last.add("findings", lambda: findings.findings(run.tables, depth, t.by))
     run.tables.update(last.tables)
     run.notes.extend(last.notes)
@@ -231,7 +247,7 @@ def analyze(df: DataFrame, depth: str = "standard", by: Sequence[str] = ()) -> A
 
 
 def run_part(chain: Callable[[Table, Part], None], t: Table) -> Part:
-    part = Part()
+    part = Part(t)
     try:
         chain(t, part)
     except Exception as error:  # noqa: BLE001 - reported, never hidden

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tallyscope import rules
 from tallyscope.plans import quantiles as q
 from tallyscope.plans.moments import moments
+from tallyscope.plans.shared import written
 from tallyscope.plans.table import (
     Table,
-    checkpointed,
     field,
     inlined,
     join_on,
@@ -132,14 +132,25 @@ def _empty(t: Table, schema: str) -> DataFrame:
 
 
 def identified(t: Table, row_id: str | None) -> tuple[DataFrame, Column]:
-    """Rows with an identifier: a given column, or Spark's increasing row number.
+    """Rows with an identifier: a given column, or the position in the order of the scan.
 
-    The row number follows the order of the scan. It is the position in the table for a
-    single input split and increasing, but not gap-free, beyond.
+    Rows are counted per partition first (one number each comes back), so the table must come in
+    the same partitions when it is read twice, as files do.
     """
     if row_id is not None:
         return t.df, field(row_id)
-    return t.df.withColumn("__row", F.monotonically_increasing_id()), F.col("__row")
+    place = F.monotonically_increasing_id()
+    part = F.shiftright(F.col("__place"), 33)
+    numbered = t.df.withColumn("__place", place)
+    counts = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    starts, total = [], 0
+    for r in sorted(counts):
+        starts.append((r["part"], total))
+        total += r["n"]
+    offsets = t.spark.createDataFrame(starts, "__part bigint, __start bigint")
+    rows = numbered.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    index = F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__row", index), F.col("__row")
 
 
 def outlier_examples(
@@ -264,6 +275,6 @@ def z_score_outliers(df: DataFrame | Table, by: Sequence[str] = (), limit: float
         (F.col("mean") - limit * F.col("std")).alias("lower_bound"),
         (F.col("mean") + limit * F.col("std")).alias("upper_bound"),
     )
-    return column_outliers(t, bounds=checkpointed(ends)).select(
+    return column_outliers(t, bounds=written(ends, "ends")).select(
         *t.keys, "position", "column", "n", F.col("outlier_count").alias("z_count")
     )

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from tallyscope import rules
 from tallyscope.functions.labels import concentration_label
 from tallyscope.plans.histogram import value_counts
-from tallyscope.plans.table import Table, join_on, name_at, quoted, table, unpivoted
+from tallyscope.plans.table import Table, digest, join_on, name_at, quoted, table, unpivoted
 
 TOP_VALUES = 5
-DIGEST_LENGTH = 32
 
 
 def categorical_columns(t: Table) -> list[str]:
@@ -35,20 +34,15 @@ def sizes(t: Table) -> tuple[DataFrame, DataFrame | None]:
     counts = value_counts(t, counted) if counted else None
     parts = [counts.groupBy(*group).agg(*size)] if counted else []
     if wide:
-        digest = (
+        short = (
             t.df.select(unpivoted(t, wide, quoted))
             .where("value is not null")
-            .withColumn(
-                "value",
-                F.when(F.length("value") > DIGEST_LENGTH, F.md5("value")).otherwise(
-                    F.concat(F.lit("="), "value")
-                ),
-            )
+            .withColumn("value", digest(F.col("value")))
             .groupBy("position", "value")
             .agg(F.count(F.lit(1)).alias("n"))
             .select("position", name_at(t, wide), "value", "n")
         )
-        parts.append(digest.groupBy(*group).agg(*size))
+        parts.append(short.groupBy(*group).agg(*size))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if t.by:
         rows = t.df.groupBy(*t.keys).agg(F.count(F.lit(1)).alias("rows"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope import rules
+from tallyscope.functions.labels import finite_or
+from tallyscope.operators.schema import temporal_strings
 from tallyscope.operators.temporal import period_end, period_start
 from tallyscope.plans.moments import moments
 from tallyscope.plans.table import Table, exact_distinct, field, table
@@ -30,8 +32,8 @@ def aggregated(column: str, how: str) -> Column:
 
 
 def x_axis(t: Table, x: str) -> Column:
-    """Dates as timestamps, anything else as it is."""
-    if t.kinds[x] == "temporal" or t.date_formats.get(x) is not None:
+    """Dates as timestamps, anything else as it is; text counts as dates if most of it is."""
+    if t.kinds[x] == "temporal" or temporal_strings(t, [x] if t.kinds[x] == "string" else []):
         return t.moment(x)
     return field(x)
 
@@ -88,25 +90,32 @@ def chart_donut(
 
 
 def chart_histogram(df: DataFrame | Table, column: str, bins: int = BINS) -> DataFrame:
-    """(bin, lower, upper, count) over equal-width bins, empty bins left out."""
+    """(bin, lower, upper, count) over equal-width bins, empty bins left out.
+
+    The bins span the finite values. Infinities come in bins of their own, -1 and ``bins``.
+    """
     t = table(df)
     value = field(column).cast("double")
-    ends = t.df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    finite = finite_or(value, None)
+    ends = t.df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
     if ends["lo"] is None:
         lo, width = 0.0, 0.0
     else:
-        lo, width = ends["lo"], (ends["hi"] - ends["lo"]) / bins
+        lo, width = ends["lo"], ends["hi"] / bins - ends["lo"] / bins
     number = F.lit(0)
     if width > 0:
-        number = F.least(F.floor((value - lo) / width).cast("int"), F.lit(bins - 1))
+        number = F.least(F.floor((finite - lo) / width).cast("int"), F.lit(bins - 1))
+    number = F.when(finite.isNotNull(), number).when(value > 0, bins).otherwise(-1)
+    inside = F.col("bin").between(0, bins - 1)
+    lower, upper = F.lit(lo) + F.col("bin") * F.lit(width), F.lit(lo) + (F.col("bin") + 1) * F.lit(width)
     return (
         t.df.where(value.isNotNull())
         .groupBy(number.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
         .select(
             "bin",
-            (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
-            (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"),
+            F.when(inside | (F.col("bin") > 0), lower).otherwise(float("-inf")).alias("lower"),
+            F.when(inside | (F.col("bin") < 0), upper).otherwise(float("inf")).alias("upper"),
             "count",
         )
     )

@@ -98,8 +98,12 @@ def shapiro_wilk(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
     )
     z = f"(ln(1 - w) - {polynomial(LOG_MEAN, 'ln(n)')}) / exp({polynomial(LOG_SD, 'ln(n)')})"
     return (
-        weighted.withColumn("w", F.least(F.try_divide(top * top, F.col("ss")), F.lit(1.0)))
-        .withColumn("p", F.when(F.col("w") >= 1, 1.0).otherwise(normal_upper_tail(z)))
+        weighted.withColumn("raw", F.try_divide(top * top, F.col("ss")))
+        # An infinite value leaves no statistic; least() would take NaN for the larger one.
+        .withColumn("w", F.when(is_finite(F.col("raw")), F.least("raw", F.lit(1.0))))
+        .withColumn(
+            "p", F.when(F.col("w") >= 1, 1.0).when(F.col("w").isNotNull(), normal_upper_tail(z))
+        )
         .select(*t.keys, "column", "n", "w", "p")
     )
 

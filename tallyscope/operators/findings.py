@@ -283,8 +283,8 @@ def scores(spark) -> DataFrame:
     )
 
 
-def ranked(found: DataFrame, by: Sequence[str], kept: int = KEPT) -> DataFrame:
-    """Highest score first, in generator order among equals, ``kept`` per group."""
+def ranked(found: DataFrame, by: Sequence[str], kept: int | None = KEPT) -> DataFrame:
+    """Highest score first, in generator order among equals, ``kept`` per group (None: all)."""
     known = F.when(F.col("category").isin(*CATEGORY_SCORES), F.col("category"))
     scored = join_on(
         found.withColumn("known", known), F.broadcast(scores(found.sparkSession)),
@@ -292,7 +292,8 @@ def ranked(found: DataFrame, by: Sequence[str], kept: int = KEPT) -> DataFrame:
     )
     keys = [field(k) for k in by] or [F.lit(0)]
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "seq")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept)
+    scored = scored.withColumn("rank", F.row_number().over(order))
+    return scored if kept is None else scored.where(F.col("rank") <= kept)
 
 
 COLUMNS = ("rank", "title", "body", "severity", "category", "score", "source_key", "supporting_data")
@@ -337,6 +338,6 @@ def findings(
     keys = [field(k) for k in by]
     if depth == "quick":
         order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("seq")
-        numbered = ranked(found, by, kept=1000).withColumn("rank", F.row_number().over(order))
+        numbered = ranked(found, by, kept=None).withColumn("rank", F.row_number().over(order))
         return numbered.select(*keys, *COLUMNS)
     return ranked(found, by).select(*keys, *COLUMNS)

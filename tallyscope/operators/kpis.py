@@ -62,7 +62,7 @@ def number_entries(t: Table, types: dict[str, str]) -> tuple[list[str], list[dic
         elif rules.named_like(c, rules.COUNT_NAME):
             wanted += [f"sum({value}) AS sum{i}", f"count({value}) AS n{i}"]
             entries.append(
-                entry(f"Total {title}", f"sum{i} - sum{i} % 1", text(c), "sum", 0.80,
+                entry(f"Total {title}", f"round(sum{i}, 6) - round(sum{i}, 6) % 1", text(c), "sum", 0.80,
                       valid=f"n{i} > 0", whole=True)
             )
     return wanted, entries

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from tallyscope import rules
 from tallyscope.functions.labels import finite_or, fixed
 from tallyscope.plans.moments import batches
-from tallyscope.plans.table import Table, checkpointed, field, inlined, join_on, quoted, table, text
+from tallyscope.plans.shared import written
+from tallyscope.plans.table import Table, field, inlined, join_on, quoted, table, text
 
-# Up to this many repeated row hashes (8 bytes each) are broadcast.
+# Up to this many repeated row hashes (8 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 
 
 def column_facts(t: Table, columns: Sequence[str]) -> list[Column]:
     """Per column the number of values and whether they are all the same.
 
-    Text is compared through its hash: fixed-width buffers keep the aggregation in
+    Text is compared through its 64-bit hash (a column of different texts would have to collide in
+    all its rows to be called constant): fixed-width buffers keep the aggregation in
     Spark's hash aggregate, where the texts themselves would force a sort per group.
     """
     facts = []
@@ -75,7 +77,9 @@ def constant_columns(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame
     return column_quality(t).where("is_constant").select(*t.keys, "position", "column")
 
 
-def duplicate_rows(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
+def duplicate_rows(
+    df: DataFrame | Table, by: Sequence[str] = (), broadcast_hashes: int = BROADCAST_HASHES
+) -> DataFrame:
     """(keys, duplicate_rows): rows equal to an earlier row, nulls equal to each other.
 
     Only row hashes are shuffled first. Rows are compared in full, and so exactly, only
@@ -87,12 +91,13 @@ def duplicate_rows(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
         field(c) + 0.0 if t.kinds[c] == "float" else field(c) for c in columns
     ]  # -0.0 and 0.0 are equal values
     rows = t.df.withColumn("__hash", F.xxhash64(*hashed))
-    repeated = checkpointed(
-        rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__hash")
+    repeated = written(
+        rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__hash"),
+        "repeated",
     )
-    found = repeated.count()
-    if found <= BROADCAST_HASHES:
-        rows = rows.join(F.broadcast(repeated), "__hash", "left_semi")
+    if repeated.count() <= broadcast_hashes:
+        repeated = F.broadcast(repeated)
+    rows = rows.join(repeated, "__hash", "left_semi")
     copies = rows.groupBy(*[field(c) for c in columns]).agg((F.count(F.lit(1)) - 1).alias("n"))
     counted = copies.groupBy(*t.keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"))
     if not t.by:

@@ -12,7 +12,7 @@ from tallyscope.plans.table import Table, exact_distinct, field, table
 def temporal_strings(t: Table, columns: list[str]) -> set[str]:
     """String columns of whose first 100 values more than 80 % are dates."""
     columns = [c for c in columns if t.date_formats[c] is not None]
-    samples = t.leading(columns, rules.DATE_SAMPLE, width=64)
+    samples = t.leading(columns, rules.DATE_SAMPLE, width=200)
     values = [(c, t.date_formats[c], v) for c, sample in samples.items() for v in sample]
     if not values:
         return set()

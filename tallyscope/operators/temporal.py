@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyscope import rules
 from tallyscope.functions.probability import t_two_sided
+from tallyscope.plans.shared import written
 from tallyscope.plans.table import (
-    BROADCAST_GROUPS,
     Table,
-    checkpointed,
     field,
     inlined,
     join_on,
@@ -21,6 +20,8 @@ from tallyscope.plans.table import (
     text,
 )
 
+# Keys of so many groups are broadcast.
+LARGEST_GROUPS = 50_000
 GRAINS = ("daily", "weekly", "monthly", "quarterly", "yearly")
 # Largest median gap, in days, of each grain but the last (fixed values).
 GRAIN_DAYS = (("daily", 1.5), ("weekly", 8.0), ("monthly", 35.0), ("quarterly", 100.0))
@@ -107,9 +108,9 @@ def time_grain(
     moment = t.moment(date_col)
     rows = t.df.select(*t.keys, moment.alias("moment")).where("moment is not null")
     if t.by:
-        stats = checkpointed(stats)
+        stats = written(stats, "grain")
         # The largest crowded groups leave before the join, so no hot key is shuffled.
-        largest = stats.where("crowded").orderBy(F.desc("n")).limit(BROADCAST_GROUPS)
+        largest = stats.where("crowded").orderBy(F.desc("n")).limit(LARGEST_GROUPS)
         rows = join_on(rows, F.broadcast(largest.select(*t.keys)), t.by, "left_anti")
         rows = join_on(rows, stats.where("not crowded").select(*t.keys), t.by)
     else:

@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.plans.moments import batches, moments
+from tallyscope.plans.shared import written
 from tallyscope.plans.table import (
-    BROADCAST_GROUPS,
     Table,
-    checkpointed,
     field,
     inlined,
     join_on,
@@ -43,6 +42,8 @@ MARGIN = 4.0 / SKETCH_ACCURACY
 # Groups with fewer values are bracketed by their minimum and maximum.
 SMALL_GROUP = 40_000
 CHUNKS = 64
+# Keys of so many large groups are broadcast.
+LARGE_GROUPS = 50_000
 
 
 def quantiles(
@@ -88,11 +89,11 @@ def per_group(
 ) -> DataFrame:
     """Groups that fit go to ``percentile``, the few that do not are ranked."""
     sizes = t.df.groupBy(*t.keys).agg(F.count(F.lit(1)).alias("n"))
-    large = checkpointed(sizes.where(F.col("n") * len(columns) > buffered_values).select(*t.keys))
+    large = written(sizes.where(F.col("n") * len(columns) > buffered_values).select(*t.keys), "large")
     found = large.count()
     if found == 0:
         return moments(t, columns, [], probs)
-    if found <= BROADCAST_GROUPS:
+    if found <= LARGE_GROUPS:
         large = F.broadcast(large)
     rest = Table(join_on(t.source, large, t.by, "left_anti"), t.by)
     hot = Table(join_on(t.source, large, t.by, "left_semi"), t.by)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from functools import cached_property, reduce
 from threading import Lock
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope import rules
+from tallyscope.plans.shared import discard, written
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
@@ -19,6 +19,10 @@ TEMPORAL_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 # Rows looked at on the driver to settle what a few values can already prove.
 HEAD_ROWS = 2000
+# Leading values that decide on the format of dates in text.
+DATE_VALUES = 100
+# Longer texts are compared by a 128-bit digest, so that they are not shuffled.
+DIGEST_LENGTH = 32
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -64,6 +68,7 @@ class Table:
         self.by = list(by)
         self.keep = keep
         self._kept: dict[str, DataFrame] = {}
+        self._paths: list[str] = []
         self._lock = Lock()
         self._locks: dict[str, Lock] = {}
         self.distinct_counts: dict[str, int] = {}
@@ -157,19 +162,24 @@ class Table:
 
     @cached_property
     def date_formats(self) -> dict[str, str | None]:
-        """For each string column the format that reads its first value, if any."""
-        first = self.leading(self.strings, 1, width=64)
-        named = [(c, v[0]) for c, v in first.items() if v]
+        """For each string column the format that reads most of its leading values, if any.
+
+        Among equals the one listed first; values are cut where no format could read them.
+        """
+        first = self.leading(self.strings, DATE_VALUES, width=200)
+        named = [(c, x) for c, v in first.items() for x in v]
         formats: dict[str, str | None] = {c: None for c in self.strings}
         if not named:
             return formats
         probe = self.spark.createDataFrame(named, "name string, value string")
         reads = [
-            F.when(F.try_to_timestamp("value", F.lit(f)).isNotNull(), F.lit(f))
-            for f in rules.DATE_FORMATS
+            F.count(F.try_to_timestamp("value", F.lit(f))).alias(f"read{i}")
+            for i, f in enumerate(rules.DATE_FORMATS)
         ]
-        for row in probe.select("name", F.coalesce(*reads).alias("format")).collect():
-            formats[row["name"]] = row["format"]
+        for row in probe.groupBy("name").agg(*reads).collect():
+            most = max(row[1:])
+            if most:
+                formats[row["name"]] = rules.DATE_FORMATS[row[1:].index(most)]
         return formats
 
     def moment(self, column: str) -> Column:
@@ -179,21 +189,30 @@ class Table:
         text_format = self.date_formats.get(column)
         if text_format is None:
             return F.lit(None).cast("timestamp_ntz")
-        return F.try_to_timestamp(field(column), F.lit(text_format)).cast("timestamp_ntz")
+        # Read as UTC and counted up from a zoneless zero: the session's zone has hours that do
+        # not exist, and would move local times that fall into them.
+        read = F.try_to_timestamp(F.concat(field(column), F.lit(" +0000")), F.lit(f"{text_format} xx"))
+        return zoneless(read)
 
     def kept(self, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
-        """A result that several analyses read, computed once; rows are groups x columns."""
+        """A result that several analyses read, computed once; rows are groups x columns.
+
+        It is written to the shared folder, under a new name in every run: Spark's cache would
+        take a file for the same as long as its path is.
+        """
         with self._lock:
             lock = self._locks.setdefault(name, Lock())
         with lock:
             if name not in self._kept:
-                self._kept[name] = compute().persist()
+                self._kept[name] = written(compute(), "kept", self._paths)
         return self._kept[name]
 
+    def is_kept(self, df: DataFrame) -> bool:
+        return any(df is kept for kept in self._kept.values())
+
     def release(self) -> None:
-        for df in self._kept.values():
-            df.unpersist()
         self._kept.clear()
+        discard(self._paths)
 
     def low_cardinality(self, columns: Sequence[str], limit: int) -> dict[str, int | None]:
         """Exact distinct counts of the columns, or None where they exceed ``limit``.
@@ -212,6 +231,15 @@ class Table:
         return {c: n if n is not None and n <= limit else None for c, n in counts.items()}
 
 
+def zoneless(instant: Column) -> Column:
+    """The UTC reading of an instant as a timestamp without zone."""
+    micros = F.unix_micros(instant)
+    days = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    whole, rest = F.floor(micros / 86_400_000_000), F.pmod(micros, F.lit(86_400_000_000))
+    seconds = (rest / 1_000_000).cast("decimal(18,6)")
+    return days + F.make_dt_interval(whole.cast("int"), F.lit(0), F.lit(0), seconds)
+
+
 def table(df: DataFrame | Table, by: Sequence[str] = ()) -> Table:
     if isinstance(df, Table):
         return df
@@ -219,12 +247,15 @@ def table(df: DataFrame | Table, by: Sequence[str] = ()) -> Table:
 
 
 def exact_distinct(t: Table, columns: Sequence[str]) -> dict[str, int]:
-    """Exact number of distinct non-null values per column, over the whole table."""
+    """Number of distinct non-null values per column, over the whole table (long texts: of their
+    128-bit digests)."""
     counts = {c: 0 for c in columns}
     for names in same_type(t, columns):
-        values = t.df.select(unpivoted(t, names, quoted))
+        values = t.df.select(unpivoted(t, names, quoted)).where("value is not null")
+        if t.kinds[names[0]] == "string":
+            values = values.withColumn("value", digest(F.col("value")))
         rows = (
-            values.where("value is not null")
+            values
             .select("position", "value")
             .distinct()
             .groupBy("position")
@@ -236,6 +267,11 @@ def exact_distinct(t: Table, columns: Sequence[str]) -> dict[str, int]:
     return counts
 
 
+def digest(value: Column) -> Column:
+    """A short stand-in for a text: itself, or its 128-bit digest if it is long."""
+    return F.when(F.length(value) > DIGEST_LENGTH, F.md5(value)).otherwise(F.concat(F.lit("="), value))
+
+
 def same_type(t: Table, columns: Sequence[str]) -> list[list[str]]:
     """Split columns into lists that can share one value column."""
     lists: dict[str, list[str]] = {}
@@ -280,21 +316,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined.drop(*renamed.values())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and cut its lineage there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tallyscope-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-# A per-group table is broadcast only when it has been counted and is this small.
-BROADCAST_GROUPS = 50_000
+# A per-group table is broadcast only when it has been counted and has no more bytes than this.
+BROADCAST_BYTES = 32_000_000
 # Otherwise its rows are repeated this often, so that one hot group is shared by as many tasks.
 SALTS = 32
 
@@ -316,8 +339,9 @@ def with_group_values(
             for c in values.columns
         ]
         return rows.select("*", *literals)
-    values = checkpointed(values)
-    if values.count() <= BROADCAST_GROUPS:
+    values = written(values, "group-values")
+    numbers = sum(isinstance(f.dataType, T.ArrayType) for f in values.schema.fields) * len(t.columns)
+    if values.count() * (64 + 8 * numbers) <= BROADCAST_BYTES:
         return join_on(rows, F.broadcast(values), keys)
     salted = rows.withColumn(
         "__salt", F.pmod(F.xxhash64(*[field(c) for c in rows.columns]), F.lit(SALTS)).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,6 @@ NUMBER_TEXT = (
     r"^\\s*[+-]?([0-9]+\\.?[0-9]*([eE][+-]?[0-9]+)?|\\.[0-9]+([eE][+-]?[0-9]+)?"
     r"|(?i:inf|infinity))\\s*$"
 )
-UNREADABLE = "�"
 CORRUPT = "__corrupt"
 
 
@@ -107,7 +107,7 @@ def read_csv(
     path: str,
     encoding: str | None = None,
     max_rows: int | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
     path_glob: str = "*.csv",
     row_index: str | None = None,
 ) -> CsvTable:
@@ -115,20 +115,20 @@ def read_csv(
 
     Lines with too many fields are dropped and counted, short ones padded. Types are
     decided on all rows in one aggregation over the text. Without ``encoding`` the files
-    are taken as UTF-8, or as Latin-1 if that leaves unreadable characters. Set
-    ``multiline=False`` if no field contains a line break: Spark can then split large
-    files. ``row_index`` adds a column with the position of each row.
+    are taken as UTF-8, or as Latin-1 if their bytes are not valid UTF-8. Files are split among
+    tasks unless a line with an open quote shows that a field contains a line break;
+    ``multiline`` settles that without a look. All files must have the same header.
+    ``row_index`` adds a column that increases with the position of each row.
     """
     first = _reader(spark, encoding or "UTF-8", True, path_glob).csv(path).take(1)
     if not first:
         raise InputError("the file is empty")
-    used = encoding or "UTF-8"
+    _same_headers(spark, path, path_glob)
+    used = encoding or ("UTF-8" if _valid_utf8(spark, path, path_glob) else "ISO-8859-1")
+    if multiline is None:
+        multiline = _has_open_quotes(spark, path, path_glob)
     names = clean_names(_header(spark, path, used, path_glob))
     lines, facts = _facts(spark, path, names, used, multiline, path_glob, max_rows)
-    if encoding is None and facts["unreadable"]:
-        used = "ISO-8859-1"
-        names = clean_names(_header(spark, path, used, path_glob))
-        lines, facts = _facts(spark, path, names, used, multiline, path_glob, max_rows)
     if facts["rows"] == 0:
         raise InputError("the file contains no data rows")
 
@@ -149,6 +149,40 @@ def read_csv(
     )
 
 
+def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Lines as their bytes; the text source does not check them."""
+    return spark.read.option("pathGlobFilter", glob).text(path)
+
+
+def _valid_utf8(spark: SparkSession, path: str, glob: str) -> bool:
+    """Stops at the first line that is not."""
+    return _lines(spark, path, glob).where(~F.is_valid_utf8("value")).isEmpty()
+
+
+def _has_open_quotes(spark: SparkSession, path: str, glob: str) -> bool:
+    """Whether some line has an odd number of quotes; stops at the first one."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not _lines(spark, path, glob).where(quotes % 2 == 1).isEmpty()
+
+
+def _same_headers(spark: SparkSession, path: str, glob: str) -> None:
+    """Columns are read by place, so a file with another header line would be misread."""
+    files = _lines(spark, path, glob).inputFiles()
+    if len(files) < 2:
+        return
+
+    def first(file: str) -> str | None:
+        line = spark.read.text(file).first()
+        return None if line is None else line.value.lstrip("\ufeff").rstrip("\r")
+
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        headers = dict(zip(files, pool.map(first, files)))
+    found = {h for h in headers.values() if h is not None}
+    if len(found) > 1:
+        other = next(f for f, h in headers.items() if h not in (None, headers[files[0]]))
+        raise InputError(f"{other} has another header than {files[0]}")
+
+
 def _header(spark: SparkSession, path: str, encoding: str, glob: str) -> list[str | None]:
     row = (
         _reader(spark, encoding, True, glob)
@@ -182,12 +216,8 @@ def _facts(spark, path, names, encoding, multiline, glob, max_rows):
             F.expr(f"count_if({whole}) AS int{i}"),
             F.expr(f"count_if({c} RLIKE '{NUMBER_TEXT}') AS num{i}"),
             F.expr(f"count_if({c} IN ({tokens})) AS bool{i}"),
-            F.expr(f"count_if(contains({c}, '{UNREADABLE}')) AS bad{i}"),
         ]
     facts = texts.agg(*wanted).first().asDict()
-    facts["unreadable"] = any(facts[f"bad{i}"] for i in range(len(names))) or any(
-        UNREADABLE in n for n in names
-    )
     return texts.where("not __long").drop("__long"), facts
 
 
@@ -195,9 +225,9 @@ def _typed(column: str, facts: dict, i: int) -> Column:
     n = facts[f"n{i}"]
     value = F.col(column)
     if facts[f"int{i}"] == n:
-        return F.trim(value).cast("bigint")
+        return F.trim(value).try_cast("bigint")
     if facts[f"num{i}"] == n:
-        return F.trim(value).cast("double")
+        return F.trim(value).try_cast("double")
     if facts[f"bool{i}"] == n:
         return F.when(value.isNotNull(), value.isin(*TRUE_TOKENS))
     return value

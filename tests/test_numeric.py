@@ -85,7 +85,7 @@ def test_ranked_quantiles_with_narrow_brackets(many, monkeypatch):
 def test_ranked_quantiles_per_group(many, monkeypatch, broadcast):
     from tallyscope.plans import table
 
-    monkeypatch.setattr(table, "BROADCAST_GROUPS", broadcast)
+    monkeypatch.setattr(table, "BROADCAST_BYTES", broadcast)
     frame, df = many
     t = Table(df, ["g"])
     found = by_key(q.quantiles(t, t.numeric, [0.25, 0.5], buffered_values=0), "g", "column")
