@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tallyscope.llm.tables import fresh, written
 
+#: Characters of a text that splitters hold; texts alike in them are told apart by hash.
+LEAD = 64
 #: The characters that do not count, space and U+0009 to U+000D.
 IGNORED = " \t\n\x0b\x0c\r"
 
@@ -44,26 +46,27 @@ def _sorted_groups(docs: DataFrame, id_column: str, text_column: str, payload: b
         columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = docs.select(*columns)
     hot = _hot_hashes(docs.select(F.xxhash64(normalised(text)).alias("hash")), docs.count())
+    rows = rows.withColumns({"lead": F.substring("norm", 1, LEAD), "hash": F.xxhash64("norm")})
     if hot:
         known = spark.createDataFrame([(h,) for h in hot], "hash long")
         rows = (
-            rows.withColumn("hash", F.xxhash64("norm"))
-            .join(F.broadcast(known.withColumn("is_hot", F.lit(True))), "hash", "left")
+            rows.join(F.broadcast(known.withColumn("is_hot", F.lit(True))), "hash", "left")
             .withColumn("hot", F.coalesce("is_hot", F.lit(False)))
             .withColumn(
                 "salt",
                 F.when(F.col("hot"), F.pmod(F.xxhash64("id", "points"), F.lit(tasks)).cast("int"))
                 .otherwise(0),
             )
-            .drop("hash", "is_hot")
+            .drop("is_hot")
         )
     else:
         rows = rows.withColumns({"hot": F.lit(False), "salt": F.lit(0)})
     order = [F.col("points").desc(), F.col("id").asc_nulls_last()]
-    group = W.partitionBy("norm", "salt").orderBy(*order)
+    # The sort goes by lead, hash and whole text, so neighbours with equal keys are compared in full.
+    group = W.partitionBy("lead", "hash", "norm", "salt").orderBy(*order)
     everything = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return (
-        rows.repartitionByRange("norm", "salt")
+        rows.repartitionByRange("lead", "hash", "salt")
         .withColumns(
             {
                 "best": F.first("id").over(everything),
@@ -72,7 +75,7 @@ def _sorted_groups(docs: DataFrame, id_column: str, text_column: str, payload: b
             }
         )
         .withColumn("digest", F.sha2("norm", 256))
-        .drop("norm")
+        .drop("norm", "lead", "hash")
     )
 
 
