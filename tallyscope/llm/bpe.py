@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyscope.llm.tables import map_batches
+
 #: Unicode's White_Space, as in a character class.
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Entries of a cache of encoded words in a Python worker; it starts anew when full. Speed only.
@@ -342,7 +344,7 @@ def encode_texts(
 
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
     schema = T.StructType([rows.schema["id"], T.StructField("ids", T.BinaryType())])
-    return rows.mapInArrow(encode, schema).withColumnRenamed("id", id_column)
+    return map_batches(rows, encode, schema).withColumnRenamed("id", id_column)
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, ids_column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -365,4 +367,4 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_column: str = "ids", int
             )
 
     schema = T.StructType([*encoded.schema.fields, T.StructField(into, T.BinaryType())])
-    return encoded.mapInArrow(decode, schema)
+    return map_batches(encoded, decode, schema)

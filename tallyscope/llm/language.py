@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyscope.llm.tables import map_batches
+
 #: Bytes that are read together; a text of any length is a row of windows, the last one shorter.
 WINDOW = 64
 HIDDEN = 8
@@ -281,4 +283,4 @@ def with_language(
             )
 
     added = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
-    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, *added]))
+    return map_batches(docs, predict, T.StructType([*docs.schema.fields, *added]))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tallyscope.llm.bpe import load_ranks
-from tallyscope.llm.tables import written
+from tallyscope.llm.tables import map_batches, written
 
 
 class RoomTree:
@@ -183,7 +183,7 @@ def pieces(
             out += [pa.array(c, arrow[t]) for c, (_, t) in zip(columns, fields)]
             yield pa.RecordBatch.from_arrays(out, names=["id", *(n for n, _ in fields)])
 
-    return rows.mapInArrow(cut, schema).withColumnRenamed("id", id_column)
+    return map_batches(rows, cut, schema).withColumnRenamed("id", id_column)
 
 
 def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -225,4 +225,4 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
             )
 
     added = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return ranked.mapInArrow(place, T.StructType([*ranked.schema.fields[:-1], *added]))
+    return map_batches(ranked, place, T.StructType([*ranked.schema.fields[:-1], *added]))

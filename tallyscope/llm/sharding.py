@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.tables import written
+from tallyscope.llm.tables import map_batches, written
 
 #: Rounds of the network; four already make it a pseudo-random permutation.
 ROUNDS = 6
@@ -123,7 +123,7 @@ def shard_rows(
             )
 
     schema = T.StructType([*rows.schema.fields, T.StructField("position", T.LongType())])
-    return rows.mapInArrow(positions, schema).select(
+    return map_batches(rows, positions, schema).select(
         F.col("id").alias(id_column), "size", "text_crc32", "row_number", "position",
         F.pmod("position", F.lit(shards)).cast("int").alias("shard"),
         F.expr(f"position DIV {int(shards)}").alias("slot"),

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.tables import fresh, written
+from tallyscope.llm.tables import fresh, map_batches, on_workers, written
 
 BITS = 64
 #: Differences that still link two fingerprints.
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame, text_column: str = "text", size: int = 4,
                 [*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, into]
             )
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())]))
+    return map_batches(docs, add, T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -192,6 +192,7 @@ def links(codes: DataFrame) -> DataFrame:
             a, b = ((x >> np.uint64(back)) | (x << np.uint64(BITS - back)) for x in (a, b))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
+    on_workers(codes.sparkSession)
     return sent.groupBy("order", "tile").applyInArrow(search, "a long, b long")
 
 

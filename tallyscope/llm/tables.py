@@ -1,38 +1,18 @@
-"""Intermediate tables in the shared folder of the cluster."""
+"""Intermediate tables of these operators, and their functions on the executors."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-_own_folder: str | None = None
+from tallyscope.plans.shared import shared_folder, written
 
+__all__ = ["fresh", "map_batches", "on_workers", "shared_folder", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where driver and tasks are one process."""
-    global _own_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="tallyscope-")
-        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
-    return _own_folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -41,3 +21,20 @@ def fresh(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, wherever they start.
+
+    On a cluster whose machines do not share that folder it is installed, or sent with --py-files.
+    """
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+
+
+def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    on_workers(df.sparkSession)
+    return df.mapInArrow(function, schema)
