@@ -39,7 +39,7 @@ RULES = (
     Rule("mean_word_length", "mean_word_chars", 2, 20),
     Rule("symbol_ratio", "symbols_per_word", most=0.2),
     Rule("stop_word_ratio", "stop_words_per_word", least=0.005),
-    Rule("duplicate_line_ratio", "dup_lines_per_line", most=0.3),
+    Rule("duplicate_line_ratio", "dup_lines_per_line", most=0.4),
     Rule("repeated_word_ratio", "repeat_words_per_word", most=0.5),
 )
 
