@@ -1,6 +1,6 @@
 """Automatic table analysis on Spark: give any DataFrame, get typed analysis tables."""
 
-from tallyscope.operators.analyze import Analysis, InputError, analyze, check_input
+from tallyscope.operators.analyze import Analysis, InputError, Limits, analyze, check_input
 from tallyscope.operators.anomalies import (
     column_outliers,
     fences,

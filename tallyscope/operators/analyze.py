@@ -43,7 +43,7 @@ def check_input(df: DataFrame) -> None:
 
 @dataclass
 class Analysis:
-    """Named result tables; ``skipped`` says which parts failed or found nothing, and why."""
+    """Named result tables; ``skipped`` says which parts failed, found nothing or left columns out."""
 
     table: Table
     depth: str
@@ -67,7 +67,8 @@ class Analysis:
         """Quality warnings of the data, then a line for each skipped part."""
         parts = [
             self.table.spark.createDataFrame(
-                [(reason,) for _, _, reason in self.notes], "warning string"
+                [(reason,) for _, status, reason in self.notes if status != "limited"],
+                "warning string",
             )
         ]
         if "table_quality" in self.tables:
@@ -85,14 +86,34 @@ class Analysis:
         self.table.release()
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How many columns, or rows of a result, an analysis takes; None takes all."""
+
+    kpis: int | None = 10
+    trend_metrics: int | None = rules.TREND_METRICS
+    correlated_columns: int | None = rules.CORRELATED_COLUMNS
+    segment_columns: int | None = rules.SEGMENT_COLUMNS
+    segment_kpis: int | None = rules.SEGMENT_KPIS
+    segments: int | None = segments.TOP_SEGMENTS
+    findings: int | None = findings.KEPT
+
+
 class Part:
     """Results of one chain of operators; a failing operator does not stop the others."""
 
-    def __init__(self, t: Table) -> None:
+    def __init__(self, t: Table, limits: Limits) -> None:
         self.t = t
+        self.limits = limits
         self.tables: dict[str, DataFrame] = {}
         self.notes: list[tuple[str, str, str]] = []
 
+    def first(self, name: str, columns: list[str], limit: int | None) -> list[str]:
+        """The leading columns; those left out are noted."""
+        if limit is not None and len(columns) > limit:
+            self.notes.append((name, "limited", f"{name}: left out {', '.join(columns[limit:])}"))
+        return columns[:limit]
+
     def add(
         self, name: str, compute: Callable[[], DataFrame | None], empty: str | None = None
     ) -> None:
@@ -119,7 +140,7 @@ def schema_part(t: Table, part: Part) -> None:
     if not t.by:
         part.add("schema_profile", lambda: schema.schema_profile(t))
         part.add("type_summary", lambda: schema.type_summary(t))
-    part.add("kpis", lambda: t.kept("kpis", lambda: kpis.kpis(t)))
+    part.add("kpis", lambda: t.kept("kpis", lambda: kpis.kpis(t, part.limits.kpis)))
 
 
 def quality_part(t: Table, part: Part) -> None:
@@ -187,27 +208,31 @@ def time_part(t: Table, part: Part) -> None:
         lambda: t.kept("time", lambda: temporal.time_profile(t, date_col=date_col, grain=grain)),
     )
     if t.numeric:
-        series = t.kept("series", lambda: temporal.period_series(t, date_col, grain=grain))
+        metrics = part.first("trends", t.numeric, part.limits.trend_metrics)
+        series = t.kept("series", lambda: temporal.period_series(t, date_col, metrics, grain))
         part.add("period_series", lambda: series)
         part.add("trends", lambda: t.kept("trends", lambda: temporal.trends(t, series=series)))
 
 
 def segment_part(t: Table, part: Part) -> None:
-    columns = segments.segment_columns(t)[: rules.SEGMENT_COLUMNS]
-    figures = segments.segment_kpis(t)[: rules.SEGMENT_KPIS]
+    columns, figures = segments.segment_columns(t), segments.segment_kpis(t)
     none = "Segmentation analysis skipped: no suitable categorical/numeric pairs"
     if not columns or not figures:
         part.add("segments", lambda: None, none)
         return
+    columns = part.first("segments", columns, part.limits.segment_columns)
+    figures = part.first("segments", figures, part.limits.segment_kpis)
     ranked = t.kept("segments", lambda: segments.all_segments(t, (), columns, figures))
-    part.add("segments", lambda: segments.segments(t, ranked=ranked), none)
+    part.add("segments", lambda: segments.segments(t, ranked=ranked, top=part.limits.segments), none)
     part.add("segment_insights", lambda: segments.segment_insights(t, ranked=ranked))
 
 
 def correlation_part(t: Table, part: Part) -> None:
+    limit = part.limits.correlated_columns
+    part.first("correlations", t.numeric, limit)
     part.add(
         "correlations",
-        lambda: t.kept("correlations", lambda: correlations.correlations(t))
+        lambda: t.kept("correlations", lambda: correlations.correlations(t, limit))
         if len(t.numeric) >= 2
         else None,
         "Correlation analysis skipped: insufficient numeric columns",
@@ -218,7 +243,9 @@ QUICK = (schema_part, quality_part, numeric_part, categorical_part)
 STANDARD = (*QUICK, shape_part, time_part, segment_part, correlation_part)
 
 
-def analyze(df: DataFrame, depth: str = "standard", by: Sequence[str] = ()) -> Analysis:
+def analyze(
+    df: DataFrame, depth: str = "standard", by: Sequence[str] = (), limits: Limits = Limits()
+) -> Analysis:
     """Run a quick or standard analysis; one failing part does not stop the others.
 
     The parts do not depend on each other, so their Spark jobs are submitted together and
@@ -232,22 +259,22 @@ def analyze(df: DataFrame, depth: str = "standard", by: Sequence[str] = ()) -> A
     t = Table(df, by, keep=True)
     run = Analysis(t, depth)
     chains = STANDARD if depth == "standard" else QUICK
-    first = Part(t)
+    first = Part(t, limits)
     first.add("types", lambda: schema.infer_types(t) and None)
     run.notes.extend(first.notes)
     with ThreadPoolExecutor(max_workers=len(chains)) as pool:
-        for part in pool.map(lambda chain: run_part(chain, t), chains):
+        for part in pool.map(lambda chain: run_part(chain, t, limits), chains):
             run.tables.update(part.tables)
             run.notes.extend(part.notes)
-    last = Part(t)
-    last.add("findings", lambda: findings.findings(run.tables, depth, t.by))
+    last = Part(t, limits)
+    last.add("findings", lambda: findings.findings(run.tables, depth, t.by, limits.findings))
     run.tables.update(last.tables)
     run.notes.extend(last.notes)
     return run
 
 
-def run_part(chain: Callable[[Table, Part], None], t: Table) -> Part:
-    part = Part(t)
+def run_part(chain: Callable[[Table, Part], None], t: Table, limits: Limits) -> Part:
+    part = Part(t, limits)
     try:
         chain(t, part)
     except Exception as error:  # noqa: BLE001 - reported, never hidden

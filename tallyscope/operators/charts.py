@@ -76,17 +76,17 @@ def top_groups(t: Table, x: str, y: str | None, aggregation: str, n: int) -> Dat
 
 
 def chart_bar(
-    df: DataFrame | Table, x: str, y: str | None = None, aggregation: str = "sum"
+    df: DataFrame | Table, x: str, y: str | None = None, aggregation: str = "sum", bars: int = BARS
 ) -> DataFrame:
-    """(x, y): the 15 largest groups, or most frequent values without ``y``."""
-    return top_groups(table(df), x, y, aggregation, BARS)
+    """(x, y): the ``bars`` largest groups, or most frequent values without ``y``."""
+    return top_groups(table(df), x, y, aggregation, bars)
 
 
 def chart_donut(
-    df: DataFrame | Table, x: str, y: str | None = None, aggregation: str = "sum"
+    df: DataFrame | Table, x: str, y: str | None = None, aggregation: str = "sum", slices: int = SLICES
 ) -> DataFrame:
-    """(x, y): the ten largest slices; anything but a mean is a sum."""
-    return top_groups(table(df), x, y, "mean" if aggregation == "mean" else "sum", SLICES)
+    """(x, y): the ``slices`` largest slices; anything but a mean is a sum."""
+    return top_groups(table(df), x, y, "mean" if aggregation == "mean" else "sum", slices)
 
 
 def chart_histogram(df: DataFrame | Table, column: str, bins: int = BINS) -> DataFrame:

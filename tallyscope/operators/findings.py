@@ -300,7 +300,10 @@ COLUMNS = ("rank", "title", "body", "severity", "category", "score", "source_key
 
 
 def findings(
-    results: Mapping[str, DataFrame], depth: str = "standard", by: Sequence[str] = ()
+    results: Mapping[str, DataFrame],
+    depth: str = "standard",
+    by: Sequence[str] = (),
+    kept: int | None = KEPT,
 ) -> DataFrame:
     """Findings over the result tables of an analysis; tables that are missing are skipped.
 
@@ -340,4 +343,4 @@ def findings(
         order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("seq")
         numbered = ranked(found, by, kept=None).withColumn("rank", F.row_number().over(order))
         return numbered.select(*keys, *COLUMNS)
-    return ranked(found, by).select(*keys, *COLUMNS)
+    return ranked(found, by, kept).select(*keys, *COLUMNS)

@@ -68,8 +68,8 @@ def number_entries(t: Table, types: dict[str, str]) -> tuple[list[str], list[dic
     return wanted, entries
 
 
-def kpis(df: DataFrame | Table, limit: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """The ``limit`` most trusted key figures, ranked, one scan for all of them."""
+def kpis(df: DataFrame | Table, limit: int | None = 10, by: Sequence[str] = ()) -> DataFrame:
+    """The ``limit`` most trusted key figures (None: all), ranked, one scan for all of them."""
     t = table(df, by)
     types = infer_types(t)
     entries = [
@@ -130,7 +130,7 @@ def kpis(df: DataFrame | Table, limit: int = 10, by: Sequence[str] = ()) -> Data
         rows.withColumn("copy", F.row_number().over(same_name))
         .where("copy = 1")
         .withColumn("rank", F.row_number().over(group))
-        .where(F.col("rank") <= limit)
+        .where(F.lit(True) if limit is None else F.col("rank") <= limit)
         .select(
             *t.keys, "rank", "name", "value", "text_value", shown.alias("formatted_value"),
             "source_column", "computation", "confidence",

@@ -115,11 +115,17 @@ def all_segments(
 
 
 def segments(
-    df: DataFrame | Table, by: Sequence[str] = (), ranked: DataFrame | None = None, **columns
+    df: DataFrame | Table,
+    by: Sequence[str] = (),
+    ranked: DataFrame | None = None,
+    top: int | None = TOP_SEGMENTS,
+    **columns,
 ) -> DataFrame:
-    """The ten best segments per pair; ``ranked`` may be an ``all_segments`` result."""
+    """The ``top`` best segments per pair; ``ranked`` may be an ``all_segments`` result."""
     ranked = all_segments(df, by, **columns) if ranked is None else ranked
-    return ranked.where(F.col("rank") <= TOP_SEGMENTS).drop("segments")
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
+    return ranked.drop("segments")
 
 
 def segment_insights(

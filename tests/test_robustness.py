@@ -122,3 +122,18 @@ def test_only_open_quotes_keep_a_file_in_one_piece(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,y\n1,"a\nb"\n')
     assert csv._has_open_quotes(spark, str(tmp_path), "*.csv")
     assert ts.read_csv(spark, str(tmp_path)).df.first().y == "a\nb"
+
+
+def test_limits_are_arguments_and_what_they_leave_out_is_noted(spark):
+    days = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 40).cast("int"))
+    df = spark.range(200).select(
+        days.alias("day"), *[(F.col("id") % (5 + i) * 1.0).alias(f"price_{i}") for i in range(7)]
+    )
+    with ts.analyze(df) as run:
+        left = {r["name"]: r.reason for r in run.skipped.where("status = 'limited'").collect()}
+        assert left == {"trends": "trends: left out price_5, price_6"}
+        assert run["trends"].count() == 5 and run["findings"].count() <= 15
+    everything = ts.Limits(kpis=None, trend_metrics=None, segments=None, findings=None)
+    with ts.analyze(df, limits=everything) as run:
+        assert run.skipped.where("status = 'limited'").count() == 0
+        assert run["trends"].count() == 7
