@@ -133,7 +133,7 @@ def base_spans(docs: DataFrame, id_column: str, text_column: str, payload: bool
         F.concat("spans", apart),
         lambda s: F.struct(
             s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"),
-            F.substr(s["value"], F.lit(1), F.lit(64)).alias("value"),
+            F.when(F.length(s["value"]) > 64, F.sha2(s["value"], 256)).otherwise(s["value"]).alias("value"),
             _contexts(F.col("text"), s).alias("contexts"),
         ),
     )

@@ -28,6 +28,9 @@ DIFFERENCES = 4
 SEGMENTS = (22, 21, 21)
 #: Members that a tile has on average, if bits of the segment allow.
 TILE = 500
+#: Rows of a tile (its members and what is sent to it) that are searched for by one task; the
+#: searches of a larger one are shared out, each part with all members, eight bytes each.
+SEARCHES = 200_000
 FANOUT = 16
 #: Pairs of a fingerprint and a node that are tested at once; bounds memory.
 PAIRS = 1 << 18
@@ -79,8 +82,10 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Hierarchy over codes in Gray order; finds codes close to others and joins them in classes."""
 
-    def __init__(self, members: np.ndarray, others: np.ndarray, segment: int):
+    def __init__(self, members: np.ndarray, others: np.ndarray, segment: int, asked: np.ndarray | None = None):
+        """``asked``: codes to search for; all of them if None."""
         self.values = np.unique(np.concatenate([members, others]))
+        self.asked = np.arange(len(self.values)) if asked is None else np.searchsorted(self.values, np.unique(asked))
         self.label = np.arange(len(self.values))
         members = np.unique(members)
         members = members[np.argsort(gray_rank(members))]
@@ -143,12 +148,12 @@ class GrayIndex:
         self._down(level - 1, wide[0], below[there], wide[1], wide[2])
 
     def search(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every value against all members; the values that found others, and their classes' least."""
+        """Every asked value against all members; the values that found others, and their classes' least."""
         top = len(self.pattern) - 1
         n = len(self.pattern[top])
         step = max(1, PAIRS // max(n, 1))
-        for at in range(0, len(self.values), step):
-            query = np.repeat(np.arange(at, min(at + step, len(self.values))), n)
+        for at in range(0, len(self.asked), step):
+            query = np.repeat(self.asked[at : at + step], n)
             zeros = np.zeros(len(query), np.uint8)
             self._down(top, query, np.tile(np.arange(n), len(query) // max(n, 1)), zeros, zeros)
         moved = np.flatnonzero(self.label != np.arange(len(self.values)))
@@ -161,6 +166,24 @@ def _rotated(code: Column, by: int) -> Column:
     return F.shiftleft(code, by).bitwiseOR(F.shiftrightunsigned(code, BITS - by))
 
 
+def _shared_out(sent: DataFrame) -> DataFrame:
+    """``sent`` with ``share`` and ``asked``: tiles with more than ``SEARCHES`` rows in several shares.
+
+    Only the large tiles come to the driver, at most one for each ``SEARCHES`` rows there are.
+    """
+    counts = sent.groupBy("order", "tile").agg(F.count("*").alias("n")).where(F.col("n") > SEARCHES)
+    large = [(r.order, r.tile, -(-r.n // SEARCHES)) for r in counts.collect()]
+    if not large:
+        return sent.withColumns({"share": F.lit(0), "asked": F.lit(True)})
+    shares = sent.sparkSession.createDataFrame(large, "order int, tile long, shares int")
+    sent = sent.join(F.broadcast(shares), ["order", "tile"], "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    own = F.pmod(F.xxhash64("turned"), F.col("shares")).cast("int")
+    every = F.when(F.col("member"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(own))
+    return sent.withColumn("own", own).withColumn("share", F.explode(every)).select(
+        "order", "tile", "turned", "member", "share", (F.col("share") == F.col("own")).alias("asked")
+    )
+
+
 def links(codes: DataFrame) -> DataFrame:
     """(a, b): enough links between the distinct ``code`` values to tell who is connected."""
     codes = written(codes.select("code").distinct(), "codes")
@@ -181,19 +204,20 @@ def links(codes: DataFrame) -> DataFrame:
             .select(F.lit(k).alias("order"), "tile", "turned", (F.col("home") == F.col("tile")).alias("member"))
         )
         sent = part if sent is None else sent.unionAll(part)
+    sent = _shared_out(sent)
 
     def search(table: pa.Table) -> pa.Table:
         order = table["order"][0].as_py()
         turned = table["turned"].to_numpy().astype(np.int64).view(np.uint64)
-        member = table["member"].to_numpy(zero_copy_only=False)
-        a, b = GrayIndex(turned[member], turned[~member], SEGMENTS[order]).search()
+        member, asked = (table[c].to_numpy(zero_copy_only=False) for c in ("member", "asked"))
+        a, b = GrayIndex(turned[member], turned[~member], SEGMENTS[order], turned[asked]).search()
         back = sum(SEGMENTS[:order])
         if back:
             a, b = ((x >> np.uint64(back)) | (x << np.uint64(BITS - back)) for x in (a, b))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     on_workers(codes.sparkSession)
-    return sent.groupBy("order", "tile").applyInArrow(search, "a long, b long")
+    return sent.groupBy("order", "tile", "share").applyInArrow(search, "a long, b long")
 
 
 def _state(edges: DataFrame) -> tuple:

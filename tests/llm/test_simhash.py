@@ -36,10 +36,11 @@ def test_gray_rank_counts_in_gray_order():
     assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
 
 
-@pytest.mark.parametrize("tile, pairs", [(20, 1 << 18), (500, 1 << 10)])
-def test_index_finds_every_link(spark, monkeypatch, tile, pairs):
-    """Clusters with up to six flipped bits, many of them within reach of one another."""
+@pytest.mark.parametrize("tile, searches", [(20, 200_000), (500, 30)])
+def test_index_finds_every_link(spark, monkeypatch, tile, searches):
+    """Clusters with up to six flipped bits, many within reach of one another; large tiles shared out."""
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "SEARCHES", searches)
     draw = np.random.default_rng(1)
     codes = set()
     for base in draw.integers(0, 2**63, 25):
