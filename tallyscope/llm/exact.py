@@ -37,16 +37,18 @@ def _sorted_groups(docs: DataFrame, id_column: str, text_column: str, payload: b
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(f"`{text_column}`")
-    columns = [
+    # The text is shuffled once, as it is; keys are made before, the normalised text again after.
+    kept = docs.columns if payload else [text_column]
+    rows = docs.select(
         F.col(f"`{id_column}`").alias("id"),
         F.length(F.coalesce(text, F.lit(""))).alias("points"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         normalised(text).alias("norm"),
-    ]
-    if payload:
-        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = docs.select(*columns)
+    )
+    rows = rows.select(
+        "id", "points", "row", F.substring("norm", 1, LEAD).alias("lead"), F.xxhash64("norm").alias("hash")
+    )
     hot = _hot_hashes(docs.select(F.xxhash64(normalised(text)).alias("hash")), docs.count())
-    rows = rows.withColumns({"lead": F.substring("norm", 1, LEAD), "hash": F.xxhash64("norm")})
     if hot:
         known = spark.createDataFrame([(h,) for h in hot], "hash long")
         rows = (
@@ -63,10 +65,13 @@ def _sorted_groups(docs: DataFrame, id_column: str, text_column: str, payload: b
         rows = rows.withColumns({"hot": F.lit(False), "salt": F.lit(0)})
     order = [F.col("points").desc(), F.col("id").asc_nulls_last()]
     # The sort goes by lead, hash and whole text, so neighbours with equal keys are compared in full.
-    group = W.partitionBy("lead", "hash", "norm", "salt").orderBy(*order)
+    # A constant salt must not be a key: Spark drops it from the window, and deals the rows out again.
+    keys = ["lead", "hash", "salt"] if hot else ["lead", "hash"]
+    group = W.partitionBy(*keys, "norm").orderBy(*order)
     everything = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return (
-        rows.repartitionByRange("lead", "hash", "salt")
+        rows.repartitionByRange(*keys)
+        .withColumn("norm", normalised(F.col(f"row.`{text_column}`")))
         .withColumns(
             {
                 "best": F.first("id").over(everything),
@@ -75,7 +80,7 @@ def _sorted_groups(docs: DataFrame, id_column: str, text_column: str, payload: b
             }
         )
         .withColumn("digest", F.sha2("norm", 256))
-        .drop("norm", "lead", "hash")
+        .drop("norm", "lead", "hash", *([] if payload else ["row"]))
     )
 
 

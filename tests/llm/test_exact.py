@@ -37,6 +37,15 @@ def test_splitters_spread_a_hot_text(spark):
     assert len(sizes) == 4 and max(sizes) < 200
 
 
+def test_texts_are_shuffled_once(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
+    for payload in (False, True):
+        for rows in (df, df.unionAll(df.limit(1).crossJoin(spark.range(90)).select("doc_id", "text"))):
+            found = exact._sorted_groups(rows.repartition(2), "doc_id", "text", payload).where("rank = 1")
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+
+
 def test_dedup_keeps_whole_rows(spark):
     schema = "doc_id long, text string, id int, norm int, hot int, row string, digest string"
     rows = [(2, "a b", 1, 1, 1, "x", "y"), (1, "ab", 2, 2, 2, "x", "y"), (3, None, 3, 3, 3, None, None), (4, "c", 4, 4, 4, "", "")]
