@@ -10,7 +10,7 @@ it keeps every distinct value of a group in memory. Beyond that:
    chunks that hold a wanted rank are sorted.
 
 So no raw rows are shuffled and no task sees a whole column, however skewed it is. A rank
-that misses its bracket stops the job; the result is never an approximation.
+that misses its bracket is counted again with wider ones; the result is never an approximation.
 """
 
 from __future__ import annotations
@@ -100,10 +100,12 @@ def per_group(
     return moments(rest, columns, [], probs).unionByName(selected(hot, columns, probs))
 
 
-def brackets(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def brackets(
+    t: Table, columns: Sequence[str], probs: Sequence[float], margin: float
+) -> DataFrame:
     """(keys, position, lo, hi): arrays of bracket ends, one per level."""
     k = len(probs)
-    around = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
+    around = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     levels = ", ".join(f"{p!r}D" for p in around)
     sketches, rows = [], []
     for i, name in enumerate(columns):
@@ -116,11 +118,11 @@ def brackets(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFr
         )
         small = f"__{i}.n < {SMALL_GROUP}"
         low = [
-            f"__{i}.lo" if p <= MARGIN else f"IF({small}, __{i}.lo, __{i}.at[{j}])"
+            f"__{i}.lo" if p <= margin else f"IF({small}, __{i}.lo, __{i}.at[{j}])"
             for j, p in enumerate(probs)
         ]
         high = [
-            f"__{i}.hi" if p >= 1 - MARGIN else f"IF({small}, __{i}.hi, __{i}.at[{k + j}])"
+            f"__{i}.hi" if p >= 1 - margin else f"IF({small}, __{i}.hi, __{i}.at[{k + j}])"
             for j, p in enumerate(probs)
         ]
         rows.append(
@@ -134,14 +136,16 @@ def brackets(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFr
     return found.where("lo[0] IS NOT NULL")
 
 
-def placed(t: Table, columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
+def placed(
+    t: Table, columns: Sequence[str], levels: Sequence[float], margin: float
+) -> DataFrame:
     """(keys, position, value, chunk) for every value.
 
     Without group keys the brackets are a few numbers per column; they are read back and
     become constants of the generated code.
     """
     k = len(levels)
-    ends = brackets(t, columns, levels)
+    ends = brackets(t, columns, levels, margin)
     if t.by:
         values = (
             t.df.select(*t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS DOUBLE)"))
@@ -204,16 +208,22 @@ def selected(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFr
 
 
 def _selected(
-    t: Table, columns: Sequence[str], levels: Sequence[float], probs: Sequence[float]
+    t: Table,
+    columns: Sequence[str],
+    levels: Sequence[float],
+    probs: Sequence[float],
+    margin: float | None = None,
 ) -> DataFrame:
+    margin = MARGIN if margin is None else margin
     gap = F.pmod("chunk", F.lit(CHUNKS + 1)) == 0
     counts = (
-        placed(t, columns, levels)
+        placed(t, columns, levels, margin)
         .groupBy(
             *t.keys, "position", "chunk", F.when(~gap, F.col("value")).alias("value")
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = written(counts, "chunks")
     group = [*t.by, "position"]
     # At most len(probs) * (CHUNKS + 1) + 1 chunks per group from here on.
     whole = Window.partitionBy(*[field(c) for c in group])
@@ -228,6 +238,10 @@ def _selected(
         .where("start <= ceil(rank) and end > floor(rank)")
         .drop("size", "end", "total")
     )
+    if margin < 1 and not chunks.where(gap).isEmpty():
+        # The sketch was further off than it promises: count again with wider brackets. From a
+        # margin of 1 on they reach from the least to the largest value and cannot be missed.
+        return _selected(t, columns, levels, probs, max(50 * margin, 0.001))
     within = Window.partitionBy(*[field(c) for c in [*group, "chunk", "level"]]).orderBy("value")
     low, high = F.floor("rank"), F.ceil("rank")
     ranked = (
@@ -241,12 +255,9 @@ def _selected(
         )
         .withColumn(
             "value",
-            F.when(
-                F.col("a").isNull() | F.col("b").isNull(),
-                F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double"),
-            )
-            .when(F.col("a") == F.col("b"), F.col("a"))
-            .otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - low)),
+            F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
+                F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - low)
+            ),
         )
     )
     by_level = F.map_from_entries(F.collect_list(F.struct("level", "value")))

@@ -81,7 +81,7 @@ def test_ranked_quantiles_with_narrow_brackets(many, monkeypatch):
         assert found[c]["q"] == pytest.approx(frame[c].quantile(LEVELS).tolist(), rel=1e-12)
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
+@pytest.mark.parametrize("broadcast", [32_000_000, 0])
 def test_ranked_quantiles_per_group(many, monkeypatch, broadcast):
     from tallyscope.plans import table
 
@@ -95,13 +95,13 @@ def test_ranked_quantiles_per_group(many, monkeypatch, broadcast):
     assert len(found) == frame.g.nunique() * 4
 
 
-def test_a_missed_bracket_is_an_error(many, monkeypatch):
+def test_a_missed_bracket_is_counted_again(many, monkeypatch):
     monkeypatch.setattr(q, "SMALL_GROUP", 0)
     monkeypatch.setattr(q, "MARGIN", -0.01)  # brackets turned inside out
-    _, df = many
+    frame, df = many
     t = Table(df.select("spread"))
-    with pytest.raises(Exception, match="outside its bracket"):
-        q.quantiles(t, ["spread"], [0.5], buffered_values=0).collect()
+    found = q.quantiles(t, ["spread"], [0.5], buffered_values=0).first()
+    assert found.q == pytest.approx([frame.spread.median()], rel=1e-12)
 
 
 def test_order_and_partitions_do_not_matter(many):
