@@ -69,8 +69,8 @@ UNKNOWN = Kind(
 NAMES = [k.name for k in KINDS] + [UNKNOWN.name]
 
 #: A pattern needs so many different identifiers that are known, and a share of them this high.
-SUPPORT = 5
-CONFIDENCE = 0.9
+SUPPORT = 25
+CONFIDENCE = 0.95
 ROUNDS = 3
 
 
