@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tallyscope as ts
 from checks.base import Check, r, read, rounded
+from checks.shapes import RELATED, RELATED_COLUMNS, pair_sql, related
 from pyspark.sql import functions as F
 
 
@@ -65,6 +66,12 @@ HISTOGRAM_SQL = f"""
 
 
 CHECKS = {
+    "collinearity": Check(
+        lambda s, d: ts.collinearity(related(read(s, d, "lineitem"))),
+        "SELECT count(*) FILTER (is_collinear) AS collinear_pairs, "
+        "coalesce(bool_or(is_collinear), false) AS has_multicollinearity "
+        f"FROM ({pair_sql(RELATED, RELATED_COLUMNS)})",
+    ),
     "distributions_with_infinity": Check(infinite_groups, INFINITE_SQL),
     "outlier_examples_by_position": Check(by_position, POSITION_SQL),
     "chart_histogram_with_infinity": Check(infinite_histogram, HISTOGRAM_SQL),

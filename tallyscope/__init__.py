@@ -19,7 +19,12 @@ from tallyscope.operators.charts import (
     chart_scatter,
     metric_comparison,
 )
-from tallyscope.operators.correlations import correlations, significant_pairs, top_correlations
+from tallyscope.operators.correlations import (
+    collinearity,
+    correlations,
+    significant_pairs,
+    top_correlations,
+)
 from tallyscope.operators.distributions import distributions, shapiro_wilk
 from tallyscope.operators.findings import findings
 from tallyscope.operators.kpis import kpis

@@ -237,6 +237,9 @@ def correlation_part(t: Table, part: Part) -> None:
         else None,
         "Correlation analysis skipped: insufficient numeric columns",
     )
+    pairs = part.tables.get("correlations")
+    if pairs is not None:
+        part.add("collinearity", lambda: correlations.collinearity(t, pairs=pairs))
 
 
 QUICK = (schema_part, quality_part, numeric_part, categorical_part)

@@ -130,6 +130,22 @@ def correlations(
     )
 
 
+def collinearity(
+    df: DataFrame | Table,
+    by: Sequence[str] = (),
+    max_columns: int | None = rules.CORRELATED_COLUMNS,
+    pairs: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, collinear_pairs, has_multicollinearity); ``pairs`` may be a ``correlations`` result.
+
+    A group without any pair has no row; without keys there is always one.
+    """
+    t = table(df, by)
+    pairs = correlations(t, max_columns) if pairs is None else pairs
+    counted = pairs.groupBy(*t.keys).agg(F.count_if("is_collinear").alias("collinear_pairs"))
+    return counted.withColumn("has_multicollinearity", F.col("collinear_pairs") > 0)
+
+
 def significant_pairs(
     df: DataFrame | Table, by: Sequence[str] = (), max_columns: int | None = rules.CORRELATED_COLUMNS
 ) -> DataFrame:
