@@ -44,6 +44,11 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def written_paths() -> set[str]:
+    """Folders of all written tables that are still there."""
+    return set(_written)
+
+
 def discard(paths: list[str]) -> None:
     """Delete written tables; what was read from them cannot be read again."""
     for path in paths:
