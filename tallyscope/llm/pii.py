@@ -180,15 +180,18 @@ def discovered(
 
 def _with_discovered(found: DataFrame) -> DataFrame:
     """``found`` with ``more``: the spans that the patterns add."""
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
+    values = written(discovered(found).select("kind", "value"), "pii-values")
+    if values.isEmpty():  # then no text needs to be shuffled
+        return found.drop("marks").withColumn("more", none)
     marks = found.select("row", F.explode("marks").alias("m")).where(F.col("m.kind") == len(KINDS))
     span = F.struct("start", "kind", "stop")
     more = (
         marks.select("row", "m.start", "m.kind", "m.stop", "m.value")
-        .join(discovered(found).select("kind", "value"), ["kind", "value"], "left_semi")
+        .join(values, ["kind", "value"], "left_semi")
         .groupBy("row")
         .agg(F.collect_list(span).alias("more"))
     )
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     return found.drop("marks").join(more, "row", "left").withColumn("more", F.coalesce("more", none))
 
 
