@@ -12,16 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.tables import map_batches
+from tallyscope.llm.tables import map_batches, written
 
 #: Bytes that are read together; a text of any length is a row of windows, the last one shorter.
 WINDOW = 64
 HIDDEN = 8
-#: Bounds of the training sample: rows for each language, characters of a row, languages.
+#: Bounds of the training sample: texts of each language, characters of a text, and the languages
+#: from which on each has fewer texts; all are learned.
 SAMPLE_ROWS = 240
 SAMPLE_CHARS = 512
 LANGUAGES = 200
@@ -206,33 +207,25 @@ def train(texts: list[bytes], labels: list[str], seed: int = 0, steps: int = STE
 def sampled(docs: DataFrame, text_column: str, label_column: str) -> tuple[list[bytes], list[str]]:
     """A bounded sample of labelled rows: a stretch of characters from anywhere in each text.
 
-    Rows are chosen by a hash of their text, about ``SAMPLE_ROWS`` for each of the ``LANGUAGES``
-    most frequent labels, and no more than that reach the driver.
+    Of every label the distinct texts with the least hashes, however often each is repeated:
+    ``SAMPLE_ROWS`` for up to ``LANGUAGES`` labels, fewer of each (one at least) beyond. Texts are
+    cut to their number in each task before they are shuffled by label.
     """
     text, label = F.col(f"`{text_column}`"), F.col(f"`{label_column}`")
     rows = docs.select(text.alias("text"), label.alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
-    if not counts:
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    distinct = written(rows.select("label", "hash").distinct(), "labelled")
+    n = distinct.select("label").distinct().count()
+    if not n:
         return [], []
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(r.label, min(1.0, 1.25 * SAMPLE_ROWS / r.n)) for r in counts], "label string, share double")
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    each = max(1, min(SAMPLE_ROWS, SAMPLE_ROWS * LANGUAGES // n))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
+    least = distinct.withColumn("place", place).where(F.col("place") <= each).select("label", "hash")
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)))
-    chosen = (
-        rows.join(F.broadcast(shares), "label")
-        .where(chance < F.col("share"))
-        .select("label", F.substr("text", (start + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
-        .limit(4 * SAMPLE_ROWS * len(counts))
-        .collect()
-    )
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for r in sorted(chosen):
-        if taken.get(r.label, 0) < SAMPLE_ROWS:
-            taken[r.label] = taken.get(r.label, 0) + 1
-            texts.append(r.text.encode())
-            labels.append(r.label)
-    return texts, labels
+    stretch = F.substr("text", (start + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    chosen = rows.join(F.broadcast(least), ["label", "hash"]).groupBy("label", "hash").agg(F.min(stretch).alias("text"))
+    found = sorted((r.label, r.text) for r in chosen.select("label", "text").collect())
+    return [x.encode() for _, x in found], [x for x, _ in found]
 
 
 def with_language(
@@ -247,7 +240,7 @@ def with_language(
     Learns from rows where ``training`` holds (null: not) and the label is not null; a prediction
     reads the text only, all of it. Null texts and texts without a letter are ``und`` with score 0,
     as are all if there is nothing to learn from. Repeated rows get the same prediction; the
-    columns of ``docs`` pass, and an empty table stays empty. No shuffle.
+    columns of ``docs`` pass, and an empty table stays empty. Only hashes of labelled rows are shuffled.
     """
     texts, labels = sampled(docs.where(F.coalesce(training, F.lit(False))), text_column, label_column)
     shared = docs.sparkSession.sparkContext.broadcast(train(texts, labels) if labels else None)

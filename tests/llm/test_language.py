@@ -83,3 +83,16 @@ def test_sample_is_bounded(spark, monkeypatch):
     texts, labels = language.sampled(df, "text", "lang")
     assert 2 <= len(texts) <= 10 and set(labels) == {"en"}
     assert max(map(len, texts)) <= language.SAMPLE_CHARS
+
+
+def test_sample_has_every_label_whatever_its_copies(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    hot = spark.range(20000).selectExpr("'copy of a text' text", "'hot' lang")
+    others = spark.range(100).selectExpr("concat('other text ', id) text", "'hot' lang")
+    more = spark.range(40).selectExpr("concat('text ', id) text", "concat('l', id % 5) lang")
+    texts, labels = language.sampled(hot.unionAll(others).unionAll(more), "text", "lang")
+    assert len(set(texts)) == len(texts) and set(labels) == {"hot", "l0", "l1", "l2", "l3", "l4"}
+    assert labels.count("hot") == 10 and all(labels.count(f"l{i}") == 8 for i in range(5))
+    again = language.sampled(more.unionAll(others).unionAll(hot).repartition(7), "text", "lang")
+    assert again == (texts, labels)
