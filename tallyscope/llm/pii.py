@@ -61,16 +61,18 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]",
          lambda v: F.length(_digits(v)).between(10, 15)),
 )
-#: What an identifier of unknown kind looks like: some letters at most, then mostly digits.
+#: What an identifier of unknown kind looks like: groups of letters at most, then letters and digits
+#: in groups, four digits or more.
 UNKNOWN = Kind(
-    "id", r"(?<![0-9A-Za-z_])(?:[A-Za-z]{1,8}[-_]?)?[0-9][0-9A-Za-z_-]{4,}", "[0-9][0-9A-Za-z_-]{4}",
-    lambda v: F.length(_digits(v)) >= 6,
+    "id", r"(?<![0-9A-Za-z_])(?:[A-Za-z]{1,8}+[-_./]?+){0,3}+[0-9](?:[-_./]?[0-9A-Za-z]){3,}+", "[0-9][-_./]?[0-9A-Za-z]",
+    lambda v: (F.length(_digits(v)) >= 4) & (F.length(v) >= 5),
 )
 NAMES = [k.name for k in KINDS] + [UNKNOWN.name]
 
-#: A pattern needs so many different identifiers that are known, and a share of them this high.
-SUPPORT = 25
-CONFIDENCE = 0.95
+#: A pattern is trusted when the share of known identifiers among all it surrounds is this high, and
+#: higher than around all other patterns, by the lower end of Wilson's interval (``Z`` deviations).
+CONFIDENCE = 0.8
+Z = 1.96
 ROUNDS = 3
 
 
@@ -143,12 +145,19 @@ def base_spans(docs: DataFrame, id_column: str, text_column: str, payload: bool
     return written(rows.select(*kept), "pii")
 
 
-def discovered(
-    found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS
-) -> DataFrame:
+def _least_share(known: Column, n: Column) -> Column:
+    """Lower end of Wilson's interval for the share ``known / n``."""
+    share = known / n
+    half = Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))
+    return (share + Z * Z / (2 * n) - half) / (1 + Z * Z / n)
+
+
+def discovered(found: DataFrame, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """Values of unknown kind that patterns of high confidence surround, with their score.
 
-    The graph of patterns and identifiers has one edge per pair, however often it occurs.
+    The graph of patterns and identifiers has one edge per pair, however often it occurs. Identifiers
+    found in one round are known in the next. What a share has to exceed is that around all other
+    patterns of the same form, so a context that tells nothing gives nothing away.
     """
     unknown = len(KINDS)
     edges = written(
@@ -167,10 +176,17 @@ def discovered(
                 "score",
                 F.when(F.col("seed") | (F.col("score") >= confidence), 1.0).otherwise(F.coalesce("score", F.lit(0.0))),
             )
+        counts = scored.groupBy("pattern").agg(
+            F.sum(F.when(F.col("score") >= confidence, 1).otherwise(0)).alias("known"), F.count("*").alias("n")
+        )
+        counts = written(counts.withColumn("form", F.substring("pattern", 1, 1)), "pii-patterns")
+        whole = counts.groupBy("form").agg(F.sum("known").alias("all_known"), F.sum("n").alias("all_n"))
+        chance = (F.col("all_known") - F.col("known") + 1) / (F.col("all_n") - F.col("n") + 2)
         patterns = (
-            scored.groupBy("pattern")
-            .agg(F.avg("score").alias("trust"), F.sum(F.when(F.col("score") >= confidence, 1).otherwise(0)).alias("known"))
-            .where((F.col("known") >= support) & (F.col("trust") >= confidence))
+            counts.join(F.broadcast(whole), "form")
+            .withColumn("trust", _least_share(F.col("known"), F.col("n")))
+            .where((F.col("trust") >= confidence) & (F.col("trust") > chance))
+            .select("pattern", "trust")
         )
         scores = (
             edges.where(~F.col("seed")).join(patterns, "pattern").groupBy("kind", "value").agg(F.max("trust").alias("score"))

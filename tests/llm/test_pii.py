@@ -91,3 +91,40 @@ def test_extra_columns_repeats_nulls_and_empty_tables(spark):
     ]))
     assert pii.find_pii(df).count() == 3
     assert pii.find_pii(df.limit(0)).collect() == [] and pii.redact_pii(df.limit(0)).collect() == []
+
+
+def test_unseen_identifiers_of_several_shapes(spark):
+    """Recall and false finds: five unseen beside sixty known in each context, and a context that
+    surrounds known and unknown numbers as often as any other does."""
+    shapes = [
+        "AC{:06d}", "EMP-{:04d}", "{:03d}-45-6789", "AB/12/{:04d}", "X.{:03d}.77.Q1", "k_{:05d}_z9", "DE12ABCD{:04d}",
+    ]
+    rows, unseen = [], set()
+    for k, shape in enumerate(shapes):
+        for i in range(65):
+            value = shape.format(10 + 7 * i) if i < 5 else f"{10 + i}.{k}.3.4"
+            rows.append((len(rows), f"please give item{'abcdefg'[k]} number {value} thanks"))
+            if i < 5:
+                unseen.add(len(rows) - 1)
+    plain = range(len(rows), len(rows) + 300)
+    for i in plain:
+        value = f"{i % 200}.9.{i % 7}.{i % 250}" if i % 3 else f"{700000 + i}"
+        rows.append((i, f"some of it {value} and more"))
+    found = {r.doc_id: (len(r.all_spans), len(r.spans)) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = {i for i in unseen if found[i][0] != 1}
+    false = {i for i in found if i not in unseen and found[i][0] != found[i][1]}
+    assert (missed, false) == (set(), set())
+
+
+def test_what_is_found_gives_more_contexts_away(spark):
+    """The input that the evidence was first tested with (60 known), and a second context of what is found."""
+    rows = [(i, f"please note account number AC{100000 + 7 * i} thanks") for i in range(5)]
+    rows += [(100 + i, f"please note account number {10 + i}.{i}.3.4 thanks") for i in range(60)]
+    rows += [(300 + i, f"see the file of AC{100000 + 7 * i} there") for i in range(5)]
+    rows += [(320 + i, f"see the file of {20 + i}.{i}.5.6 there") for i in range(20)]
+    rows += [(380, "see the file of Z-998877 there")]
+    rows += [(400 + i, f"order {123456789 + i} x") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [s.kind for s in r.all_spans] for r in pii.find_pii(df).collect()}
+    assert all(found[i] == [4] for i in range(5)) and all(found[100 + i] == [1] for i in range(60))
+    assert found[380] == [4] and all(found[400 + i] == [] for i in range(40))
