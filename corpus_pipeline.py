@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import exact, language, packing, pii, similar
+from tallyscope.llm import exact, language, packing, pii, simhash
 from tallyscope.llm.tables import fresh, written
 from tallyscope.plans.shared import discard, written_paths
 
@@ -64,7 +64,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.similar_dedup(docs)
+    """Keep one of each group of op4: shingles of four words, fingerprints up to four bits apart."""
+    return simhash.near_dedup(docs)
 
 
 @stage
