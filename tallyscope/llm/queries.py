@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import bpe, chat, exact, language, lm, packing, pii, quality, sharding, simhash
+from tallyscope.llm import bpe, chat, exact, language, lm, merkle, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +207,81 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; for ids with an even checksum a text without line ends is folded."""
+    docs = _documents(spark, sf_dir)
+    tampered = F.when(_remainder(2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(docs, claimed={"text": tampered}).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+#: The checksum is computed bit by bit; trees grow level by level, and proofs are folded step by step.
+OP12_SQL = r"""
+WITH RECURSIVE
+bits(i, c, k) AS (
+  SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+ids AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS s FROM documents),
+crc(doc_id, s, k, c) AS (
+  SELECT doc_id, s, 0, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL
+  SELECT doc_id, s, crc.k + 1, xor(crc.c >> 8, b.c) FROM crc
+  JOIN (SELECT i, c FROM bits WHERE k = 8) b ON b.i = xor(crc.c & 255, ascii(substr(s, crc.k + 1, 1)))
+  WHERE crc.k < length(s)),
+even AS (SELECT doc_id, xor(c, 4294967295) % 2 = 0 AS tampered FROM crc WHERE k = length(s)),
+d AS (
+  SELECT d.doc_id, coalesce('=' || source, '') AS tree,
+    HEAD || coalesce(strlen(text) || ':' || text, '-') AS whole,
+    CASE WHEN tampered THEN HEAD || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')
+      ELSE HEAD || coalesce(strlen(text) || ':' || text, '-') END AS other
+  FROM documents d JOIN even e ON d.doc_id IS NOT DISTINCT FROM e.doc_id),
+l AS (
+  SELECT row_number() OVER () AS r, doc_id, tree, sha256(whole) AS leaf, sha256(other) AS claimed FROM d),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY tree) AS n FROM l),
+up(tree, lvl, i, n, h) AS (
+  SELECT tree, 0, i, n, leaf FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up
+  WHERE n > 1 GROUP BY tree, lvl, i // 3, n),
+subs AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM subs
+  UNION ALL
+  SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top
+  WHERE n > 1 GROUP BY lvl, i // 3, n),
+runs AS (SELECT tree, lvl, i // 3 AS up, list(h ORDER BY i) AS run FROM up WHERE n > 1 GROUP BY tree, lvl, i // 3),
+top_runs AS (SELECT lvl, i // 3 AS up, list(h ORDER BY i) AS run FROM top WHERE n > 1 GROUP BY lvl, i // 3),
+steps AS (
+  SELECT r, lvl, (leaves.i // CAST(power(3, lvl) AS BIGINT)) % 3 AS slot, run FROM leaves JOIN runs
+    ON leaves.tree = runs.tree AND up = leaves.i // CAST(power(3, lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT r, 1000 + lvl, (subs.i // CAST(power(3, lvl) AS BIGINT)) % 3, run FROM leaves
+    JOIN subs ON leaves.tree = subs.tree
+    JOIN top_runs ON up = subs.i // CAST(power(3, lvl + 1) AS BIGINT)),
+numbered AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY lvl) AS k,
+    array_to_string(run[1:slot], '') AS before, array_to_string(run[slot + 2:], '') AS after FROM steps),
+proofs AS (SELECT r, max(k) AS steps, sha256(string_agg(before || after, '' ORDER BY k)) AS proof FROM numbered GROUP BY r),
+fold(r, k, h) AS (
+  SELECT r, 0, claimed FROM leaves
+  UNION ALL
+  SELECT fold.r, fold.k + 1, sha256(before || h || after) FROM fold
+  JOIN numbered ON numbered.r = fold.r AND numbered.k = fold.k + 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves JOIN subs ON leaves.tree = subs.tree CROSS JOIN (SELECT h AS root FROM top WHERE n = 1)
+LEFT JOIN proofs ON proofs.r = leaves.r JOIN fold f ON f.r = leaves.r AND f.k = coalesce(steps, 0)
+"""
+OP12_SQL = OP12_SQL.replace(
+    "HEAD",
+    " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("d.doc_id", "source", "lang", "n_chars")),
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_language_id": op2_language_id,
@@ -218,9 +293,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
