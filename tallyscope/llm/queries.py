@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import bpe, chat, exact, language, lm, merkle, packing, pii, quality, sharding, simhash
+from tallyscope.llm import bpe, chat, exact, language, lexical, lm, merkle, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +209,39 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.search_items(_documents(spark, sf_dir), items, 50)
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+d AS (SELECT r, doc_id, len(terms) AS n FROM words WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM words) GROUP BY r, term),
+items AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark),
+asked AS (SELECT q, item_id, unnest(terms) AS term FROM items),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf CROSS JOIN total WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs),
+scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(w * (1000000000 * tf // (
+    1000 * tf + 20 * (100 - 50 + CAST(50 * n * n_docs // n_terms AS BIGINT))))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN d USING (r) CROSS JOIN total
+  GROUP BY q, item_id, r, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; for ids with an even checksum a text without line ends is folded."""
     docs = _documents(spark, sf_dir)
@@ -293,11 +326,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
 }
