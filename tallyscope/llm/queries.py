@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import bpe, chat, exact, language, lexical, lm, merkle, packing, pii, quality, sharding, simhash
+from tallyscope.llm import bpe, chat, exact, language, lexical, lm, merkle, minhash, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,6 +315,33 @@ OP12_SQL = OP12_SQL.replace(
     " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("d.doc_id", "source", "lang", "n_chars")),
 )
 
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document by shingles of five words at a similarity of 0.85."""
+    return minhash.similar_groups(_documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+w AS (
+  SELECT row_number() OVER () AS r, doc_id, [x FOR x IN regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+') IF x <> ''] AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS n_both FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY a.r, b.r),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, t) AS (SELECT r, r FROM w UNION SELECT reach.r, edges.b FROM reach JOIN edges ON edges.a = reach.t),
+best AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.t GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept
+FROM w JOIN best ON best.r = w.r LEFT JOIN n ON n.r = w.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_language_id": op2_language_id,
@@ -328,6 +355,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_lexical_search": op11_lexical_search,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
@@ -335,4 +363,5 @@ SQL: dict[str, str] = {
     "op10_exact_dedup": OP10_SQL,
     "op11_lexical_search": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
+    "op13_minhash_near_dedup": OP13_SQL,
 }
