@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,35 +10,11 @@ from pyspark.sql import functions as F
 from tallyscope import rules
 from tallyscope.functions.labels import correlation_strength, is_finite
 from tallyscope.functions.probability import t_two_sided
-from tallyscope.plans.moments import FIELD_BUDGET, moments
-from tallyscope.plans.table import Table, field, inlined, quoted, table, text
+from tallyscope.plans.comoments import comoments
+from tallyscope.plans.table import Table, name_at, table
 
 TOP_PAIRS = 5
 COLLINEAR = 0.9
-STEPS = ("covariance", "variance_a", "variance_b")
-
-
-def pair_sql(a: str, b: str, i: int, j: int, complete: bool) -> tuple[dict, list[str]]:
-    """Aggregates a pair needs (name to SQL and buffer fields) and how it reads them.
-
-    The reads are n, the covariance and both variances, over the rows with both values.
-    """
-    x, y = f"CAST({quoted(a)} AS DOUBLE)", f"CAST({quoted(b)} AS DOUBLE)"
-    if complete:
-        needed = {
-            f"c{i}_{j}": (f"covar_pop({x}, {y})", 4),
-            f"v{i}": (f"var_pop({x})", 3),
-            f"v{j}": (f"var_pop({y})", 3),
-        }
-        return needed, ["__rows", *needed]
-    x_both, y_both = f"IF({y} IS NULL, NULL, {x})", f"IF({x} IS NULL, NULL, {y})"
-    needed = {
-        f"n{i}_{j}": (f"count({x_both})", 1),
-        f"c{i}_{j}": (f"covar_pop({x}, {y})", 4),
-        f"a{i}_{j}": (f"var_pop({x_both})", 3),
-        f"b{i}_{j}": (f"var_pop({y_both})", 3),
-    }
-    return needed, list(needed)
 
 
 def correlations(
@@ -50,20 +24,12 @@ def correlations(
 ) -> DataFrame:
     """(keys, column_a, column_b, n, r, p_value, strength, flags) for a before b.
 
-    Constant columns and tables or groups under 30 rows give no pairs. Columns without
-    nulls, the usual case, need one covariance per pair and share their variances; pairs
-    with nulls get their own variances over the rows they have in common.
+    Constant columns and tables or groups under 30 rows give no pairs. All pairs of any number of
+    columns come from one scan (see ``plans/comoments.py``), over the rows that have both values.
     """
     t = table(df, by)
     columns = t.numeric[:max_columns]
-    full: set[str] = set()
-    if len(columns) >= 2:
-        facts = moments(Table(t.source.select(*map(field, columns))), columns, ["n", "varies"])
-        rows = {r["column"]: r for r in facts.collect()}
-        columns = [c for c in columns if rows[c]["varies"]]
-        full = {c for c in columns if rows[c]["n"] == t.rows}
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    if len(columns) < 2:
         return t.df.select(
             *t.keys,
             *[F.lit(0).alias(c) for c in ("position_a", "position_b")],
@@ -73,41 +39,15 @@ def correlations(
             F.lit("").alias("strength"),
             *[F.lit(False).alias(c) for c in ("is_significant", "is_collinear")],
         ).where(F.lit(False))
-
-    # Batches of pairs that stay within generated code
-    parts = []
-    batch: dict[str, tuple[str, int]] = {}
-    reads: list[dict] = []
-
-    def flush() -> None:
-        wide = t.df.groupBy(*t.keys).agg(
-            F.count(F.lit(1)).alias("__rows"), *[F.expr(v).alias(k) for k, (v, _) in batch.items()]
-        )
-        parts.append(wide.select(*t.keys, "__rows", inlined(reads)))
-        batch.clear()
-        reads.clear()
-
-    for a, b in pairs:
-        i, j = t.position[a], t.position[b]
-        needed, found = pair_sql(a, b, i, j, a in full and b in full)
-        if reads and sum(w for _, w in (batch | needed).values()) > FIELD_BUDGET:
-            flush()
-        batch.update(needed)
-        reads.append(
-            {"position_a": i, "position_b": j, "column_a": text(a), "column_b": text(b)}
-            | dict(zip(("n", *STEPS), found))
-        )
-    flush()
-
-    raw = F.try_divide("covariance", F.sqrt("variance_a") * F.sqrt("variance_b"))
+    raw = F.try_divide("c", F.sqrt("m2_a") * F.sqrt("m2_b"))
     r = F.col("r")
     df_ = F.greatest(F.col("n") - 2, F.lit(1)).cast("double")
     inside = F.when(F.abs(r) < 1, 1 - r * r)
     t_value = F.when(F.abs(r) < 1, r * F.sqrt(df_ / inside)).otherwise(r * float("inf"))
     p = F.when(F.col("n") < 3, 1.0).otherwise(t_two_sided("t_value", "df"))
     return (
-        reduce(DataFrame.unionByName, parts)
-        .where(F.col("__rows") >= rules.MIN_SHAPE)
+        comoments(t, columns)
+        .where(F.col("rows") >= rules.MIN_SHAPE)
         .withColumn("raw", raw)
         .withColumn("r", F.when(F.abs("raw") > 1, F.signum("raw")).otherwise(F.col("raw")))
         .where(is_finite(r))
@@ -118,8 +58,8 @@ def correlations(
             *t.keys,
             "position_a",
             "position_b",
-            "column_a",
-            "column_b",
+            name_at(t, columns, "position_a").alias("column_a"),
+            name_at(t, columns, "position_b").alias("column_b"),
             "n",
             "r",
             "p_value",

@@ -1,15 +1,19 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and functions over Arrow batches."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_folder: str | None = None
 _written: dict[str, SparkSession] = {}
 
@@ -65,3 +69,15 @@ def _discard_all() -> None:
 
 
 atexit.register(_discard_all)
+
+
+def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with a function of this package, which Python workers find where the driver did.
+
+    On a cluster whose machines do not share that folder it is installed, or sent with --py-files.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+    return df.mapInArrow(function, schema)

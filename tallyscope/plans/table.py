@@ -291,10 +291,10 @@ def unpivoted(t: Table, columns: Sequence[str], value: Callable[[str], str]) ->
     )
 
 
-def name_at(t: Table, columns: Sequence[str]) -> Column:
+def name_at(t: Table, columns: Sequence[str], position: str = "position") -> Column:
     """The column name for a position; lets aggregations group by the number alone."""
     cases = " ".join(f"WHEN {t.position[c]} THEN {text(c)}" for c in columns)
-    return F.expr(f"CASE position {cases} END").alias("column")
+    return F.expr(f"CASE {position} {cases} END").alias("column")
 
 
 def inlined(rows: Sequence[dict[str, object]]) -> Column:

@@ -125,6 +125,51 @@ def test_correlation_per_group_with_a_constant_group(spark):
     assert set(found) == {"u"} and found["u"]["n"] == 40
 
 
+def scans(df):
+    """How often the plan reads a table."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+@pytest.mark.parametrize("width", [15, 100])
+def test_all_pairs_come_from_one_scan(spark, tmp_path, width):
+    """Columns with nulls, infinities and far from zero, with and without groups."""
+    rng = np.random.default_rng(width)
+    base = rng.normal(0, 1, 3000)
+    values = {}
+    for i in range(width):
+        v = 10.0 ** (i % 9) * (base * (i % 4) + rng.normal(5, 1, 3000))
+        values[f"c{i}"] = np.where(rng.random(3000) < 0.1 * (i % 3), np.nan, v)
+    values["c1"][7] = np.inf
+    groups = np.where(rng.random(3000) < 0.7, "hot", rng.choice(["a", "b", None], 3000))
+    path = str(tmp_path / "t")
+    frame(spark, {"g": groups, **values}).write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def wanted(rows):
+        x = np.column_stack([v[rows] for v in values.values()])
+        for i in range(width):
+            for j in range(i + 1, width):
+                both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+                if np.isfinite(x[both][:, [i, j]]).all():
+                    yield f"c{i}", f"c{j}", both.sum(), np.corrcoef(x[both, i], x[both, j])[0, 1]
+
+    one = ts.correlations(df.drop("g"), max_columns=None)
+    found = by_key(one, "column_a", "column_b")
+    assert scans(one) == 1
+    every = {(a, b): (n, r) for a, b, n, r in wanted(np.ones(3000, bool))}
+    assert set(found) == set(every)
+    for pair, (n, r) in every.items():
+        assert found[pair]["n"] == n and found[pair]["r"] == pytest.approx(r, abs=1e-10)
+    if width == 15:
+        grouped = ts.correlations(df, by=["g"])
+        found = by_key(grouped, "g", "column_a", "column_b")
+        assert scans(grouped) == 1
+        every = {(g, a, b): (n, r) for g in ("hot", "a", "b", None) for a, b, n, r in wanted(groups == g)}
+        assert set(found) == set(every)
+        for key, (n, r) in every.items():
+            assert found[key]["n"] == n and found[key]["r"] == pytest.approx(r, abs=1e-10)
+
+
 def outlier_frame(spark):
     base = [float(i % 10 + 10) for i in range(40)]
     low, high = base + [-50.0, -60.0, -70.0], base + [90.0, 80.0, 15.0]
