@@ -272,21 +272,21 @@ CHECKS = {
         lambda s, d: summary(gappy(s, d)), summary_sql(GAPPY, LINEITEM_NUMBERS)
     ),
     "numeric_summary_ranked": Check(
-        lambda s, d: summary(read(s, d, "lineitem"), buffered_values=0),
+        lambda s, d: summary(read(s, d, "lineitem"), listed_values=0),
         summary_sql("lineitem", LINEITEM_NUMBERS),
     ),
     "distribution_quantiles": Check(
         lambda s, d: shape(read(s, d, "lineitem")), quantile_sql("lineitem", LINEITEM_NUMBERS)
     ),
     "distribution_quantiles_ranked": Check(
-        lambda s, d: shape(gappy(s, d), buffered_values=0), quantile_sql(GAPPY, LINEITEM_NUMBERS)
+        lambda s, d: shape(gappy(s, d), listed_values=0), quantile_sql(GAPPY, LINEITEM_NUMBERS)
     ),
     "distribution_quantiles_by": Check(
         lambda s, d: shape(read(s, d, "events"), ["event_type"]),
         quantile_sql("events", EVENT_NUMBERS, ["event_type"]),
     ),
     "distribution_quantiles_by_ranked": Check(
-        lambda s, d: shape(read(s, d, "events"), ["event_type"], buffered_values=0),
+        lambda s, d: shape(read(s, d, "events"), ["event_type"], listed_values=0),
         quantile_sql("events", EVENT_NUMBERS, ["event_type"]),
     ),
     "normality_dagostino": Check(normality, NORMALITY_SQL),

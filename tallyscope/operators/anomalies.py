@@ -32,7 +32,7 @@ def fences(
     df: DataFrame | Table,
     by: Sequence[str] = (),
     quartiles: DataFrame | None = None,
-    buffered_values: int = q.BUFFERED_VALUES,
+    listed_values: int = q.LISTED_VALUES,
 ) -> DataFrame:
     """(keys, position, column, n, lower_bound, upper_bound) of testable columns.
 
@@ -40,7 +40,7 @@ def fences(
     """
     t = table(df, by)
     if quartiles is None:
-        found = q.moments_with_quantiles(t, t.numeric, ["n", "varies"], [0.25, 0.75], buffered_values)
+        found = q.moments_with_quantiles(t, t.numeric, ["n", "varies"], [0.25, 0.75], listed_values)
         quartiles = found.where(
             (F.col("n") >= rules.MIN_SHAPE) & F.col("varies")
         ).withColumns({"q1": F.col("q")[0], "q3": F.col("q")[1]})
@@ -76,7 +76,7 @@ def column_outliers(
     df: DataFrame | Table,
     by: Sequence[str] = (),
     bounds: DataFrame | None = None,
-    buffered_values: int = q.BUFFERED_VALUES,
+    listed_values: int = q.LISTED_VALUES,
 ) -> DataFrame:
     """Number, share and direction of values strictly beyond the fences."""
     t = table(df, by)
@@ -84,7 +84,7 @@ def column_outliers(
         return _empty(t, "position int, column string, n bigint, outlier_count bigint, "
                          "outlier_pct double, lower_bound double, upper_bound double, "
                          "low_count bigint, high_count bigint, direction string")
-    bounds = fences(t, buffered_values=buffered_values) if bounds is None else bounds
+    bounds = fences(t, listed_values=listed_values) if bounds is None else bounds
     rows = with_fences(t, t.df, bounds)
     facts = ("n", "low_count", "high_count", "lower_bound", "upper_bound")
     wanted = [
@@ -158,7 +158,7 @@ def outlier_examples(
     by: Sequence[str] = (),
     row_id: str | None = None,
     bounds: DataFrame | None = None,
-    buffered_values: int = q.BUFFERED_VALUES,
+    listed_values: int = q.LISTED_VALUES,
 ) -> DataFrame:
     """(keys, position, column, side, rank, row_index, value): the most extreme outliers.
 
@@ -169,7 +169,7 @@ def outlier_examples(
     if not t.numeric:
         return _empty(t, "position int, column string, side string, rank int, "
                          "row_index bigint, value double")
-    bounds = fences(t, buffered_values=buffered_values) if bounds is None else bounds
+    bounds = fences(t, listed_values=listed_values) if bounds is None else bounds
     base, row = identified(t, row_id)
     rows = with_fences(t, base.withColumn("__id", row), bounds)
     index = {c: i for i, c in enumerate(t.numeric)}

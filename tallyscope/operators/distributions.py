@@ -109,12 +109,12 @@ def shapiro_wilk(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
 
 
 def distributions(
-    df: DataFrame | Table, by: Sequence[str] = (), buffered_values: int = q.BUFFERED_VALUES
+    df: DataFrame | Table, by: Sequence[str] = (), listed_values: int = q.LISTED_VALUES
 ) -> DataFrame:
     """Quantiles, kurtosis, normality test and shape label per numeric column."""
     t = table(df, by)
     stats = ["n", "varies", "skewness", "kurtosis"]
-    shape = q.moments_with_quantiles(t, t.numeric, stats, q.LEVELS, buffered_values).where(
+    shape = q.moments_with_quantiles(t, t.numeric, stats, q.LEVELS, listed_values).where(
         (F.col("n") >= rules.MIN_SHAPE) & F.col("varies")
     )
     small = shapiro_wilk(t).select(*t.keys, "column", F.col("p").alias("shapiro_p"))

@@ -14,7 +14,7 @@ from tallyscope.plans.table import Table, table
 
 
 def numeric_summary(
-    df: DataFrame | Table, by: Sequence[str] = (), buffered_values: int = q.BUFFERED_VALUES
+    df: DataFrame | Table, by: Sequence[str] = (), listed_values: int = q.LISTED_VALUES
 ) -> DataFrame:
     """Mean, median, standard deviation, range and skewness per numeric column.
 
@@ -23,7 +23,7 @@ def numeric_summary(
     t = table(df, by)
     stats = ["n", "mean", "std", "min", "max", "varies", "skewness"]
     return (
-        q.moments_with_quantiles(t, t.numeric, stats, [0.5], buffered_values)
+        q.moments_with_quantiles(t, t.numeric, stats, [0.5], listed_values)
         .where((F.col("n") >= rules.MIN_SUMMARY) & F.col("varies"))
         .withColumn("skewness", finite_or(F.col("skewness"), 0.0))
         .select(

@@ -42,41 +42,30 @@ def moments(
     t: Table,
     columns: Sequence[str],
     stats: Sequence[str],
-    percentiles: Sequence[float] = (),
 ) -> DataFrame:
-    """(keys, position, column, *stats[, q]) for the given numeric columns.
-
-    With ``percentiles`` the exact percentiles come along in the array column ``q``; use
-    that only for inputs small enough for Spark's in-memory value counts (see quantiles).
-    """
+    """(keys, position, column, *stats) for the given numeric columns."""
     if not columns:
-        return empty_like(t, stats, percentiles)
-    if t.keep and not percentiles and list(columns) == t.numeric and len(stats) < len(SQL):
+        return empty_like(t, stats)
+    if t.keep and list(columns) == t.numeric and len(stats) < len(SQL):
         kept = t.kept("moments", lambda: moments(t, columns, list(SQL)))
         return kept.select(*t.keys, "position", "column", *stats)
-    fields = [*stats, "q"] if percentiles else list(stats)
-    levels = ", ".join(f"{float(p)!r}D" for p in percentiles)
     parts = []
     for names in batches(columns, max(1, sum(WIDTH[s] for s in stats))):
         wide, rows = [], []
         for i, name in enumerate(names):
             c = quoted(name)
             values = [f"{SQL[s].format(c=c)} AS {s}" for s in stats]
-            if percentiles:
-                values.append(f"percentile(CAST({c} AS DOUBLE), array({levels})) AS q")
             wide.append(F.expr(f"struct({', '.join(values)}) AS __{i}"))
             rows.append(
                 {"position": t.position[name], "column": text(name)}
-                | {s: f"__{i}.{s}" for s in fields}
+                | {s: f"__{i}.{s}" for s in stats}
             )
         parts.append(t.df.groupBy(*t.keys).agg(*wide).select(*t.keys, inlined(rows)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def empty_like(t: Table, stats: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
+def empty_like(t: Table, stats: Sequence[str]) -> DataFrame:
     kinds = dict.fromkeys(("n", "zeros", "negatives"), "bigint") | {"varies": "boolean"}
     columns = [F.lit(0).alias("position"), F.lit("").alias("column")]
     columns += [F.lit(None).cast(kinds.get(s, "double")).alias(s) for s in stats]
-    if percentiles:
-        columns.append(F.lit(None).cast("array<double>").alias("q"))
     return t.df.select(*t.keys, *columns).where(F.lit(False))

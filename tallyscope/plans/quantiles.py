@@ -1,71 +1,47 @@
-"""Exact, linearly interpolated quantiles at any size.
+"""Exact, linearly interpolated quantiles at any size, by refinement of leading bits.
 
-Up to ``BUFFERED_VALUES`` values, rows times columns, Spark's ``percentile`` does the work:
-it keeps every distinct value of a group in memory. Beyond that:
+A value rounded to its leading significand bits names a cell of neighbouring values. One pass counts
+the values of every cell, for all columns and groups together; sums over cells in order tell which
+of them hold the wanted ranks. The next pass looks only at these, with more bits, until each holds a
+single value, which is the answer. With all 53 bits a cell is a value, so five passes are the most;
+as soon as the cells left hold few values, all bits are taken at once: two passes for a million rows,
+three for most larger tables, one for small ones.
 
-1. one pass of ``percentile_approx`` brackets each wanted rank from both sides;
-2. a second pass counts exactly, but only values inside a bracket keep their identity,
-   everything between two brackets is folded into one row by the map-side combine;
-3. brackets are cut into chunks by value, chunk sizes give the offsets, and only the
-   chunks that hold a wanted rank are sorted.
-
-So no raw rows are shuffled and no task sees a whole column, however skewed it is. A rank
-that misses its bracket is counted again with wider ones; the result is never an approximation.
+Counts are combined in the map tasks, no values are buffered, and no task sees a whole column: a
+column has 65,536 first cells at most, a cell 8,192 parts, and copies of one value count as one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.plans.moments import batches, moments
+from tallyscope.plans.moments import moments
 from tallyscope.plans.shared import written
-from tallyscope.plans.table import (
-    Table,
-    field,
-    inlined,
-    join_on,
-    name_at,
-    quoted,
-    unpivoted,
-    with_group_values,
-)
-
-BUFFERED_VALUES = 8_000_000
+from tallyscope.plans.table import Table, field, inlined, join_on, name_at, quoted, with_group_values
+
+#: Significand bits of each pass.
+BITS = (5, 17, 29, 41, 53)
+#: So many values in all are refined by all bits at once.
+LISTED_VALUES = 1 << 20
 # Levels that a full analysis computes once for all its parts.
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
-SKETCH_ACCURACY = 20_000
-# Half width of a bracket; several times the sketch's own rank error.
-MARGIN = 4.0 / SKETCH_ACCURACY
-# Groups with fewer values are bracketed by their minimum and maximum.
-SMALL_GROUP = 40_000
-CHUNKS = 64
-# Keys of so many large groups are broadcast.
-LARGE_GROUPS = 50_000
+#: Larger values than this (a power of two) are their own cells, so that rounding does not overflow.
+HUGE = 2.0**960
 
 
 def quantiles(
-    t: Table,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    buffered_values: int = BUFFERED_VALUES,
+    t: Table, columns: Sequence[str], probs: Sequence[float], listed_values: int = LISTED_VALUES
 ) -> DataFrame:
     """(keys, position, column, q) with ``q`` the exact quantiles as array<double>."""
-
-    def computed(levels: Sequence[float]) -> DataFrame:
-        if not columns or t.rows * len(columns) <= buffered_values:
-            return moments(t, columns, [], levels)
-        if not t.by:
-            return selected(t, columns, levels)
-        return per_group(t, columns, levels, buffered_values)
-
     if t.keep and set(probs) <= set(LEVELS) and list(columns) == t.numeric:
-        kept = t.kept("quantiles", lambda: computed(LEVELS))
+        kept = t.kept("quantiles", lambda: _refined(t, columns, LEVELS, listed_values))
         wanted = F.array(*[F.col("q")[LEVELS.index(p)] for p in probs])
         return kept.withColumn("q", wanted)
-    return computed(probs)
+    return _refined(t, columns, probs, listed_values)
 
 
 def moments_with_quantiles(
@@ -73,200 +49,126 @@ def moments_with_quantiles(
     columns: Sequence[str],
     stats: Sequence[str],
     probs: Sequence[float],
-    buffered_values: int = BUFFERED_VALUES,
+    listed_values: int = LISTED_VALUES,
 ) -> DataFrame:
-    """Moments and quantiles, joined per column.
-
-    They are two aggregations on purpose: an aggregate that buffers objects, as the
-    percentiles do, would take the moments out of generated code with it.
-    """
-    ranked = quantiles(t, columns, probs, buffered_values).drop("position")
+    """Moments and quantiles, joined per column."""
+    ranked = quantiles(t, columns, probs, listed_values).drop("position")
     return join_on(moments(t, columns, stats), ranked, [*t.by, "column"], "left")
 
 
-def per_group(
-    t: Table, columns: Sequence[str], probs: Sequence[float], buffered_values: int
-) -> DataFrame:
-    """Groups that fit go to ``percentile``, the few that do not are ranked."""
-    sizes = t.df.groupBy(*t.keys).agg(F.count(F.lit(1)).alias("n"))
-    large = written(sizes.where(F.col("n") * len(columns) > buffered_values).select(*t.keys), "large")
-    found = large.count()
-    if found == 0:
-        return moments(t, columns, [], probs)
-    if found <= LARGE_GROUPS:
-        large = F.broadcast(large)
-    rest = Table(join_on(t.source, large, t.by, "left_anti"), t.by)
-    hot = Table(join_on(t.source, large, t.by, "left_semi"), t.by)
-    return moments(rest, columns, [], probs).unionByName(selected(hot, columns, probs))
-
-
-def brackets(
-    t: Table, columns: Sequence[str], probs: Sequence[float], margin: float
-) -> DataFrame:
-    """(keys, position, lo, hi): arrays of bracket ends, one per level."""
-    k = len(probs)
-    around = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    levels = ", ".join(f"{p!r}D" for p in around)
-    sketches, rows = [], []
-    for i, name in enumerate(columns):
-        c = f"CAST({quoted(name)} AS DOUBLE)"
-        sketches.append(
-            F.expr(
-                f"struct(count({c}) AS n, min({c}) AS lo, max({c}) AS hi, percentile_approx("
-                f"{c}, array({levels}), {SKETCH_ACCURACY}) AS at) AS __{i}"
-            )
-        )
-        small = f"__{i}.n < {SMALL_GROUP}"
-        low = [
-            f"__{i}.lo" if p <= margin else f"IF({small}, __{i}.lo, __{i}.at[{j}])"
-            for j, p in enumerate(probs)
-        ]
-        high = [
-            f"__{i}.hi" if p >= 1 - margin else f"IF({small}, __{i}.hi, __{i}.at[{k + j}])"
-            for j, p in enumerate(probs)
-        ]
-        rows.append(
-            {
-                "position": t.position[name],
-                "lo": f"array({', '.join(low)})",
-                "hi": f"array({', '.join(high)})",
-            }
-        )
-    found = t.df.groupBy(*t.keys).agg(*sketches).select(*t.keys, inlined(rows))
-    return found.where("lo[0] IS NOT NULL")
-
-
-def placed(
-    t: Table, columns: Sequence[str], levels: Sequence[float], margin: float
-) -> DataFrame:
-    """(keys, position, value, chunk) for every value.
-
-    Without group keys the brackets are a few numbers per column; they are read back and
-    become constants of the generated code.
-    """
-    k = len(levels)
-    ends = brackets(t, columns, levels, margin)
-    if t.by:
-        values = (
-            t.df.select(*t.keys, unpivoted(t, columns, lambda c: f"CAST({quoted(c)} AS DOUBLE)"))
-            .where("value is not null")
-            .drop("column")
-        )
-        rows = with_group_values(t, values, ends, [*t.by, "position"])
-        chunk = chunk_of("value", [f"lo[{j}]" for j in range(k)], [f"hi[{j}]" for j in range(k)])
-        return rows.withColumn("chunk", F.expr(chunk))
-    found = {e["position"]: e for e in ends.collect()}
-
-    def constants(numbers: Sequence[float]) -> list[str]:
-        return [f"double('{v!r}')" for v in numbers]
-
-    rows = []
-    for name in columns:
-        end = found.get(t.position[name])
-        if end is None:
-            continue  # nothing but nulls
-        value = f"CAST({quoted(name)} AS DOUBLE)"
-        rows.append(
-            {
-                "position": t.position[name],
-                "value": value,
-                "chunk": chunk_of(value, constants(end["lo"]), constants(end["hi"])),
-            }
-        )
-    if not rows:
-        rows = [{"position": 0, "value": "CAST(NULL AS DOUBLE)", "chunk": 0}]
-    return t.df.select(inlined(rows)).where("value is not null")
-
-
-def chunk_of(value: str, lo: Sequence[str], hi: Sequence[str]) -> str:
-    """SQL for the number of the chunk a value falls in; it grows with the value.
-
-    Chunk j*(CHUNKS+1) holds what lies below bracket j, the next CHUNKS numbers are the
-    equal-width slices of bracket j itself.
-    """
-    cases = []
-    for j, (low, high) in enumerate(zip(lo, hi)):
-        width = f"({high} - {low})"
-        slice_ = (
-            f"IF({width} > 0 AND {width} < double('inf'), least(CAST(floor(({value} - {low})"
-            f" / nullif({width}, 0D) * {CHUNKS}) AS INT), {CHUNKS - 1}), 0)"
-        )
-        first = j * (CHUNKS + 1)
-        cases.append(
-            f"WHEN {value} <= {high} THEN IF({value} >= {low}, {first + 1} + {slice_}, {first})"
-        )
-    return f"CASE {' '.join(cases)} ELSE {len(lo) * (CHUNKS + 1)} END"
-
-
-def selected(t: Table, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(keys, position, column, q) by bracketing, exact counting and chunked ranking."""
-    parts = None
-    for names in batches(columns, 3 + 4 * len(probs)):
-        part = _selected(t, names, sorted(set(float(p) for p in probs)), probs)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
-def _selected(
-    t: Table,
-    columns: Sequence[str],
-    levels: Sequence[float],
-    probs: Sequence[float],
-    margin: float | None = None,
-) -> DataFrame:
-    margin = MARGIN if margin is None else margin
-    gap = F.pmod("chunk", F.lit(CHUNKS + 1)) == 0
-    counts = (
-        placed(t, columns, levels, margin)
-        .groupBy(
-            *t.keys, "position", "chunk", F.when(~gap, F.col("value")).alias("value")
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
+def leading(value: Column, bits: int) -> Column:
+    """``value`` rounded to its leading bits (Veltkamp's splitting); never decreases as it grows."""
+    if bits >= BITS[-1]:
+        return value
+    wide = value * (2.0 ** (53 - bits) + 1)
+    return F.when(F.abs(value) < HUGE, wide - (wide - value)).otherwise(value)
+
+
+def _cells(values: DataFrame, group: Sequence[str], bits: int) -> DataFrame:
+    """(group, n, lo, hi) for each cell of each group of ``value``s."""
+    cell = leading(F.col("value"), bits).alias("__cell")
+    counts = values.groupBy(*map(field, group), cell).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("value").alias("__lo"), F.max("value").alias("__hi")
     )
-    counts = written(counts, "chunks")
+    return counts.drop("__cell")
+
+
+def _holding(cells: DataFrame, group: Sequence[str], before: Column, ranks: Column) -> DataFrame:
+    """The cells that hold one of the ``ranks``, with these (``__ranks``) and the values before them."""
+    keys = [field(c) for c in group]
+    end = before + F.sum("__n").over(Window.partitionBy(*keys).orderBy("__lo"))
+    found = cells.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col("__n"))
+    inside = F.filter(ranks, lambda k: (k >= F.col("__start")) & (k < F.col("__end")))
+    return found.withColumn("__ranks", inside).where(F.size("__ranks") > 0)
+
+
+def _wanted_ranks(total: Column, probs: Sequence[float]) -> Column:
+    """The places, from 0, of the values on both sides of each quantile."""
+    places = [f((total - 1) * p).cast("bigint") for p in probs for f in (F.floor, F.ceil)]
+    return F.array_distinct(F.array(*places))
+
+
+def _number(value: float) -> str:
+    return f"double('{value!r}')"
+
+
+def _narrowed(t: Table, columns: Sequence[str], open_cells: DataFrame) -> DataFrame:
+    """(keys, position, part, value): the values inside the cells (keys, position, lo, hi) left."""
     group = [*t.by, "position"]
-    # At most len(probs) * (CHUNKS + 1) + 1 chunks per group from here on.
-    whole = Window.partitionBy(*[field(c) for c in group])
-    chunks = (
-        counts.groupBy(*[field(c) for c in [*group, "chunk"]])
-        .agg(F.sum("n").alias("size"))
-        .withColumn("total", F.sum("size").over(whole))
-        .withColumn("end", F.sum("size").over(whole.orderBy("chunk")))
-        .withColumn("start", F.col("end") - F.col("size"))
-        .withColumn("level", F.explode(F.array(*[F.lit(p) for p in levels])))
-        .withColumn("rank", (F.col("total") - 1) * F.col("level"))
-        .where("start <= ceil(rank) and end > floor(rank)")
-        .drop("size", "end", "total")
-    )
-    if margin < 1 and not chunks.where(gap).isEmpty():
-        # The sketch was further off than it promises: count again with wider brackets. From a
-        # margin of 1 on they reach from the least to the largest value and cannot be missed.
-        return _selected(t, columns, levels, probs, max(50 * margin, 0.001))
-    within = Window.partitionBy(*[field(c) for c in [*group, "chunk", "level"]]).orderBy("value")
-    low, high = F.floor("rank"), F.ceil("rank")
-    ranked = (
-        join_on(counts, chunks, [*group, "chunk"])
-        .withColumn("upto", F.col("start") + F.sum("n").over(within))
-        .withColumn("from", F.col("upto") - F.col("n"))
-        .groupBy(*[field(c) for c in group], "level", "rank")
-        .agg(
-            F.max(F.when((F.col("from") <= low) & (low < F.col("upto")), F.col("value"))).alias("a"),
-            F.max(F.when((F.col("from") <= high) & (high < F.col("upto")), F.col("value"))).alias("b"),
-        )
-        .withColumn(
-            "value",
-            F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
-                F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - low)
-            ),
-        )
-    )
-    by_level = F.map_from_entries(F.collect_list(F.struct("level", "value")))
-    return (
-        ranked.groupBy(*[field(c) for c in group])
-        .agg(by_level.alias("levels"))
-        .select(
-            *[field(c) for c in group],
-            name_at(t, columns),
-            F.array(*[F.col("levels")[F.lit(float(p))] for p in probs]).alias("q"),
-        )
-    )
+    parts = open_cells.groupBy(*map(field, group)).agg(F.sort_array(F.collect_list(F.struct("__lo", "__hi"))).alias("c"))
+
+    def part_of(value: str, ends: Sequence[tuple[str, str]]) -> str:
+        cases = " ".join(f"WHEN {value} >= {lo} AND {value} <= {hi} THEN {i}" for i, (lo, hi) in enumerate(ends))
+        return f"CASE {cases} END" if cases else "CAST(NULL AS INT)"
+
+    def value_of(name: str) -> str:
+        return f"CAST({quoted(name)} AS DOUBLE)"
+
+    if not t.by:
+        # A few numbers per column: they become constants of the generated code.
+        found = {r["position"]: [(_number(lo), _number(hi)) for lo, hi in r["c"]] for r in parts.collect()}
+        rows = [
+            {"position": t.position[c], "part": part_of(value_of(c), found[t.position[c]]), "value": value_of(c)}
+            for c in columns
+            if t.position[c] in found
+        ]
+        return t.df.select(inlined(rows)).where("part IS NOT NULL")
+    most = parts.agg(F.max(F.size("c"))).first()[0]
+    ends = parts.select(*map(field, group), F.col("c.__lo").alias("__los"), F.col("c.__hi").alias("__his"))
+    rows = inlined([{"position": t.position[c], "value": value_of(c)} for c in columns])
+    values = t.df.select(*t.keys, rows).where("value IS NOT NULL")
+    values = with_group_values(t, values, ends, group)
+    part = part_of("value", [(f"get(__los, {i})", f"get(__his, {i})") for i in range(most)])
+    return values.select(*t.keys, "position", F.expr(part).alias("part"), "value").where("part IS NOT NULL")
+
+
+def _refined(t: Table, columns: Sequence[str], probs: Sequence[float], listed_values: int) -> DataFrame:
+    if not columns:
+        return t.df.select(
+            *t.keys, F.lit(0).alias("position"), F.lit("").alias("column"), F.lit(None).cast("array<double>").alias("q")
+        ).where(F.lit(False))
+    probs = [float(p) for p in probs]
+    group = [*t.by, "position"]
+    passes = list(BITS)
+
+    def bits_for(values: int) -> int:
+        while len(passes) > 1 and values <= listed_values:
+            passes.pop(0)
+        return passes.pop(0)
+
+    def few(cells: DataFrame) -> DataFrame:
+        """Without groups the cells that hold a rank are at most ranks times columns."""
+        if t.by:
+            return written(cells, "cells")
+        return t.spark.createDataFrame(cells.collect(), cells.schema)
+
+    rows = inlined([{"position": t.position[c], "value": f"CAST({quoted(c)} AS DOUBLE)"} for c in columns])
+    values = t.df.select(*t.keys, rows).where("value IS NOT NULL")
+    whole = Window.partitionBy(*map(field, group))
+    cells = _cells(values, group, bits_for(t.rows * len(columns)))
+    cells = cells.withColumn("__total", F.sum("__n").over(whole))
+    cells = few(_holding(cells, group, F.lit(0), _wanted_ranks(F.col("__total"), probs)))
+    done = []
+    while True:
+        done.append(cells.where("__lo = __hi"))
+        left = cells.where("__lo < __hi").drop("__end", "__n")
+        size = cells.where("__lo < __hi").agg(F.sum("__n")).first()[0]
+        if not size:
+            break
+        # A cell is known by its group and its place among the group's open cells.
+        place = F.row_number().over(Window.partitionBy(*map(field, group)).orderBy("__lo")) - 1
+        left = left.withColumn("part", place.cast("int"))
+        inside = _cells(_narrowed(t, columns, left), [*group, "part"], bits_for(size))
+        known = left.select(*map(field, group), "part", F.col("__start").alias("__before"), "__total", F.col("__ranks").alias("__asked"))
+        inside = join_on(inside, known, [*group, "part"])
+        cells = few(_holding(inside, [*group, "part"], F.col("__before"), F.col("__asked")).drop("part", "__before", "__asked"))
+    found = reduce(DataFrame.unionByName, [d.select(*map(field, group), "__total", "__ranks", "__lo") for d in done])
+    at = F.map_from_entries(F.collect_list(F.struct("rank", "__lo"))).alias("at")
+    found = found.withColumn("rank", F.explode("__ranks")).groupBy(*map(field, group)).agg(F.max("__total").alias("__total"), at)
+
+    def quantile(p: float) -> Column:
+        rank = (F.col("__total") - 1) * p
+        low, high = F.col("at")[F.floor(rank).cast("bigint")], F.col("at")[F.ceil(rank).cast("bigint")]
+        return F.when(low == high, low).otherwise(low + (high - low) * (rank - F.floor(rank)))
+
+    return found.select(*map(field, group), name_at(t, columns), F.array(*[quantile(p) for p in probs]).alias("q"))

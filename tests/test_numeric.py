@@ -66,19 +66,56 @@ LEVELS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
 def test_ranked_quantiles_are_exact(many):
     frame, df = many
     t = Table(df.drop("g"))
-    found = by_key(q.quantiles(t, t.numeric, LEVELS, buffered_values=0), "column")
+    found = by_key(q.quantiles(t, t.numeric, LEVELS, listed_values=0), "column")
     for c in t.numeric:
         assert found[c]["q"] == pytest.approx(frame[c].quantile(LEVELS).tolist(), rel=1e-12)
 
 
-def test_ranked_quantiles_with_narrow_brackets(many, monkeypatch):
-    """Brackets smaller than the data, so that gaps, chunks and offsets all matter."""
-    monkeypatch.setattr(q, "SMALL_GROUP", 100)
+@pytest.mark.parametrize("listed", [0, 3000, 1 << 20])
+def test_passes_of_any_number_are_exact(spark, listed):
+    """Values that differ in their last bits, powers of two, both signs, tiny, huge and infinite ones."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    columns = {
+        "last_bits": 1.0 + rng.integers(0, 3000, n) * 2.0**-52,
+        "halves": np.ldexp(1.5, rng.integers(-1074, 1023, n)) * rng.choice([-1, 1], n),
+        "edges": np.where(rng.random(n) < 0.5, 2.0**-1074, 1.7e308) * rng.integers(-1, 2, n),
+        "endless": np.where(rng.random(n) < 0.3, np.inf, rng.normal(0, 1, n)),
+        "zeros": rng.choice([0.0, -0.0, 1.0], n),
+        "big": 2.0**53 + rng.integers(0, 1000, n),
+    }
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(5)
+    found = by_key(q.quantiles(Table(df), list(columns), LEVELS, listed_values=listed), "column")
+    for c, values in columns.items():
+        ordered = np.sort(values)
+        for p, value in zip(LEVELS, found[c]["q"]):
+            rank = (n - 1) * p
+            low, high = ordered[math.floor(rank)], ordered[math.ceil(rank)]
+            assert value == pytest.approx(low if low == high else low + (high - low) * (rank % 1), rel=1e-12)
+
+
+def test_rounding_never_turns_the_order(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(0, 1, 5000), np.ldexp(rng.random(5000), rng.integers(-1080, 1020, 5000).astype(int))])
+    values = np.sort(np.concatenate([values, -values, [0.0, math.inf, -math.inf, q.HUGE, np.nextafter(q.HUGE, 0)]]))
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for bits in q.BITS:
+        cells = [r.c for r in df.coalesce(1).select(q.leading(F.col("v"), bits).alias("c")).collect()]
+        assert cells == sorted(cells) and (bits < 53 or cells == values.tolist())
+
+
+def test_no_value_is_buffered_or_sorted_whole(many):
+    """The first pass counts cells, not values: it hands on far fewer rows than it reads."""
     frame, df = many
-    t = Table(df.drop("g"))
-    found = by_key(q.quantiles(t, t.numeric, LEVELS, buffered_values=0), "column")
-    for c in t.numeric:
-        assert found[c]["q"] == pytest.approx(frame[c].quantile(LEVELS).tolist(), rel=1e-12)
+    t = Table(df.select("spread"))
+    values = t.df.selectExpr("0 AS position", "spread AS value")
+    assert q._cells(values, ["position"], q.BITS[0]).count() < 100
+    plan = q.quantiles(t, ["spread"], [0.5], listed_values=0)._jdf.queryExecution().toString()
+    assert "percentile" not in plan
 
 
 @pytest.mark.parametrize("broadcast", [32_000_000, 0])
@@ -88,22 +125,13 @@ def test_ranked_quantiles_per_group(many, monkeypatch, broadcast):
     monkeypatch.setattr(table, "BROADCAST_BYTES", broadcast)
     frame, df = many
     t = Table(df, ["g"])
-    found = by_key(q.quantiles(t, t.numeric, [0.25, 0.5], buffered_values=0), "g", "column")
+    found = by_key(q.quantiles(t, t.numeric, [0.25, 0.5], listed_values=0), "g", "column")
     want = frame.groupby("g").quantile([0.25, 0.5])
     for (g, c), r in found.items():
         assert r["q"] == pytest.approx(want.loc[g][c].tolist(), rel=1e-12)
     assert len(found) == frame.g.nunique() * 4
 
 
-def test_a_missed_bracket_is_counted_again(many, monkeypatch):
-    monkeypatch.setattr(q, "SMALL_GROUP", 0)
-    monkeypatch.setattr(q, "MARGIN", -0.01)  # brackets turned inside out
-    frame, df = many
-    t = Table(df.select("spread"))
-    found = q.quantiles(t, ["spread"], [0.5], buffered_values=0).first()
-    assert found.q == pytest.approx([frame.spread.median()], rel=1e-12)
-
-
 def test_order_and_partitions_do_not_matter(many):
     _, df = many
     one = by_key(ts.numeric_summary(df.drop("g").coalesce(1)), "column")

@@ -236,7 +236,7 @@ def test_outliers_per_group(spark):
     df = spark.createDataFrame(data, "g string, x double")
     found = by_key(ts.column_outliers(df, ["g"]), "g")
     assert found["a"]["direction"] == "high" and found["b"]["direction"] == "low" and "c" not in found
-    again = by_key(ts.column_outliers(df, ["g"], buffered_values=0), "g")
+    again = by_key(ts.column_outliers(df, ["g"], listed_values=0), "g")
     assert again == found
     assert {r["value"] for r in ts.outlier_examples(df, ["g"]).collect()} == {100.0, 0.0}
     assert by_key(ts.outlier_summary(df, ["g"]), "g")["a"]["outlier_pct"] == pytest.approx(100 / 61)
