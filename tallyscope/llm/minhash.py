@@ -1,12 +1,13 @@
 """Near-dedup by b-bit MinHash.
 
-Minima of 384 hashes over a document's word shingles are kept twice: in bands, whose equality gives
-candidates, and as four low bits each, packed. The share of equal low bits, corrected for chance
+Minima of 768 hashes over a document's word shingles are kept twice: half of them in bands, whose
+equality gives candidates, and all as four low bits each, packed. The share of equal low bits, corrected for chance
 collisions, estimates a candidate's similarity; what may reach the limit is confirmed on the full sets.
 
 Equal sets are one class from the start. A bucket (documents with an equal band) never lists its
-pairs: its members are compared with one of them, and with another one in a second turn. Documents of
-buckets that this leaves in several components are joined exactly, by the rarest part of their sets.
+pairs: its members are compared with the one that meets most others in all its buckets, in a family of
+copies the original, and in a second turn with a few others. Documents of buckets that this leaves in
+several components are joined exactly, by the rarest part of their sets.
 """
 
 from __future__ import annotations
@@ -27,44 +28,33 @@ from tallyscope.llm.tables import map_batches, written
 #: Words of a shingle, and the percentage of similarity that links.
 WORDS = 5
 LEAST = 85
-#: A pair at 0.85 agrees in none of 48 bands of eight with a probability of 2e-7.
+#: A pair at 0.85 agrees in none of 48 bands of eight with a probability of 2e-7. The bands are made of
+#: the first half of the minima.
 BANDS, ROWS = 48, 8
-MINIMA = BANDS * ROWS
+MINIMA = 2 * BANDS * ROWS
 #: Low bits that are kept of each minimum, and the longs that hold them.
 LOW = 4
 PACKED = MINIMA * LOW // 64
-#: Estimated similarity from which a candidate is confirmed; 0.1 below the limit is over five
+#: Estimated similarity from which a candidate is confirmed; 0.07 below the limit are over five
 #: standard deviations of the estimate there.
-MARGIN = 0.1
-#: Shingles that are hashed at once, words whose hashes are remembered; they bound memory.
-SHINGLES = 1 << 10
-KNOWN_WORDS = 1 << 18
+MARGIN = 0.07
+#: Shingles that are hashed at once; bounds memory.
+SHINGLES = 1 << 9
 #: Bits of the filter that tells tasks whose full sets are asked for (16 MB).
 FILTER_BITS = 1 << 27
 #: A key with fewer rows is never split.
 HOT = 1000
+#: Members of a bucket that all others are compared with in the second turn.
+HUBS = 2
 #: Turns in which the best pair between two components is confirmed before all others are.
-PICKS = 3
+PICKS = 2
 
 _draw = np.random.default_rng(13)
-_SALT = _draw.integers(0, 1 << 63, MINIMA, np.uint64)
-_FACTOR = _draw.integers(0, 1 << 63, MINIMA, np.uint64) << np.uint64(1) | np.uint64(1)
+_SALT = _draw.integers(0, 1 << 32, MINIMA, np.uint32)[:, None]
+_FACTOR = _draw.integers(0, 1 << 32, MINIMA, np.uint32)[:, None] | np.uint32(1)
 _PLACES = _draw.integers(0, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-class _Words(dict):
-    """Hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_words = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -76,18 +66,22 @@ def shingle_hashes(text: str | None, size: int = WORDS) -> np.ndarray:
     words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space are meant
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), size)] if words else [], np.uint64)
-    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = len(words) - size + 1
     total = np.zeros(n, np.uint64)
     for k in range(size):
-        total += _mixed(each[k : k + n] ^ _PLACES[k]) * _PLACES[k]
-    return np.unique(_mixed(total))
+        total += each[k : k + n] * _PLACES[k]
+    found = np.sort(_mixed(total))
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(MINIMA, ~np.uint64(0))
-    for at in range(0, len(hashes), SHINGLES):
-        part = (hashes[None, at : at + SHINGLES] ^ _SALT[:, None]) * _FACTOR[:, None]
+    """Of hashes over the upper half of each shingle's; halves are enough for candidates."""
+    least = np.full(MINIMA, ~np.uint32(0))
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(upper), SHINGLES):
+        part = upper[None, at : at + SHINGLES] ^ _SALT
+        part *= _FACTOR
         np.minimum(least, part.min(1), out=least)
     return least
 
@@ -95,8 +89,9 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 def signature(hashes: np.ndarray) -> np.ndarray:
     """A key for each band, then the packed low bits of the minima, as signed longs."""
     least = minima(hashes)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
-    low = (_mixed(least) & np.uint64((1 << LOW) - 1)).reshape(PACKED, -1)
+    bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(bands)]
+    low = (_mixed(least.astype(np.uint64)) & np.uint64((1 << LOW) - 1)).reshape(PACKED, -1)
     packed = np.bitwise_or.reduce(low << (np.arange(low.shape[1], dtype=np.uint64) * np.uint64(LOW)), axis=1)
     return np.concatenate([np.array(keys, np.uint64), packed]).view(np.int64)
 
@@ -262,12 +257,13 @@ class _Links:
         self.roots = written(nodes.unionAll(ends.select(F.col("v").alias("row"), F.col("v").alias("root")).distinct()), "roots")
 
 
-def _star(links: _Links, members: DataFrame, hub: Column) -> None:
-    """Compare the members (key, row, root) of each bucket with one of them, of another component."""
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(hub.alias("order"), "row", "root")).alias("hub"))
-    buckets = written(buckets.where("size > 1").select("key", "size", F.col("hub.row").alias("a"), F.col("hub.root").alias("a_root")), "buckets")
-    pairs = _joined(members, buckets, "key", "row").where("root <> a_root").select("a", F.col("row").alias("b")).distinct()
-    pairs = written(links.likely(written(pairs, "pairs")), "likely")
+def _star(links: _Links, members: DataFrame, order: Column, hubs: int) -> None:
+    """Compare the members (key, size, row, root) of each bucket with the first few, if of another component."""
+    first = members.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(order, "row"))).where(F.col("place") <= hubs)
+    first = written(first.select("key", "size", F.col("row").alias("a"), F.col("root").alias("a_root")), "hubs")
+    pairs = _joined(members.select("key", "row", "root"), first, "key", "row").where("root <> a_root")
+    pairs = written(pairs.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct(), "pairs")
+    pairs = written(links.likely(pairs), "likely")
     if not pairs.isEmpty():
         links.confirm(pairs)
 
@@ -277,7 +273,7 @@ def _apart(links: _Links, members: DataFrame) -> DataFrame:
     now = written(links.with_roots(members.select("key", "row")), "labelled")
     split = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
     split = written(split.where("x < y").select("key", "size"), "split")
-    return written(_joined(now, split, "key", "row").drop("size"), "apart")
+    return written(_joined(now, split, "key", "row"), "apart")
 
 
 def _by_prefix(links: _Links, rows: DataFrame) -> DataFrame:
@@ -312,14 +308,17 @@ def _by_prefix(links: _Links, rows: DataFrame) -> DataFrame:
 
 def _linked(links: _Links) -> None:
     """Link all similar sets."""
-    members = links.sets.select("row", F.explode("keys").alias("key")).withColumn("root", F.col("row"))
-    _star(links, members, F.col("row"))
+    members = links.sets.select("row", F.explode("keys").alias("key"))
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = written(_joined(members, sizes, "key", "row"), "members")
+    met = written(members.groupBy("row").agg(F.sum("size").alias("met")), "met")
+    named = members.join(met, "row").withColumn("root", F.col("row"))
+    _star(links, written(named, "members"), F.col("met").desc(), 1)
     # Buckets of two are done.
-    large = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 2"), "large")
-    apart = _apart(links, _joined(members.select("key", "row"), large, "key", "row"))
+    apart = _apart(links, members.where("size > 2"))
     if apart.isEmpty():
         return
-    _star(links, apart, F.xxhash64("row", "key"))
+    _star(links, apart, F.xxhash64("row", "key"), HUBS)
     apart = _apart(links, apart)
     if apart.isEmpty():
         return
