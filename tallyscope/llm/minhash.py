@@ -28,16 +28,15 @@ from tallyscope.llm.tables import map_batches, written
 #: Words of a shingle, and the percentage of similarity that links.
 WORDS = 5
 LEAST = 85
-#: A pair at 0.85 agrees in none of 48 bands of eight with a probability of 2e-7. The bands are made of
-#: the first half of the minima.
-BANDS, ROWS = 48, 8
-MINIMA = 2 * BANDS * ROWS
+#: Hashes; half of their minima are cut into bands.
+MINIMA = 768
+#: A pair at the limit may miss in all bands with this probability (at 0.85: 48 bands of eight, 2e-7),
+MISSED = 2e-6
+#: and its estimate be so many standard deviations too low (6e-8).
+DEVIATIONS = 5.3
 #: Low bits that are kept of each minimum, and the longs that hold them.
 LOW = 4
 PACKED = MINIMA * LOW // 64
-#: Estimated similarity from which a candidate is confirmed; 0.07 below the limit are over five
-#: standard deviations of the estimate there.
-MARGIN = 0.07
 #: Shingles that are hashed at once; bounds memory.
 SHINGLES = 1 << 9
 #: Bits of the filter that tells tasks whose full sets are asked for (16 MB).
@@ -86,10 +85,16 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def band_rows(similarity: float) -> int:
+    """Minima of a band: as many as still find nearly all pairs at a similarity."""
+    fine = [r for r in (8, 6, 4, 3, 2) if (1 - similarity**r) ** (MINIMA // 2 // r) <= MISSED]
+    return fine[0] if fine else 1
+
+
+def signature(hashes: np.ndarray, rows: int) -> np.ndarray:
     """A key for each band, then the packed low bits of the minima, as signed longs."""
     least = minima(hashes)
-    bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    bands = least[: MINIMA // 2].reshape(-1, rows)
     keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(bands)]
     low = (_mixed(least.astype(np.uint64)) & np.uint64((1 << LOW) - 1)).reshape(PACKED, -1)
     packed = np.bitwise_or.reduce(low << (np.arange(low.shape[1], dtype=np.uint64) * np.uint64(LOW)), axis=1)
@@ -97,9 +102,10 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def enough_matches(similarity: float) -> int:
-    """Equal low bits of the minima that are expected at a similarity, chance collisions included."""
+    """Equal low bits of the minima from which a pair may have this similarity, chance collisions included."""
     chance = 1 / (1 << LOW)
-    return int(MINIMA * (chance + (1 - chance) * similarity))
+    p = chance + (1 - chance) * similarity
+    return int(MINIMA * p - DEVIATIONS * (MINIMA * p * (1 - p)) ** 0.5)
 
 
 def matches(a: Column, b: Column) -> Column:
@@ -118,8 +124,9 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _with_signatures(plain: DataFrame, words: int) -> DataFrame:
+def _with_signatures(plain: DataFrame, words: int, least: int) -> DataFrame:
     """id, text_key, n, digest of the set, bits (band keys and packed low bits; none for an empty set)."""
+    band = band_rows(least / 100)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +135,7 @@ def _with_signatures(plain: DataFrame, words: int) -> DataFrame:
                 own = shingle_hashes(text.as_py(), words)
                 sizes.append(len(own))
                 digests.append(_digest(own))
-                bits.append(signature(own) if len(own) else [])
+                bits.append(signature(own, band) if len(own) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(bits, pa.list_(pa.int64()))],
@@ -240,7 +247,7 @@ class _Links:
         """The pairs (a, b) whose estimated similarity may reach the limit, with ``found`` matches."""
         both = _beside_pairs(pairs, self.sets.select("row", "n", "low"))
         both = both.where(_long_enough("a_n", "b_n", self.least)).withColumn("found", matches(F.col("a_low"), F.col("b_low")))
-        return both.where(F.col("found") >= enough_matches(self.least / 100 - MARGIN)).select("a", "b", "found")
+        return both.where(F.col("found") >= enough_matches(self.least / 100)).select("a", "b", "found")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare the full sets of the pairs (a, b), and join the components of those that are similar."""
@@ -302,7 +309,7 @@ def _by_prefix(links: _Links, rows: DataFrame) -> DataFrame:
     pairs = _joined(kept, other.join(written(sizes, "prefix-counts"), "h"), "h", "row")
     found = matches(F.col("low"), F.col("b_low"))
     pairs = pairs.where((F.col("row") < F.col("b_row")) & (F.col("root") != F.col("b_root")) & _long_enough("n", "b_n", links.least))
-    pairs = pairs.where(found >= enough_matches(links.least / 100 - MARGIN))
+    pairs = pairs.where(found >= enough_matches(links.least / 100))
     return pairs.select(F.col("row").alias("a"), F.col("b_row").alias("b"), found.alias("found")).distinct()
 
 
@@ -358,14 +365,14 @@ def similar_groups(
     plain = docs.select(
         F.col(f"`{id_column}`").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text")
     )
-    rows = written(_with_signatures(plain, words), "signatures")
+    rows = written(_with_signatures(plain, words, least), "signatures")
     sets = rows.where("n > 0").groupBy("digest").agg(
         F.count("*").alias("size"), F.min("id").alias("best"), F.min(F.struct("text_key", "id")).alias("rep"),
         F.first("n").alias("n"), F.first("bits").alias("bits"),
     )
     sets = sets.select(
         F.monotonically_increasing_id().alias("row"), "digest", "size", "best", "rep", "n",
-        F.slice("bits", 1, BANDS).alias("keys"), F.slice("bits", BANDS + 1, PACKED).alias("low"),
+        F.slice("bits", 1, F.size("bits") - PACKED).alias("keys"), F.slice("bits", -PACKED, PACKED).alias("low"),
     )
     sets = written(sets, "sets")
     links = _Links(plain, sets, words, least)

@@ -95,9 +95,9 @@ def test_pages_of_one_template_are_not_paired(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(minhash.similar_groups(df)) == brute(rows)
     plain = df.select(F.col("doc_id").alias("id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
-    made = minhash._with_signatures(plain, 5).select(
+    made = minhash._with_signatures(plain, 5, 85).select(
         F.col("id").alias("row"), "digest", "n", F.struct("text_key", "id").alias("rep"),
-        F.slice("bits", minhash.BANDS + 1, minhash.PACKED).alias("low"),
+        F.slice("bits", -minhash.PACKED, minhash.PACKED).alias("low"),
     )
     links = minhash._Links(plain, made, 5, 85)
     assert minhash._by_prefix(links, df.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("root"))).count() == 0
@@ -126,7 +126,7 @@ def test_low_bits_estimate_the_similarity(spark, share):
         both = round(2 * size * share / (1 + share))
         values = draw.integers(0, 1 << 63, 2 * size - both, np.uint64)
         a, b = values[:size], values[size - both :]
-        low = [minhash.signature(np.sort(x))[minhash.BANDS :].tolist() for x in (a, b)]
+        low = [minhash.signature(np.sort(x), 8)[-minhash.PACKED :].tolist() for x in (a, b)]
         errors.append((low, both / len(values)))
     df = spark.createDataFrame([(a, b, s) for (a, b), s in errors], "a array<long>, b array<long>, s double")
     chance = 1 / 16
