@@ -146,19 +146,19 @@ def _with_signatures(plain: DataFrame, words: int, least: int) -> DataFrame:
     return map_batches(plain, add, f"id {kind}, text_key binary, n long, digest binary, bits array<long>")
 
 
-def _joined(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join; ``one`` says in ``size`` how many rows of ``many`` a key has.
+def _joined(many: DataFrame, one: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
+    """Inner join; ``sizes`` (key, size) says how many rows of ``many`` a key has.
 
     Keys with more rows than a task's share, of which there are at most as many as tasks, are spread by
     a hash of ``by``, and their rows of ``one`` repeated.
     """
     tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = max(HOT, (one.select(key, "size").distinct().agg(F.sum("size")).first()[0] or 0) // tasks)
-    hot = one.where(F.col("size") > share).select(key, F.ceil(F.col("size") / share).cast("int").alias("shares")).distinct()
-    found = [tuple(r) for r in hot.collect()]
-    if not found:
+    total, most = sizes.agg(F.sum("size"), F.max("size")).first()
+    share = max(HOT, (total or 0) // tasks)
+    if (most or 0) <= share:
         return many.join(one, key)
-    known = F.broadcast(many.sparkSession.createDataFrame(found, hot.schema))
+    hot = sizes.where(F.col("size") > share).select(key, F.ceil(F.col("size") / share).cast("int").alias("shares"))
+    known = F.broadcast(many.sparkSession.createDataFrame([tuple(r) for r in hot.collect()], hot.schema))
     dealt = many.join(known, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("shares", F.lit(1))).cast("int"))
     repeated = one.join(known, key, "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))
@@ -167,11 +167,11 @@ def _joined(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def _beside_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with the columns of ``facts`` (row, ...) for both, named a_ and b_."""
+    """The written ``pairs`` (a, b, ...) with the columns of ``facts`` (row, ...) for both, named a_ and b_."""
+    sizes = {end: pairs.groupBy(end).agg(F.count("*").alias("size")) for end in ("a", "b")}
     for end, other in (("b", "a"), ("a", "b")):
-        sizes = pairs.groupBy(end).agg(F.count("*").alias("size"))
         own = facts.select(*[F.col(c).alias(end if c == "row" else f"{end}_{c}") for c in facts.columns])
-        pairs = _joined(pairs, own.join(sizes, end), end, other).drop("size")
+        pairs = _joined(pairs, own, end, other, sizes[end])
     return pairs
 
 
@@ -251,11 +251,10 @@ class _Links:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare the full sets of the pairs (a, b), and join the components of those that are similar."""
-        pairs = pairs.select("a", "b")
         full = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("row")))
         common = F.size(F.array_intersect("a_hashes", "b_hashes"))
         alike = 100 * common >= self.least * (F.size("a_hashes") + F.size("b_hashes") - common)
-        more = written(_beside_pairs(pairs, full).where(alike).select("a", "b"), "links")
+        more = written(_beside_pairs(pairs.select("a", "b"), full).where(alike).select("a", "b"), "links")
         if more.isEmpty():
             return
         self.links = more if self.links is None else self.links.unionAll(more)
@@ -264,23 +263,23 @@ class _Links:
         self.roots = written(nodes.unionAll(ends.select(F.col("v").alias("row"), F.col("v").alias("root")).distinct()), "roots")
 
 
-def _star(links: _Links, members: DataFrame, order: Column, hubs: int) -> None:
-    """Compare the members (key, size, row, root) of each bucket with the first few, if of another component."""
+def _star(links: _Links, members: DataFrame, sizes: DataFrame, order: Column, hubs: int) -> None:
+    """Compare the members (key, row, root) of each bucket with the first few, if of another component."""
     first = members.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(order, "row"))).where(F.col("place") <= hubs)
-    first = written(first.select("key", "size", F.col("row").alias("a"), F.col("root").alias("a_root")), "hubs")
-    pairs = _joined(members.select("key", "row", "root"), first, "key", "row").where("root <> a_root")
+    first = written(first.select("key", F.col("row").alias("a"), F.col("root").alias("a_root")), "hubs")
+    pairs = _joined(members.select("key", "row", "root"), first, "key", "row", sizes).where("root <> a_root")
     pairs = written(pairs.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct(), "pairs")
     pairs = written(links.likely(pairs), "likely")
     if not pairs.isEmpty():
         links.confirm(pairs)
 
 
-def _apart(links: _Links, members: DataFrame) -> DataFrame:
-    """The members of buckets that are in several components."""
+def _apart(links: _Links, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets that are in several components, and the sizes of these buckets."""
     now = written(links.with_roots(members.select("key", "row")), "labelled")
     split = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
     split = written(split.where("x < y").select("key", "size"), "split")
-    return written(_joined(now, split, "key", "row"), "apart")
+    return written(_joined(now, split.select("key"), "key", "row", split), "apart"), split
 
 
 def _by_prefix(links: _Links, rows: DataFrame) -> DataFrame:
@@ -294,7 +293,7 @@ def _by_prefix(links: _Links, rows: DataFrame) -> DataFrame:
     tokens = written(sets.select("row", "n", F.explode("hashes").alias("h")), "tokens")
     counts = written(tokens.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "token-counts")
     own = W.partitionBy("row")
-    ranked = _joined(tokens, counts, "h", "row").select(
+    ranked = _joined(tokens, counts, "h", "row", counts).select(
         "row", "n", "h",
         F.row_number().over(own.orderBy("size", "h")).alias("place"),
         F.count("*").over(own).alias("shared"),
@@ -304,9 +303,9 @@ def _by_prefix(links: _Links, rows: DataFrame) -> DataFrame:
     kept = ranked.where(F.col("place") <= prefix - (F.col("n") - F.col("shared"))).select("row", "h")
     kept = kept.join(rows, "row").join(links.sets.select("row", "n", "low"), "row")
     kept = written(kept, "prefixes")
-    sizes = kept.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = written(kept.groupBy("h").agg(F.count("*").alias("size")), "prefix-counts")
     other = kept.select("h", *[F.col(c).alias(f"b_{c}") for c in ("row", "root", "n", "low")])
-    pairs = _joined(kept, other.join(written(sizes, "prefix-counts"), "h"), "h", "row")
+    pairs = _joined(kept, other, "h", "row", sizes)
     found = matches(F.col("low"), F.col("b_low"))
     pairs = pairs.where((F.col("row") < F.col("b_row")) & (F.col("root") != F.col("b_root")) & _long_enough("n", "b_n", links.least))
     pairs = pairs.where(found >= enough_matches(links.least / 100))
@@ -317,16 +316,16 @@ def _linked(links: _Links) -> None:
     """Link all similar sets."""
     members = links.sets.select("row", F.explode("keys").alias("key"))
     sizes = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    members = written(_joined(members, sizes, "key", "row"), "members")
+    members = written(_joined(members, sizes, "key", "row", sizes), "members")
     met = written(members.groupBy("row").agg(F.sum("size").alias("met")), "met")
-    named = members.join(met, "row").withColumn("root", F.col("row"))
-    _star(links, written(named, "members"), F.col("met").desc(), 1)
+    named = written(members.join(met, "row").withColumn("root", F.col("row")), "members")
+    _star(links, named, sizes, F.col("met").desc(), 1)
     # Buckets of two are done.
-    apart = _apart(links, members.where("size > 2"))
+    apart, sizes = _apart(links, members.where("size > 2"))
     if apart.isEmpty():
         return
-    _star(links, apart, F.xxhash64("row", "key"), HUBS)
-    apart = _apart(links, apart)
+    _star(links, apart, sizes, F.xxhash64("row", "key"), HUBS)
+    apart, _ = _apart(links, apart)
     if apart.isEmpty():
         return
     pairs = written(_by_prefix(links, apart.select("row", "root").distinct()), "likely")
@@ -379,9 +378,9 @@ def similar_groups(
     _linked(links)
     named = links.with_roots(sets.select("row", "digest", "size", "best"))
     whole = written(named.groupBy("root").agg(F.min("best").alias("whole"), F.count("*").alias("size")), "component-best")
-    named = _joined(named.drop("size"), whole, "root", "row").drop("size").select("row", "whole")
+    named = _joined(named.drop("size"), whole.drop("size"), "root", "row", whole).select("row", "whole")
     named = written(sets.select("row", "digest", "size").join(named, "row").drop("row"), "classes")
-    some = _joined(rows.where("n > 0").select("id", "n", "digest"), named, "digest", "id").select("id", "n", "whole")
+    some = _joined(rows.where("n > 0").select("id", "n", "digest"), named.drop("size"), "digest", "id", named).select("id", "n", "whole")
     none = rows.where("n = 0").select("id", "n", F.col("id").alias("whole"))
     return some.unionAll(none).select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("whole").alias("component_id"),
