@@ -209,9 +209,9 @@ def time_part(t: Table, part: Part) -> None:
     )
     if t.numeric:
         metrics = part.first("trends", t.numeric, part.limits.trend_metrics)
-        series = t.kept("series", lambda: temporal.period_series(t, date_col, metrics, grain))
-        part.add("period_series", lambda: series)
-        part.add("trends", lambda: t.kept("trends", lambda: temporal.trends(t, series=series)))
+        sums = t.kept("period sums", lambda: temporal.period_sums(t, date_col, metrics, grain))
+        part.add("period_series", lambda: temporal.period_series(t, sums=sums))
+        part.add("trends", lambda: t.kept("trends", lambda: temporal.trends(t, sums=sums)))
 
 
 def segment_part(t: Table, part: Part) -> None:

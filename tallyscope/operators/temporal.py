@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope import rules
 from tallyscope.functions.probability import t_two_sided
+from tallyscope.plans.gaps import gaps
 from tallyscope.plans.shared import written
 from tallyscope.plans.table import (
     Table,
@@ -18,10 +19,9 @@ from tallyscope.plans.table import (
     quoted,
     table,
     text,
+    with_group_values,
 )
 
-# Keys of so many groups are broadcast.
-LARGEST_GROUPS = 50_000
 GRAINS = ("daily", "weekly", "monthly", "quarterly", "yearly")
 # Largest median gap, in days, of each grain but the last (fixed values).
 GRAIN_DAYS = (("daily", 1.5), ("weekly", 8.0), ("monthly", 35.0), ("quarterly", 100.0))
@@ -63,9 +63,10 @@ def date_column(df: DataFrame | Table) -> str | None:
 
 def micros(moment: Column) -> Column:
     """Zoneless timestamp as microseconds; differences need no time zone."""
-    seconds = F.unix_date(F.to_date(moment)) * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60
+    days = F.unix_date(F.to_date(moment)).cast("bigint")
+    seconds = days * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60
     fraction = F.extract(F.lit("SECOND"), moment) * 1_000_000
-    return seconds.cast("bigint") * 1_000_000 + fraction.cast("bigint")
+    return seconds * 1_000_000 + fraction.cast("bigint")
 
 
 def date_stats(t: Table, date_col: str) -> DataFrame:
@@ -94,9 +95,8 @@ def time_grain(
     """(keys, n, first, last, grain) from the median gap between sorted dates.
 
     Fewer than span/1.5 gaps can be longer than 1.5 days. Where that is less than half of
-    all gaps the median must be daily, so crowded groups, however large, are never sorted.
-    A group left open has at most 4/3 of its span in days plus three rows, a few thousand
-    for decades of dates; only those rows meet in a window.
+    all gaps the median must be daily, so crowded groups, however large, are never ordered.
+    The others are ordered in ranges (see ``plans/gaps.py``), whatever their span.
     """
     t = table(df, by)
     date_col = date_col or date_column(t)
@@ -105,34 +105,54 @@ def time_grain(
         2 * (micros(F.col("last")) - micros(F.col("first"))) / (1.5 * DAY_MICROS)
         <= F.col("n") - 3,
     )
-    moment = t.moment(date_col)
-    rows = t.df.select(*t.keys, moment.alias("moment")).where("moment is not null")
+    stats = written(stats, "grain")
+    left = stats.where("NOT crowded").select(*t.keys, F.array(F.lit(1.0)).alias("__open"))
+    if left.isEmpty():
+        return stats.select(*t.keys, "n", "first", "last", F.lit(GRAINS[0]).alias("grain"))
+    rows = t.df.select(*t.keys, micros(t.moment(date_col)).alias("__at")).where("__at IS NOT NULL")
     if t.by:
-        stats = written(stats, "grain")
-        # The largest crowded groups leave before the join, so no hot key is shuffled.
-        largest = stats.where("crowded").orderBy(F.desc("n")).limit(LARGEST_GROUPS)
-        rows = join_on(rows, F.broadcast(largest.select(*t.keys)), t.by, "left_anti")
-        rows = join_on(rows, stats.where("not crowded").select(*t.keys), t.by)
-    else:
-        one = stats.first()
-        if one is None or one["crowded"]:
-            rows = rows.where(F.lit(False))
-    order = Window.partitionBy(*(t.keys or [F.lit(0)])).orderBy("moment")
-    at = micros(F.col("moment"))
-    medians = (
-        rows.withColumn("gap", (at - F.lag(at).over(order)) / DAY_MICROS)
-        .groupBy(*t.keys)
-        .agg(F.percentile("gap", F.lit(0.5)).alias("days"))
-    )
+        rows = with_group_values(t, rows, left).drop("__open")
+    medians = median_grain(gaps(rows, t.by, "__at"), t.by)
     if t.by:
         joined = join_on(stats, medians, t.by, "left")
     else:
-        days = medians.first()["days"]
-        joined = stats.withColumn("days", F.lit(days).cast("double"))
-    grain = F.when(F.col("crowded"), GRAINS[0]).otherwise(grain_label(F.col("days")))
+        joined = stats.withColumn("__grain", F.lit(medians.first()["__grain"]))
+    grain = F.when(F.col("crowded"), GRAINS[0]).otherwise(F.col("__grain"))
     return joined.select(*t.keys, "n", "first", "last", grain.alias("grain"))
 
 
+def median_grain(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(keys, __grain) of the median of gaps (in microseconds) that occur ``n`` times.
+
+    Counts of gaps per grain tell in which the middle ones lie. If these differ, the median is half
+    way from the largest gap of the one to the least of the other, so nothing needs sorting.
+    """
+    days = F.col("gap") / DAY_MICROS
+    label = grain_label(days)
+    facts = []
+    for i, name in enumerate(GRAINS):
+        own = label == name
+        facts += [
+            F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias(f"n{i}"),
+            F.min(F.when(own, days)).alias(f"least{i}"),
+            F.max(F.when(own, days)).alias(f"most{i}"),
+        ]
+    counted = found.groupBy(*[field(k) for k in by]).agg(*facts)
+    upto = [" + ".join(f"n{j}" for j in range(i + 1)) for i in range(len(GRAINS))]
+
+    def at(rank: str, values: Sequence[str]) -> str:
+        cases = " ".join(f"WHEN {rank} < {u} THEN {v}" for u, v in zip(upto, values))
+        return f"CASE {cases} END"
+
+    low, high = f"({upto[-1]} - 1) DIV 2", f"({upto[-1]}) DIV 2"
+    places = [str(i) for i in range(len(GRAINS))]
+    # Within one grain any of its gaps gives the label.
+    same = f"{at(low, places)} = {at(high, places)}"
+    most, least = (at(r, [f"{name}{i}" for i in places]) for r, name in ((low, "most"), (high, "least")))
+    median = F.expr(f"CASE WHEN {same} THEN {most} ELSE ({most} + {least}) / 2 END")
+    return counted.select(*[field(k) for k in by], grain_label(median).alias("__grain"))
+
+
 def period_start(day: Column, grain: Column) -> Column:
     return (
         F.when(grain == "daily", day)
@@ -165,17 +185,30 @@ def period_step(grain: Column) -> Column:
     return F.make_interval(months=months, days=days)
 
 
-def period_series(
+def period_number(start: Column, grain: Column) -> Column:
+    """A number of the period that starts on a day; neighbouring periods differ by one."""
+    months = F.year(start) * 12 + F.month(start) - 1
+    return (
+        F.when(grain == "daily", F.unix_date(start))
+        .when(grain == "weekly", F.floor((F.unix_date(start) - 4) / 7))
+        .when(grain == "quarterly", F.floor(months / 3))
+        .when(grain == "yearly", F.year(start))
+        .otherwise(months)
+        .cast("bigint")
+    )
+
+
+def period_sums(
     df: DataFrame | Table,
     date_col: str | None = None,
     metrics: Sequence[str] | None = None,
     grain: str | DataFrame | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, metric, periods, x, period, value): sums per calendar period, empty ones 0.
+    """(keys, __grain, start, position, metric, value, rows): sums of the periods that have values.
 
     ``grain`` is one of the grain names, the result of ``time_grain``, or None to detect
-    it. All metrics are summed in one aggregation; the calendar holds one row per period.
+    it. All metrics are summed in one aggregation.
     """
     t = table(df, by)
     date_col = date_col or date_column(t)
@@ -217,7 +250,24 @@ def period_series(
             for i, c in enumerate(metrics)
         ]
     )
-    long = periods.select(*t.keys, "__grain", "start", values).where("rows > 0")
+    return periods.select(*t.keys, "__grain", "start", values).where("rows > 0")
+
+
+def period_series(
+    df: DataFrame | Table,
+    date_col: str | None = None,
+    metrics: Sequence[str] | None = None,
+    grain: str | DataFrame | None = None,
+    by: Sequence[str] = (),
+    sums: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, metric, periods, x, period, value): sums per calendar period, empty ones 0.
+
+    Arguments as in ``period_sums``, whose result ``sums`` may be. The calendar holds one row per
+    period.
+    """
+    t = table(df, by)
+    long = period_sums(t, date_col, metrics, grain) if sums is None else sums
     group = [*t.by, "position", "metric", "__grain"]
     ends = long.groupBy(*[field(c) for c in group]).agg(
         F.min("start").alias("from"), F.max("start").alias("to"), F.sum("rows").alias("rows")
@@ -250,35 +300,70 @@ def trends(
     date_col: str | None = None,
     metrics: Sequence[str] | None = None,
     grain: str | DataFrame | None = None,
-    series: DataFrame | None = None,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """Least-squares trend and latest period-over-period change per metric.
 
-    ``series`` may be an existing ``period_series`` result.
+    Empty periods count as zero, but no row is made for them: with k periods, n of them not empty, of
+    numbers x and sums y, they add nothing to sums of products with y, and k alone gives all sums of
+    x. ``sums`` may be an existing ``period_sums`` result.
     """
     t = table(df, by)
-    series = period_series(t, date_col, metrics, grain) if series is None else series
-    group = [*t.by, "position", "metric"]
-    x, y = F.col("x"), F.col("value")
-
-    def back(steps: int, column: str) -> Column:
-        """The value ``steps`` periods before the end; fixed-width, so hash-aggregated."""
-        return F.max(F.when(x == F.col("periods") - steps, F.col(column)))
-
+    sums = written(period_sums(t, date_col, metrics, grain), "sums") if sums is None else sums
+    group = [*t.by, "position", "metric", "__grain"]
+    number = period_number(F.col("start"), F.col("__grain"))
+    # Counted from the earliest one: products of small numbers are exact more often.
+    numbered = sums.withColumn("x", number - F.lit(sums.agg(F.min(number)).first()[0])).withColumnRenamed("value", "y")
+    x, y = F.col("x"), F.col("y")
+    # The period before the last one is the latest of the other parity, or empty.
+    parity = []
+    for side in (0, 1):
+        own = F.when(F.pmod(x, F.lit(2)) == side, x)
+        parity += [F.max(own).alias(f"x{side}"), F.max_by(y, own).alias(f"y{side}")]
+    fitted = numbered.groupBy(*[field(c) for c in group]).agg(
+        F.sum("rows").alias("rows"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg(y).alias("own_mean"),
+        F.min(y).alias("least"),
+        F.max(y).alias("most"),
+        F.min(x).alias("from"),
+        F.max(x).alias("to"),
+        F.max("start").alias("last"),
+        F.avg(x).alias("x_mean"),
+        F.covar_pop(x, y).alias("covariance"),
+        F.var_pop(y).alias("variance"),
+        *parity,
+    )
+    n, k, own = F.col("n"), F.col("k"), F.col("own_mean")
+    centre = (k - 1) / 2
+    back = F.col("to") - 1
+    before = F.add_months(F.col("last"), -F.when(F.col("__grain") == "quarterly", 3).when(F.col("__grain") == "yearly", 12).otherwise(1))
+    before = (
+        F.when(F.col("__grain") == "daily", F.date_sub("last", 1))
+        .when(F.col("__grain") == "weekly", F.date_sub("last", 7))
+        .otherwise(before)
+    )
     fitted = (
-        series.groupBy(*[field(c) for c in group])
-        .agg(
-            F.count(F.lit(1)).alias("k"),
-            F.avg(y).alias("mean"),
-            (F.min(y) == F.max(y)).alias("flat"),
-            F.regr_slope(y, x).alias("slope"),
-            F.regr_r2(y, x).alias("r2"),
-            back(1, "period").alias("current_period"),
-            back(2, "period").alias("previous_period"),
-            back(1, "value").alias("current_value"),
-            back(2, "value").alias("previous_value"),
+        fitted.where(F.col("rows") >= MIN_DATES)
+        .withColumn("k", F.col("to") - F.col("from") + 1)
+        .where(k >= MIN_DATES)
+        .withColumn("mean", n * own / k)
+        .withColumn("sxy", n * (F.col("covariance") + (F.col("x_mean") - F.col("from") - centre) * own))
+        .withColumn("sxx", k.cast("double") * (k.cast("double") * k - 1) / 12)
+        .withColumn(
+            "syy",
+            n * (F.col("variance") + (own - F.col("mean")) * (own - F.col("mean"))) + (k - n) * F.col("mean") * F.col("mean"),
+        )
+        .withColumn("flat", F.when(n == k, F.col("least") == F.col("most")).otherwise((F.col("least") == 0) & (F.col("most") == 0)))
+        .withColumn("slope", F.col("sxy") / F.col("sxx"))
+        .withColumn("r2", F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")))
+        .withColumn("current_period", period_end(F.col("last"), F.col("__grain")))
+        .withColumn("previous_period", period_end(before, F.col("__grain")))
+        .withColumn("current_value", F.when(F.col("x0") == F.col("to"), F.col("y0")).otherwise(F.col("y1")))
+        .withColumn(
+            "previous_value",
+            F.when(F.col("x0") == back, F.col("y0")).when(F.col("x1") == back, F.col("y1")).otherwise(0.0),
         )
-        .where(F.col("k") >= MIN_DATES)
     )
     k = F.col("k")
     short = k < 3

@@ -316,7 +316,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined.drop(*renamed.values())
 
 
-# A per-group table is broadcast only when it has been counted and has no more bytes than this.
+# A per-group table is broadcast only when its bytes have been added up and are no more than this.
 BROADCAST_BYTES = 32_000_000
 # Otherwise its rows are repeated this often, so that one hot group is shared by as many tasks.
 SALTS = 32
@@ -340,8 +340,15 @@ def with_group_values(
         ]
         return rows.select("*", *literals)
     values = written(values, "group-values")
-    numbers = sum(isinstance(f.dataType, T.ArrayType) for f in values.schema.fields) * len(t.columns)
-    if values.count() * (64 + 8 * numbers) <= BROADCAST_BYTES:
+    size = F.lit(32)
+    for f in values.schema.fields:
+        if isinstance(f.dataType, T.ArrayType):
+            size = size + 24 + 8 * F.size(field(f.name))
+        elif isinstance(f.dataType, T.StringType):
+            size = size + 24 + F.coalesce(F.octet_length(field(f.name)), F.lit(0))
+        else:
+            size = size + 16
+    if (values.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
         return join_on(rows, F.broadcast(values), keys)
     salted = rows.withColumn(
         "__salt", F.pmod(F.xxhash64(*[field(c) for c in rows.columns]), F.lit(SALTS)).cast("int")

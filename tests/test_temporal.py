@@ -120,7 +120,7 @@ def test_trend_edges(spark):
     flat = trend(spark, [3, 3, 3, 3])
     assert (flat["slope"], flat["p_value"], flat["direction"]) == (0.0, 1.0, "stable")
     perfect = trend(spark, [1, 2, 3, 4])
-    assert perfect["slope"] == 1.0 and perfect["p_value"] < 1e-6 and perfect["direction"] == "increasing"
+    assert perfect["slope"] == pytest.approx(1.0, rel=1e-12) and perfect["p_value"] < 1e-6 and perfect["direction"] == "increasing"
     two = trend(spark, [1, 5])
     assert (two["slope"], two["p_value"], two["change_pct"]) == (0.0, 1.0, 400.0)
     zero = trend(spark, [-1, 1, -1, 1, 0])
@@ -171,3 +171,79 @@ def test_sample_is_daily_without_season(sales):
     found = ts.time_profile(sales).first()
     assert (found["date_column"], found["detected_grain"], found["span_days"]) == ("date", "daily", 9)
     assert not found["seasonality_detected"]
+
+
+def brute_grain(moments):
+    """From the sorted moments (in days)."""
+    import numpy as np
+
+    median = float(np.median(np.diff(np.sort(moments))))
+    limits = [(1.5, "daily"), (8, "weekly"), (35, "monthly"), (100, "quarterly"), (1e9, "yearly")]
+    return next(name for limit, name in limits if median <= limit)
+
+
+def test_grain_of_ranges_that_cut_through_groups(spark):
+    """Medians on, and between, the limits of two grains; groups over many ranges."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    data, want = [], {}
+    for g in range(300):
+        steps = rng.choice([0, 0.5, 1.5, 1.75, 8, 8.25, 35, 35.5, 100, 101, 400], int(rng.integers(1, 60)), p=rng.dirichlet(np.ones(11)))
+        days = np.concatenate([[0.0], np.cumsum(steps)])
+        want[g] = brute_grain(days)
+        data += [(g, dt.datetime(2000, 1, 1) + dt.timedelta(days=float(d)), 1) for d in days]
+    df = spark.createDataFrame(pd.DataFrame(data, columns=["g", "t", "v"])).repartition(7)
+    got = by_key(ts.time_grain(df, by=["g"]), "g")
+    assert {g: r["grain"] for g, r in got.items()} == want and len(set(want.values())) == 5
+    for g in range(0, 300, 60):
+        assert ts.time_grain(df.where(F.col("g") == g).drop("g")).first()["grain"] == want[g]
+
+
+def test_a_date_far_off_neither_sorts_in_one_task_nor_makes_a_calendar(spark):
+    df = spark.range(2_000_000).select(
+        F.timestamp_seconds(F.col("id") * 400 + 946684800).cast("timestamp_ntz").alias("t"), (F.col("id") % 7).cast("double").alias("v")
+    )
+    df = df.unionAll(spark.sql("SELECT timestamp_ntz'9999-12-31 00:00:00' AS t, 3.0D AS v"))
+    assert ts.time_grain(df).first()["grain"] == "daily"
+    found = ts.trends(df).first()
+    days = 8000 * 365
+    assert found["periods"] > days and (found["current_value"], found["previous_value"]) == (3.0, 0.0)
+    assert (found["current_period"], found["previous_period"]) == ("9999-12-31", "9999-12-30")
+    plan = ts.trends(df)._jdf.queryExecution().toString()
+    assert "explode" not in plan
+
+
+def test_trends_count_empty_periods_as_zero(spark):
+    """The closed form against least squares over the filled series, for every grain."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    days = np.sort(rng.choice(3000, 40, replace=False))
+    values = rng.normal(50, 20, 40) + days / 100
+    df = dated(spark, [float(d) for d in days], values.tolist())
+    for grain in ("daily", "weekly", "monthly", "quarterly", "yearly"):
+        filled = rows(ts.period_series(df, "t", ["v"], grain), "x")
+        y = np.array([r["value"] for r in filled])
+        found = ts.trends(df, date_col="t", metrics=["v"], grain=grain).first()
+        assert found["periods"] == len(y)
+        assert found["slope"] == pytest.approx(np.polyfit(np.arange(len(y)), y, 1)[0], rel=1e-9)
+        assert found["slope_pct"] == pytest.approx(found["slope"] / y.mean() * 100, rel=1e-9)
+        r = np.corrcoef(np.arange(len(y)), y)[0, 1]
+        t_value = r * np.sqrt((len(y) - 2) / (1 - r * r))
+        assert found["p_value"] == pytest.approx(two_sided(abs(t_value), len(y) - 2), rel=1e-5)
+        assert (found["current_value"], found["previous_value"]) == (pytest.approx(y[-1]), pytest.approx(y[-2]))
+        assert (found["current_period"], found["previous_period"]) == tuple(str(r["period"]) for r in (filled[-1], filled[-2]))
+
+
+def two_sided(t, df):
+    """Student's tail by quadrature of the density."""
+    import math
+
+    import numpy as np
+
+    angle = np.linspace(math.atan(t / math.sqrt(df)), math.pi / 2, 200_001)
+    density = np.cos(angle) ** (df - 1)
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    return 2 * scale * float(np.sum((density[1:] + density[:-1]) / 2) * (angle[1] - angle[0]))
