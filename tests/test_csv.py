@@ -107,3 +107,13 @@ def test_sinks(spark, sales, tmp_path):
     ts.write_report(run["findings"], str(tmp_path / "report"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
     assert text.startswith("### Total Records\n**20** detected as a key metric in your data.\n")
+
+
+@pytest.mark.parametrize("field", ["x" * 200_000, 'a""b,' * 40_000, "line\nend," * 30_000])
+def test_very_long_quoted_fields_in_lines_marked_corrupt(spark, tmp_path, field):
+    """A short line is padded and a long one dropped, whatever stands inside quotes."""
+    (tmp_path / "a.csv").write_text(f'a,b,c\n1,2,3\n4,"{field}"\n5,"{field}",6,7\n')
+    found = ts.read_csv(spark, str(tmp_path))
+    rows = found.df.orderBy("a").collect()
+    assert [r.a for r in rows] == [1, 4] and [r.c for r in rows] == [3, None]
+    assert rows[1].b == field.replace('""', '"') and found.dropped_lines == 1
