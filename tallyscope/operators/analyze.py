@@ -23,6 +23,7 @@ from tallyscope.operators import (
     segments,
     temporal,
 )
+from tallyscope.plans.moments import declared
 from tallyscope.plans.table import Table
 
 
@@ -203,12 +204,13 @@ def time_part(t: Table, part: Part) -> None:
         )
         return
     grain = t.kept("grain", lambda: temporal.time_grain(t, date_col))
+    metrics = part.first("trends", t.numeric, part.limits.trend_metrics) if t.numeric else []
+    daily = (temporal.daily_sums(t, date_col, metrics), 0) if metrics else None
     part.add(
         "time_profile",
-        lambda: t.kept("time", lambda: temporal.time_profile(t, date_col=date_col, grain=grain)),
+        lambda: t.kept("time", lambda: temporal.time_profile(t, date_col=date_col, grain=grain, daily=daily)),
     )
-    if t.numeric:
-        metrics = part.first("trends", t.numeric, part.limits.trend_metrics)
+    if metrics:
         sums = t.kept("period sums", lambda: temporal.period_sums(t, date_col, metrics, grain))
         part.add("period_series", lambda: temporal.period_series(t, sums=sums))
         part.add("trends", lambda: t.kept("trends", lambda: temporal.trends(t, sums=sums)))
@@ -258,10 +260,14 @@ def analyze(
     """
     if depth not in ("quick", "standard"):
         raise ValueError(f"depth must be quick or standard, not {depth!r}")
-    check_input(df)
     t = Table(df, by, keep=True)
+    if not t.columns or len(t.top(2)) < 2:
+        check_input(df)
+    t.summed = segments.segment_kpis(t)[: limits.segment_kpis]
     run = Analysis(t, depth)
     chains = STANDARD if depth == "standard" else QUICK
+    # What is known to be needed from the schema alone is gathered in shared scans.
+    t.declare(schema.declared(t) | quality.declared(t) | declared(t) | temporal.declared(t))
     first = Part(t, limits)
     first.add("types", lambda: schema.infer_types(t) and None)
     run.notes.extend(first.notes)

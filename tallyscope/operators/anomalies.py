@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,14 +132,39 @@ def _empty(t: Table, schema: str) -> DataFrame:
     ).where(F.lit(False))
 
 
-def identified(t: Table, row_id: str | None) -> tuple[DataFrame, Column]:
-    """Rows with an identifier: a given column, or the position in the order of the scan.
+def identified(t: Table, row_id: str | None) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """Rows with columns that order and identify them, and what turns these into ``row_index``.
 
-    Rows are counted per partition first (one number each comes back), so the table must come in
-    the same partitions when it is read twice, as files do.
+    A given column is the identifier. Rows of Parquet files are known by file and place in it, which
+    no second scan is needed for and no way of cutting files into tasks changes; only the numbers
+    of rows of the files, from their footers, are added to the few rows that are looked up. For other
+    sources rows are counted per partition first, so the table must come in the same
+    partitions when it is read twice.
     """
     if row_id is not None:
-        return t.df, field(row_id)
+        return t.df.withColumn("__id", field(row_id)), ["__id"], lambda rows: rows.withColumnRenamed("__id", "row_index")
+    try:
+        placed = t.df.withColumns({"__file": F.col("_metadata.file_path"), "__place": F.col("_metadata.row_index")})
+    except AnalysisException:
+        numbered, place = _numbered(t)
+        return numbered.withColumn("__id", place), ["__id"], lambda rows: rows.withColumnRenamed("__id", "row_index")
+
+    def indexed(rows: DataFrame) -> DataFrame:
+        files = [r["__file"] for r in rows.select("__file").distinct().take(2)]
+        if len(files) < 2 and len(t.source.select("_metadata.file_path").distinct().take(2)) < 2:
+            return rows.withColumnRenamed("__place", "row_index").drop("__file")
+        sizes = t.source.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__rows"))
+        before = F.sum("__rows").over(Window.orderBy("__file")) - F.col("__rows")
+        return (
+            rows.join(sizes.select("__file", before.alias("__before")), "__file")
+            .withColumn("row_index", F.col("__before") + F.col("__place"))
+            .drop("__file", "__place", "__before")
+        )
+
+    return placed, ["__file", "__place"], indexed
+
+
+def _numbered(t: Table) -> tuple[DataFrame, Column]:
     place = F.monotonically_increasing_id()
     part = F.shiftright(F.col("__place"), 33)
     numbered = t.df.withColumn("__place", place)
@@ -149,8 +175,7 @@ def identified(t: Table, row_id: str | None) -> tuple[DataFrame, Column]:
         total += r["n"]
     offsets = t.spark.createDataFrame(starts, "__part bigint, __start bigint")
     rows = numbered.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    index = F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("__row", index), F.col("__row")
+    return rows, F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
 
 
 def outlier_examples(
@@ -170,8 +195,8 @@ def outlier_examples(
         return _empty(t, "position int, column string, side string, rank int, "
                          "row_index bigint, value double")
     bounds = fences(t, listed_values=listed_values) if bounds is None else bounds
-    base, row = identified(t, row_id)
-    rows = with_fences(t, base.withColumn("__id", row), bounds)
+    base, ids, indexed = identified(t, row_id)
+    rows = with_fences(t, base, bounds)
     index = {c: i for i, c in enumerate(t.numeric)}
 
     def beyond(c: str) -> str:
@@ -182,17 +207,15 @@ def outlier_examples(
         )
 
     found = (
-        rows.select(*t.keys, F.col("__id").alias("row_index"), unpivoted(t, t.numeric, beyond))
+        rows.select(*t.keys, *ids, unpivoted(t, t.numeric, beyond))
         .where("value is not null")
-        .select(*t.keys, "position", "column", "row_index", "value.value", "value.side")
+        .select(*t.keys, "position", "column", *ids, "value.value", "value.side")
     )
     extreme = F.when(F.col("side") == "low", F.col("value")).otherwise(-F.col("value"))
-    order = Window.partitionBy(*t.keys, "position", "column", "side").orderBy(extreme, "row_index")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= EXAMPLES_PER_SIDE)
-        .select(*t.keys, "position", "column", "side", "rank", "row_index", "value")
-    )
+    order = Window.partitionBy(*t.keys, "position", "column", "side").orderBy(extreme, *ids)
+    first = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= EXAMPLES_PER_SIDE)
+    # Two rows per group, column and side from here on.
+    return indexed(written(first, "examples")).select(*t.keys, "position", "column", "side", "rank", "row_index", "value")
 
 
 def suspicious_values(
@@ -217,15 +240,18 @@ def suspicious_values(
     negative = facts.where(F.col("column").isin(positive) & (F.col("negatives") > 0)).select(
         *t.keys, "position", "column", F.col("negatives").alias("count")
     )
+    if not t.by:  # a few rows: columns without negative values are not looked through
+        some = {r["column"] for r in negative.collect()}
+        positive = [c for c in positive if c in some]
     if not positive:
         return zeros
-    base, row = identified(t, row_id)
-    values = base.withColumn("__id", row).select(
+    base, ids, _ = identified(t, row_id)
+    values = base.select(
         *t.keys,
-        "__id",
+        *ids,
         unpivoted(t, positive, lambda c: f"IF({quoted(c)} < 0, CAST({quoted(c)} AS DOUBLE), NULL)"),
     )
-    order = Window.partitionBy(*t.keys, "position").orderBy("__id")
+    order = Window.partitionBy(*t.keys, "position").orderBy(*ids)
     first = (
         values.where("value is not null")
         .withColumn("rank", F.row_number().over(order))

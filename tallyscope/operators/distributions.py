@@ -16,6 +16,7 @@ from tallyscope.functions.probability import (
     polynomial,
 )
 from tallyscope.plans import quantiles as q
+from tallyscope.plans.moments import fact
 from tallyscope.plans.table import Table, field, join_on, quoted, table, unpivoted, with_group_values
 
 # Royston (1995), algorithm AS R94, lowest power first.
@@ -34,9 +35,10 @@ def shapiro_wilk(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
     t = table(df, by)
     schema = "column string, n bigint, w double, p double"
     columns = t.numeric
-    counts = t.df.groupBy(*t.keys).agg(
-        F.array(*[F.count(field(c)).cast("double") for c in columns]).alias("counts")
-    )
+    if not columns:
+        return t.df.select(*t.keys, *[F.lit(None).cast(k).alias(n) for n, k in (c.split() for c in schema.split(", "))]).where(F.lit(False))
+    wanted = dict(fact("n", t, c) for c in columns)
+    counts = t.facts(wanted).select(*t.keys, F.array(*[F.col(n).cast("double") for n in wanted]).alias("counts"))
     if not t.by:
         n = counts.first()["counts"] if columns else []
         columns = [

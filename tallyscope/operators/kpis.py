@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tallyscope import rules
 from tallyscope.functions.labels import human_number
 from tallyscope.operators.schema import infer_types
+from tallyscope.operators.temporal import date_facts
 from tallyscope.plans.histogram import value_counts
-from tallyscope.plans.table import Table, inlined, join_on, quoted, table, text
+from tallyscope.plans.moments import fact
+from tallyscope.plans.table import Fact, Table, inlined, join_on, table, text
 
 SEGMENT_RANGE = (2, 50)
 
@@ -43,27 +45,26 @@ def entry(
     }
 
 
-def number_entries(t: Table, types: dict[str, str]) -> tuple[list[str], list[dict]]:
+def number_entries(t: Table, types: dict[str, str]) -> tuple[dict[str, Fact], list[dict]]:
     """Aggregates and candidates for numeric columns that look like money or counts."""
-    wanted, entries = [], []
+    wanted, entries = {}, []
     for c in [c for c in t.columns if types[c] == "numeric"]:
-        i, title, value = t.position[c], rules.display_name(c), f"CAST({quoted(c)} AS DOUBLE)"
+        i, title = t.position[c], rules.display_name(c)
         if rules.named_like(c, rules.REVENUE_NAME):
-            wanted += [f"sum({value}) AS sum{i}", f"avg({value}) AS mean{i}"]
-            wanted += [f"min({value}) AS min{i}", f"count({value}) AS n{i}"]
+            wanted |= dict(fact(stat, t, c) for stat in ("sum", "mean", "min", "n"))
             name = c.lower()
             if "revenue" in name or "amount" in name:
                 currency = "true"
             else:
-                currency = f"coalesce(min{i} >= 0, false)" if "price" in name else "false"
-            kind = {"source": text(c), "valid": f"n{i} > 0", "currency": currency}
-            entries.append(entry(f"Total {title}", f"sum{i}", computation="sum", confidence=0.85, **kind))
-            entries.append(entry(f"Avg {title}", f"mean{i}", computation="mean", confidence=0.80, **kind))
+                currency = f"coalesce(min_{i} >= 0, false)" if "price" in name else "false"
+            kind = {"source": text(c), "valid": f"n_{i} > 0", "currency": currency}
+            entries.append(entry(f"Total {title}", f"sum_{i}", computation="sum", confidence=0.85, **kind))
+            entries.append(entry(f"Avg {title}", f"mean_{i}", computation="mean", confidence=0.80, **kind))
         elif rules.named_like(c, rules.COUNT_NAME):
-            wanted += [f"sum({value}) AS sum{i}", f"count({value}) AS n{i}"]
+            wanted |= dict(fact(stat, t, c) for stat in ("sum", "n"))
             entries.append(
-                entry(f"Total {title}", f"round(sum{i}, 6) - round(sum{i}, 6) % 1", text(c), "sum", 0.80,
-                      valid=f"n{i} > 0", whole=True)
+                entry(f"Total {title}", f"round(sum_{i}, 6) - round(sum_{i}, 6) % 1", text(c), "sum", 0.80,
+                      valid=f"n_{i} > 0", whole=True)
             )
     return wanted, entries
 
@@ -77,15 +78,15 @@ def kpis(df: DataFrame | Table, limit: int | None = 10, by: Sequence[str] = ())
     ]
     wanted, found = number_entries(t, types)
     entries += found
-    aggregates = [F.count(F.lit(1)).alias("rows"), *map(F.expr, wanted)]
+    wanted["rows"] = Fact(F.count(F.lit(1)), 1)
 
     dates = [c for c in t.columns if types[c] == "temporal"]
-    for i, c in enumerate(dates):
-        aggregates += [F.min(t.moment(c)).alias(f"from{i}"), F.max(t.moment(c)).alias(f"to{i}")]
+    for c in dates:
+        wanted |= date_facts(t, c)
     if dates:
         ranges = [
-            f"IF(from{i} IS NULL, NULL, struct({text(c)} AS name, from{i} AS a, to{i} AS b))"
-            for i, c in enumerate(dates)
+            f"IF(first_{i} IS NULL, NULL, struct({text(c)} AS name, first_{i} AS a, last_{i} AS b))"
+            for c, i in ((c, t.position[c]) for c in dates)
         ]
         span = "timestampdiff(DAY, dates.a, dates.b)"
         words = "concat(date_format(dates.a, 'MMM yyyy'), ' – ', date_format(dates.b, 'MMM yyyy'))"
@@ -106,7 +107,7 @@ def kpis(df: DataFrame | Table, limit: int | None = 10, by: Sequence[str] = ())
                   valid=f"{n} BETWEEN {low} AND {high}", shown=f"CAST({n} AS STRING)")
         )
 
-    measured = t.df.groupBy(*t.keys).agg(*aggregates)
+    measured = t.facts(wanted)
     if dates:
         measured = measured.withColumn("dates", F.expr(f"coalesce({', '.join(ranges)})"))
     if t.by and categories:

@@ -3,36 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope import rules
 from tallyscope.functions.labels import finite_or, fixed
-from tallyscope.plans.moments import batches
 from tallyscope.plans.shared import written
-from tallyscope.plans.table import Table, field, inlined, join_on, quoted, table, text
+from tallyscope.plans.table import Fact, Table, field, inlined, join_on, quoted, table, text
 
 # Up to this many repeated row hashes (8 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 
 
-def column_facts(t: Table, columns: Sequence[str]) -> list[Column]:
-    """Per column the number of values and whether they are all the same.
+def declared(t: Table) -> dict[str, Fact]:
+    """The number of rows, of complete ones, and per column of values, and whether these are all the same.
 
     Text is compared through its 64-bit hash (a column of different texts would have to collide in
     all its rows to be called constant): fixed-width buffers keep the aggregation in
     Spark's hash aggregate, where the texts themselves would force a sort per group.
     """
-    facts = []
-    for i, name in enumerate(columns):
-        c = quoted(name)
+    complete = F.expr(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in t.columns))
+    wanted = {"rows": Fact(F.count(F.lit(1)), 1), "complete": Fact(F.count_if(complete), 1)}
+    for name in t.columns:
+        i, c = t.position[name], quoted(name)
         value = f"IF({c} IS NULL, NULL, xxhash64({c}))" if t.kinds[name] == "string" else c
-        facts.append(
-            F.expr(f"struct(count({c}) AS n, min({value}) <=> max({value}) AS same) AS __{i}")
-        )
-    return facts
+        wanted[f"n_{i}"] = Fact(F.count(field(name)), 1)
+        # Of numbers these are the buffers of the moments.
+        wanted[f"same_{i}"] = Fact(F.expr(f"min({value}) <=> max({value})"), 0 if name in t.numeric else 2)
+    return wanted
 
 
 def pct(part: Column, whole: Column) -> Column:
@@ -42,26 +41,21 @@ def pct(part: Column, whole: Column) -> Column:
 def column_quality(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
     """(keys, position, column, missing_count, missing_pct, is_flagged, is_constant)."""
     t = table(df, by)
-    parts = []
-    for names in batches(t.columns, 3):
-        counted = t.df.groupBy(*t.keys).agg(
-            F.count(F.lit(1)).alias("__rows"), *column_facts(t, names)
-        )
-        rows = inlined(
-            [
-                {
-                    "position": t.position[c],
-                    "column": text(c),
-                    "missing_count": f"__rows - __{i}.n",
-                    "is_constant": f"__{i}.same",
-                    "__total": "__rows",
-                }
-                for i, c in enumerate(names)
-            ]
-        )
-        parts.append(counted.select(*t.keys, rows).where("__total > 0"))
+    rows = inlined(
+        [
+            {
+                "position": t.position[c],
+                "column": text(c),
+                "missing_count": f"rows - n_{t.position[c]}",
+                "is_constant": f"same_{t.position[c]}",
+                "__total": "rows",
+            }
+            for c in t.columns
+        ]
+    )
+    found = t.facts(declared(t)).select(*t.keys, rows).where("__total > 0")
     missing = pct(F.col("missing_count"), F.col("__total"))
-    return reduce(DataFrame.unionByName, parts).select(
+    return found.select(
         *t.keys,
         "position",
         "column",
@@ -95,9 +89,11 @@ def duplicate_rows(
         rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__hash"),
         "repeated",
     )
-    if repeated.count() <= broadcast_hashes:
+    suspects = repeated.count()
+    if suspects <= broadcast_hashes:
         repeated = F.broadcast(repeated)
-    rows = rows.join(repeated, "__hash", "left_semi")
+    # Without a repeated hash the table need not be read again.
+    rows = rows.join(repeated, "__hash", "left_semi") if suspects else rows.where(F.lit(False))
     copies = rows.groupBy(*[field(c) for c in columns]).agg((F.count(F.lit(1)) - 1).alias("n"))
     counted = copies.groupBy(*t.keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"))
     if not t.by:
@@ -118,18 +114,12 @@ def name_list(names: Column) -> Column:
 def table_quality(df: DataFrame | Table, by: Sequence[str] = ()) -> DataFrame:
     """One row per group: missing cells, complete rows, duplicates, warnings and score."""
     t = table(df, by)
-    complete = F.expr(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in t.columns))
-    counted = t.df.groupBy(*t.keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(complete).alias("complete"),
-        *column_facts(t, t.columns),
-    )
     structs = [
-        f"struct({text(c)} AS column, rows - __{i}.n AS missing, __{i}.same AS same)"
-        for i, c in enumerate(t.columns)
+        f"struct({text(c)} AS column, rows - n_{t.position[c]} AS missing, same_{t.position[c]} AS same)"
+        for c in t.columns
     ]
     facts = F.expr(f"array({', '.join(structs)})")
-    counted = counted.select(*t.keys, "rows", "complete", facts.alias("facts"))
+    counted = t.facts(declared(t)).select(*t.keys, "rows", "complete", facts.alias("facts"))
     copies = duplicate_rows(t)
     if t.by:
         counted = join_on(counted, copies, t.by)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope import rules
-from tallyscope.plans.table import Table, exact_distinct, field, table
+from tallyscope.plans.table import Fact, Table, exact_distinct, field, table
 
 
 def temporal_strings(t: Table, columns: list[str]) -> set[str]:
@@ -27,6 +27,25 @@ def temporal_strings(t: Table, columns: list[str]) -> set[str]:
     return {r["name"] for r in shares}
 
 
+def declared(t: Table) -> dict[str, Fact]:
+    """What the rules need to know of every column beside its distinct values.
+
+    Ranges take the buffers of the moments' least and largest values.
+    """
+    wanted = {"rows": Fact(F.count(F.lit(1)), 1)}
+    for c in t.columns:
+        i, value, kind = t.position[c], field(c), t.kinds[c]
+        wanted[f"n_{i}"] = Fact(F.count(value), 1)
+        if kind in ("integer", "float", "decimal"):
+            wanted[f"flag_{i}"] = Fact(F.bool_and(value.isin(0, 1)), 1)
+        elif kind == "string":
+            wanted[f"flag_{i}"] = Fact(F.bool_and(value.isin(*rules.BOOLEAN_WORDS)), 1)
+            wanted[f"length_{i}"] = Fact(F.avg(F.length(value)), 2)
+        if kind == "integer":
+            wanted[f"range_{i}"] = Fact(F.max(value).cast("double") - F.min(value), 0)
+    return wanted
+
+
 def infer_types(df: DataFrame | Table) -> dict[str, str]:
     """Column name to semantic type; reads only what the rules cannot do without.
 
@@ -41,34 +60,23 @@ def infer_types(df: DataFrame | Table) -> dict[str, str]:
     rest = [c for c in t.columns if c not in types]
     dates = temporal_strings(t, [c for c in rest if t.kinds[c] == "string"])
 
-    wanted = []
-    for i, c in enumerate(rest):
-        value, kind = field(c), t.kinds[c]
-        wanted.append(F.count(value).alias(f"n{i}"))
-        if kind in ("integer", "float", "decimal"):
-            wanted.append(F.bool_and(value.isin(0, 1)).alias(f"flag{i}"))
-        elif kind == "string":
-            wanted.append(F.bool_and(value.isin(*rules.BOOLEAN_WORDS)).alias(f"flag{i}"))
-            if c not in dates:
-                wanted.append(F.avg(F.length(value)).alias(f"length{i}"))
-        if kind == "integer":
-            wanted.append((F.max(value).cast("double") - F.min(value)).alias(f"range{i}"))
-    facts = t.df.agg(F.count(F.lit(1)).alias("rows"), *wanted).first()
+    wanted = declared(t)
+    facts = (t.df.agg(*[f.value.alias(n) for n, f in wanted.items()]) if t.by else t.facts(wanted)).first()
     rows = facts["rows"]
     t.__dict__["rows"] = rows
 
     undecided = []
-    for i, c in enumerate(rest):
-        kind = t.kinds[c]
-        flag = facts[f"flag{i}"] if kind not in ("boolean", "temporal") else None
-        if kind == "boolean" or facts[f"n{i}"] == 0:
+    for c in rest:
+        i, kind = t.position[c], t.kinds[c]
+        flag = facts[f"flag_{i}"] if kind not in ("boolean", "temporal") else None
+        if kind == "boolean" or facts[f"n_{i}"] == 0:
             types[c] = "boolean"
         elif flag and (kind != "string" or (t.low_cardinality([c], 2)[c] or 3) <= 2):
             types[c] = "boolean"
         elif kind == "temporal" or c in dates:
             types[c] = "temporal"
         elif kind == "integer":
-            possible = min(facts[f"n{i}"], facts[f"range{i}"] + 1)
+            possible = min(facts[f"n_{i}"], facts[f"range_{i}"] + 1)
             if possible > rules.HIGH_CARDINALITY and possible > rules.HIGH_CARDINALITY_RATIO * rows:
                 undecided.append(c)
             else:
@@ -85,12 +93,13 @@ def infer_types(df: DataFrame | Table) -> dict[str, str]:
 
     strings = [c for c in rest if c not in types]
     counts = t.low_cardinality(strings, rules.HIGH_CARDINALITY)
-    for i, c in enumerate(rest):
+    for c in rest:
         if c in types:
             continue
+        i = t.position[c]
         distinct = counts[c]
         if distinct is None or distinct / max(rows, 1) > rules.HIGH_CARDINALITY_RATIO:
-            types[c] = "text" if facts[f"length{i}"] > rules.TEXT_MEAN_LENGTH else "id"
+            types[c] = "text" if facts[f"length_{i}"] > rules.TEXT_MEAN_LENGTH else "id"
         else:
             types[c] = "categorical"
     t.__dict__["types"] = {c: types[c] for c in t.columns}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope import rules
+from tallyscope.plans.histogram import kept_counts, shared
 from tallyscope.plans.table import Table, field, inlined, quoted, table, text
 
 TOP_SEGMENTS = 10
@@ -68,16 +69,19 @@ def all_segments(
     sums = []
     for i, c in enumerate(figures):
         sums += [F.sum(f"k{i}").alias(f"s{i}"), F.count(f"k{i}").alias(f"n{i}")]
-    grouped = (
-        t.df.select(
-            *t.keys,
-            *[field(c).cast("double").alias(f"k{i}") for i, c in enumerate(figures)],
-            pair,
+    if shared(t, columns) and figures == t.summed:
+        grouped = kept_counts(t, columns).withColumnsRenamed({"position": "segment_position", "column": "segment_column"})
+    else:
+        grouped = (
+            t.df.select(
+                *t.keys,
+                *[field(c).cast("double").alias(f"k{i}") for i, c in enumerate(figures)],
+                pair,
+            )
+            .where("value is not null")
+            .groupBy(*t.keys, "segment_position", "segment_column", "value")
+            .agg(*sums)
         )
-        .where("value is not null")
-        .groupBy(*t.keys, "segment_position", "segment_column", "value")
-        .agg(*sums)
-    )
     per_kpi = inlined(
         [
             {

@@ -12,6 +12,7 @@ from tallyscope.functions.probability import t_two_sided
 from tallyscope.plans.gaps import gaps
 from tallyscope.plans.shared import written
 from tallyscope.plans.table import (
+    Fact,
     Table,
     field,
     inlined,
@@ -49,18 +50,32 @@ def date_column(df: DataFrame | Table) -> str | None:
         if t.kinds[c] == "string" and t.date_formats[c] is not None:
             candidates.append(c)
     if candidates:
-        shares = t.df.agg(
-            *[
-                F.avg(t.moment(c).isNotNull().cast("int")).alias(f"s{i}")
-                for i, c in enumerate(candidates)
-            ]
-        ).first()
-        readable = [c for i, c in enumerate(candidates) if (shares[i] or 0) > rules.DATE_SHARE]
+        wanted = {"rows": Fact(F.count(F.lit(1)), 1)}
+        for c in candidates:
+            wanted |= date_facts(t, c)
+        found_all = (t.df.agg(*[f.value.alias(n) for n, f in wanted.items()]) if t.by else t.facts(wanted)).first()
+        rows = found_all["rows"]
+        readable = [c for c in candidates if rows and found_all[f"dates_{t.position[c]}"] / rows > rules.DATE_SHARE]
         found = readable[0] if readable else found
     t.__dict__["date_column"] = found
     return found
 
 
+def date_facts(t: Table, column: str) -> dict[str, Fact]:
+    """How many dates a column has, the first and the last."""
+    i, moment = t.position[column], t.moment(column)
+    return {
+        f"dates_{i}": Fact(F.count(moment), 1),
+        f"first_{i}": Fact(F.min(moment), 1),
+        f"last_{i}": Fact(F.max(moment), 1),
+    }
+
+
+def declared(t: Table) -> dict[str, Fact]:
+    dates = [c for c in t.columns if t.kinds[c] == "temporal" or t.kinds[c] == "string" and t.date_formats[c] is not None]
+    return {name: f for c in dates for name, f in date_facts(t, c).items()}
+
+
 def micros(moment: Column) -> Column:
     """Zoneless timestamp as microseconds; differences need no time zone."""
     days = F.unix_date(F.to_date(moment)).cast("bigint")
@@ -70,16 +85,12 @@ def micros(moment: Column) -> Column:
 
 
 def date_stats(t: Table, date_col: str) -> DataFrame:
-    moment = t.moment(date_col)
-    return (
-        t.df.groupBy(*t.keys)
-        .agg(
-            F.count(moment).alias("n"),
-            F.min(moment).alias("first"),
-            F.max(moment).alias("last"),
-        )
-        .where(F.col("n") >= MIN_DATES)
+    i = t.position[date_col]
+    found = t.facts(date_facts(t, date_col))
+    renamed = found.select(
+        *t.keys, F.col(f"dates_{i}").alias("n"), F.col(f"first_{i}").alias("first"), F.col(f"last_{i}").alias("last")
     )
+    return renamed.where(F.col("n") >= MIN_DATES)
 
 
 def grain_label(days: Column) -> Column:
@@ -198,6 +209,19 @@ def period_number(start: Column, grain: Column) -> Column:
     )
 
 
+def daily_sums(t: Table, date_col: str, metrics: Sequence[str]) -> DataFrame:
+    """(keys, __day, s0, n0, ...): sum and number of each metric's values per day."""
+
+    def summed() -> DataFrame:
+        sums = []
+        for i, c in enumerate(map(quoted, metrics)):
+            sums += [F.expr(f"sum(CAST({c} AS DOUBLE)) AS s{i}"), F.expr(f"count({c}) AS n{i}")]
+        rows = t.df.withColumn("__day", F.to_date(t.moment(date_col))).where("__day is not null")
+        return rows.groupBy(*t.keys, "__day").agg(*sums)
+
+    return t.kept(f"daily {date_col} {list(metrics)}", summed) if t.keep else summed()
+
+
 def period_sums(
     df: DataFrame | Table,
     date_col: str | None = None,
@@ -213,37 +237,22 @@ def period_sums(
     t = table(df, by)
     date_col = date_col or date_column(t)
     metrics = list(metrics or t.numeric[: rules.TREND_METRICS])
-    rows = t.df.withColumn("__day", F.to_date(t.moment(date_col))).where("__day is not null")
+    # What is joined, summed again or read by several is then days, not rows.
+    daily = daily_sums(t, date_col, metrics)
     if isinstance(grain, str):
-        label = F.lit(grain)
+        daily = daily.withColumn("__grain", F.lit(grain))
     else:
         grains = grain if grain is not None else time_grain(t, date_col)
         if t.by:
-            # Sum per day first: what is joined and summed on is then days, not rows.
-            grains = grains.select(*t.keys, F.col("grain").alias("__grain"))
-            label = F.col("__grain")
+            daily = join_on(daily, grains.select(*t.keys, F.col("grain").alias("__grain")), t.by)
         else:
             found = grains.first()
-            label = F.lit(found["grain"] if found else "monthly")
-    sums = []
-    for i, c in enumerate(map(quoted, metrics)):
-        sums += [F.expr(f"sum(CAST({c} AS DOUBLE)) AS s{i}"), F.expr(f"count({c}) AS n{i}")]
-    if t.by and not isinstance(grain, str):
-        daily = rows.groupBy(*t.keys, "__day").agg(*sums)
-        again = []
-        for i in range(len(metrics)):
-            again += [F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"n{i}").alias(f"n{i}")]
-        periods = (
-            join_on(daily, grains, t.by)
-            .groupBy(*t.keys, "__grain", period_start(F.col("__day"), label).alias("start"))
-            .agg(*again)
-        )
-    else:
-        periods = (
-            rows.groupBy(*t.keys, period_start(F.col("__day"), label).alias("start"))
-            .agg(*sums)
-            .withColumn("__grain", label)
-        )
+            daily = daily.withColumn("__grain", F.lit(found["grain"] if found else "monthly"))
+    again = []
+    for i in range(len(metrics)):
+        again += [F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"n{i}").alias(f"n{i}")]
+    start = period_start(F.col("__day"), F.col("__grain")).alias("start")
+    periods = daily.groupBy(*t.keys, "__grain", start).agg(*again)
     values = inlined(
         [
             {"position": t.position[c], "metric": text(c), "value": f"s{i}", "rows": f"n{i}"}
@@ -410,18 +419,24 @@ def seasonality(
     by: Sequence[str] = (),
     date_col: str | None = None,
     metric: str | None = None,
+    daily: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
-    """(keys, months, cv, peak_month) of the mean per calendar month of one metric."""
+    """(keys, months, cv, peak_month) of the mean per calendar month of one metric.
+
+    ``daily`` may be a ``daily_sums`` result and the metric's place in it.
+    """
     t = table(df, by)
     date_col = date_col or date_column(t)
     metric = metric or (t.numeric[0] if t.numeric else None)
     value = field(metric).cast("double") if metric else F.lit(None).cast("double")
-    monthly = (
-        t.df.select(*t.keys, F.month(t.moment(date_col)).alias("month"), value.alias("value"))
-        .where("month is not null and value is not null")
-        .groupBy(*t.keys, "month")
-        .agg(F.avg("value").alias("mean"))
-    )
+    if daily is not None:
+        sums, i = daily
+        monthly = sums.where(f"n{i} > 0").groupBy(*t.keys, F.month("__day").alias("month"))
+        monthly = monthly.agg((F.sum(f"s{i}") / F.sum(f"n{i}")).alias("mean"))
+    else:
+        rows = t.df.select(*t.keys, F.month(t.moment(date_col)).alias("month"), value.alias("value"))
+        rows = rows.where("month is not null and value is not null")
+        monthly = rows.groupBy(*t.keys, "month").agg(F.avg("value").alias("mean"))
     names = F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()])
     best = F.max(F.struct(F.col("mean"), (-F.col("month")).alias("early")))
     return (
@@ -446,14 +461,18 @@ def time_profile(
     by: Sequence[str] = (),
     date_col: str | None = None,
     grain: DataFrame | None = None,
+    daily: tuple[DataFrame, int] | None = None,
 ) -> DataFrame | None:
-    """Grain, range and seasonality of the date column; None without a date column."""
+    """Grain, range and seasonality of the date column; None without a date column.
+
+    ``daily`` is as in ``seasonality``.
+    """
     t = table(df, by)
     date_col = date_col or date_column(t)
     if date_col is None:
         return None
     grains = grain if grain is not None else time_grain(t, date_col)
-    season = seasonality(t, date_col=date_col)
+    season = seasonality(t, date_col=date_col, daily=daily)
     if t.by:
         joined = join_on(grains, season, t.by, "left")
     else:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.plans.table import Table, inlined, quoted, text
+from tallyscope.plans.table import FIELD_BUDGET, Fact, Table, inlined, quoted, text
 
 # How each statistic is computed, as SQL over a column.
 SQL = {
@@ -17,20 +17,27 @@ SQL = {
     "max": "CAST(max({c}) AS DOUBLE)",
     "varies": "min({c}) <> max({c})",
     "sum": "sum(CAST({c} AS DOUBLE))",
-    "mean": "avg(CAST({c} AS DOUBLE))",
+    "mean": "try_divide(sum(CAST({c} AS DOUBLE)), count({c}))",
     "std": "stddev_samp({c})",
     "skewness": "skewness({c})",
     "kurtosis": "kurtosis({c})",
     "zeros": "count_if({c} = 0)",
     "negatives": "count_if({c} < 0)",
 }
-# Aggregation buffer fields of each. Spark compiles an aggregation into one generated loop
-# only below 100 fields, so columns are taken in batches that stay under.
+# Aggregation buffer fields of each.
 WIDTH = {
-    "n": 1, "min": 1, "max": 1, "varies": 0, "sum": 1, "mean": 2, "std": 3, "skewness": 4, "kurtosis": 5,
+    "n": 1, "min": 1, "max": 1, "varies": 0, "sum": 1, "mean": 0, "std": 3, "skewness": 4, "kurtosis": 5,
     "zeros": 1, "negatives": 1,
 }
-FIELD_BUDGET = 96
+
+
+def fact(stat: str, t: Table, column: str) -> tuple[str, Fact]:
+    """The name of a column's statistic among a table's facts, and how it is computed."""
+    return f"{stat}_{t.position[column]}", Fact(F.expr(SQL[stat].format(c=quoted(column))), WIDTH[stat])
+
+
+def declared(t: Table) -> dict[str, Fact]:
+    return dict(fact(stat, t, c) for c in t.numeric for stat in SQL)
 
 
 def batches(columns: Sequence[str], width: int) -> list[list[str]]:
@@ -46,9 +53,12 @@ def moments(
     """(keys, position, column, *stats) for the given numeric columns."""
     if not columns:
         return empty_like(t, stats)
-    if t.keep and list(columns) == t.numeric and len(stats) < len(SQL):
-        kept = t.kept("moments", lambda: moments(t, columns, list(SQL)))
-        return kept.select(*t.keys, "position", "column", *stats)
+    if t.keep:
+        wide = t.facts(dict(fact(s, t, c) for c in columns for s in stats))
+        rows = [
+            {"position": t.position[c], "column": text(c)} | {s: fact(s, t, c)[0] for s in stats} for c in columns
+        ]
+        return wide.select(*t.keys, inlined(rows))
     parts = []
     for names in batches(columns, max(1, sum(WIDTH[s] for s in stats))):
         wide, rows = [], []

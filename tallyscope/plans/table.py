@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import cached_property, reduce
 from threading import Lock
 
@@ -19,6 +20,8 @@ TEMPORAL_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 # Rows looked at on the driver to settle what a few values can already prove.
 HEAD_ROWS = 2000
+# Of these, rows whose values come along.
+TOP_ROWS = 200
 # Leading values that decide on the format of dates in text.
 DATE_VALUES = 100
 # Longer texts are compared by a 128-bit digest, so that they are not shuffled.
@@ -55,6 +58,19 @@ def field(name: str) -> Column:
     return F.col(quoted(name))
 
 
+#: Aggregation buffer fields of one scan. Spark compiles an aggregation into one generated loop only
+#: below 100 fields, so facts are taken in batches that stay under.
+FIELD_BUDGET = 96
+
+
+@dataclass(frozen=True)
+class Fact:
+    """An aggregate over the rows of a group, and how many buffer fields it takes beside its column's others."""
+
+    value: Column
+    width: int
+
+
 class Table:
     """A DataFrame prepared for analysis.
 
@@ -72,6 +88,12 @@ class Table:
         self._lock = Lock()
         self._locks: dict[str, Lock] = {}
         self.distinct_counts: dict[str, int] = {}
+        self._declared: dict[str, Fact] = {}
+        #: Numeric columns that the histogram of values sums per value, for a full analysis.
+        self.summed: list[str] = []
+        self._head: list[tuple] | None = None
+        self._first: list[dict] = []
+        self._first_is_all = False
         unknown = [k for k in self.by if k not in df.columns]
         if unknown:
             raise ValueError(f"group keys not in the table: {unknown}")
@@ -113,16 +135,62 @@ class Table:
     def keys(self) -> list[Column]:
         return [field(k) for k in self.by]
 
+    def declare(self, wanted: Mapping[str, Fact]) -> None:
+        """Say that these facts will be asked for: all declared ones are gathered together."""
+        self._declared |= wanted
+
+    def facts(self, wanted: Mapping[str, Fact]) -> DataFrame:
+        """(keys, one column for each fact): one row per group.
+
+        Declared facts come from the scans that all operators share, others from scans of their own.
+        """
+        if self.keep and wanted.keys() <= self._declared.keys():
+            shared = self.kept("facts", lambda: self._gathered(self._declared))
+            return shared.select(*self.keys, *map(field, wanted))
+        return self._gathered(wanted)
+
+    def _gathered(self, wanted: Mapping[str, Fact]) -> DataFrame:
+        columns: dict[str, list[str]] = {}
+        for name in wanted:  # aggregates of one column share buffers
+            columns.setdefault(name.rpartition("_")[2], []).append(name)
+        parts: list[list[str]] = [[]]
+        used = 0
+        for names in columns.values():
+            width = sum(wanted[n].width for n in names)
+            if used + width > FIELD_BUDGET and parts[-1]:
+                parts.append([])
+                used = 0
+            parts[-1] += names
+            used += width
+        found = [self.df.groupBy(*self.keys).agg(*[wanted[n].value.alias(n) for n in part]) for part in parts]
+        if len(found) == 1:
+            return found[0]
+        if not self.by:
+            row = [v for df in found for v in df.first()]
+            return self.spark.createDataFrame([row], T.StructType([f for df in found for f in df.schema.fields]))
+        return reduce(lambda a, b: join_on(a, b, self.by), [written(df, "facts") for df in found])
+
     @cached_property
     def rows(self) -> int:
         """Number of rows; on Parquet Spark answers this from the file footers."""
         return self.source.count()
 
-    @cached_property
-    def _head(self) -> list[tuple]:
-        hashed = [F.xxhash64(field(c)).alias(f"h{i}") for i, c in enumerate(self.columns)]
-        empty = [field(c).isNull().alias(f"e{i}") for i, c in enumerate(self.columns)]
-        return self.df.select(*hashed, *empty).take(HEAD_ROWS)
+    def _look(self) -> None:
+        """One ``take`` for all that a few leading rows can tell: hashes of 2,000 rows, values of the first."""
+        with self._lock:
+            if self._head is not None:
+                return
+            place = F.monotonically_increasing_id()
+            hashed = [F.xxhash64(field(c)).alias(f"h{i}") for i, c in enumerate(self.columns)]
+            empty = [field(c).isNull().alias(f"e{i}") for i, c in enumerate(self.columns)]
+            values = [F.when(place < TOP_ROWS, field(c)).alias(f"v{i}") for i, c in enumerate(self.columns)]
+            found = self.df.select(place.alias("place"), *hashed, *empty, *values).take(HEAD_ROWS)
+            width = len(self.columns)
+            self._head = [r[1 : 1 + 2 * width] for r in found]
+            first = [dict(zip(self.columns, r[1 + 2 * width :])) for r in found if r[0] < TOP_ROWS]
+            # The first rows of the table are those of its first partition.
+            self._first = first if [r[0] for r in found[: len(first)]] == list(range(len(first))) else []
+            self._first_is_all = len(first) == len(found) < HEAD_ROWS
 
     def surely_more_than(self, column: str, limit: int) -> bool:
         """True if a few leading rows already show more than ``limit`` distinct values.
@@ -130,10 +198,21 @@ class Table:
         Equal values have equal hashes, so the number of hashes never exceeds the
         number of values and a True is a proof; False says nothing.
         """
+        self._look()
         i = self.columns.index(column)
         width = len(self.columns)
         return len({r[i] for r in self._head if not r[width + i]}) > limit
 
+    def top(self, n: int) -> list[dict]:
+        """The first rows by column, without the group keys."""
+        self._look()
+        with self._lock:
+            if len(self._first) < n and not self._first_is_all:
+                found = self.df.select(*map(field, self.columns)).take(n)
+                self._first = [dict(zip(self.columns, r)) for r in found]
+                self._first_is_all = len(found) < n
+        return self._first[:n]
+
     def leading(self, columns: Sequence[str], n: int, width: int | None = None) -> dict[str, list]:
         """The first ``n`` non-null values of each column, in row order.
 
@@ -150,10 +229,12 @@ class Table:
             return field(c)
 
         wanted = max(2 * n, 50)
-        top = self.df.select(*[value(c).alias(f"v{i}") for i, c in enumerate(columns)]).take(wanted)
+        top = self.top(wanted)
         found = {}
-        for i, c in enumerate(columns):
-            values = [r[i] for r in top if r[i] is not None][:n]
+        for c in columns:
+            values = [r[c] for r in top if r[c] is not None][:n]
+            if width is not None and self.kinds[c] == "string":
+                values = [v[:width] for v in values]
             if len(values) < n and len(top) == wanted:
                 rest = self.df.select(value(c).alias("v")).where("v is not null").take(n)
                 values = [r.v for r in rest]
@@ -225,12 +306,31 @@ class Table:
             for c in columns
             if c not in self.distinct_counts and not self.surely_more_than(c, limit)
         ]
-        if open_columns:
+        if open_columns and self.keep and set(open_columns) <= set(self.counted_columns()):
+            self.distinct_counts.update(self._sizes())
+        elif open_columns:
             self.distinct_counts.update(exact_distinct(self, open_columns))
         counts = {c: self.distinct_counts.get(c) for c in columns}
         return {c: n if n is not None and n <= limit else None for c, n in counts.items()}
 
 
+    def counted_columns(self) -> list[str]:
+        """String and boolean columns whose leading rows do not prove them of many values."""
+        columns = [c for c in self.columns if self.kinds[c] in ("string", "boolean")]
+        return [c for c in columns if not self.surely_more_than(c, rules.HIGH_CARDINALITY)]
+
+    def _sizes(self) -> dict[str, int]:
+        """Distinct values of the counted columns, from their kept histogram."""
+        from tallyscope.plans.histogram import value_counts
+
+        columns = self.counted_columns()
+        counts = value_counts(self, columns)
+        if self.by:
+            counts = counts.select("column", "value").distinct()
+        found = dict(counts.groupBy("column").agg(F.count(F.lit(1))).collect())
+        return {c: found.get(c, 0) for c in columns}
+
+
 def zoneless(instant: Column) -> Column:
     """The UTC reading of an instant as a timestamp without zone."""
     micros = F.unix_micros(instant)

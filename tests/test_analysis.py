@@ -165,3 +165,58 @@ def test_metric_comparison(spark):
     sums = by_key(ts.metric_comparison(df, ["qty"], "sum"), "metric")
     assert sums["qty"]["value"] == 450.0
     assert ts.metric_comparison(df, ["width"]).count() == 0
+
+
+def source_scans(spark, path, run):
+    """(full scans, scans of leading rows or of footers only) of a file that executed queries made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    full = few = 0
+    found = store.executionsList()
+    for i in range(known, found.size()):
+        execution = found.apply(i)
+        nodes = store.planGraph(execution.executionId()).allNodes()
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            if "Scan parquet" in node.name() and path in node.desc():
+                partial = "ReadSchema: struct<>" in node.desc() or "take at" in execution.description()
+                full, few = full + (not partial), few + partial
+    return full, few
+
+
+def test_parts_of_a_standard_run_share_their_scans(spark, tmp_path):
+    """Nine full scans, whatever the number of parts; one look at leading rows, one at footers.
+
+    Columns of fewer than 5,000 values are read once more for their normality test, tables of more than
+    a million values once or twice more for quantiles.
+    """
+    path = str(tmp_path / "sales")
+    days = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 90).cast("int"))
+    spark.range(6000).select(
+        F.col("id").alias("order_id"), days.alias("day"),
+        F.element_at(F.array(*[F.lit(x) for x in "abcd"]), (F.col("id") % 4 + 1).cast("int")).alias("region"),
+        F.concat(F.lit("p"), F.col("id") % 9).alias("product"),
+        *[(F.col("id") * (i + 3) % (97 + i) + F.when(F.col("id") % 500 == 0, 5000).otherwise(0.0)).alias(n)
+          for i, n in enumerate(["revenue", "units", "cost", "discount", "weight", "score"])],
+    ).coalesce(1).write.parquet(path)
+    made = []
+    full, few = source_scans(spark, path, lambda: made.append(ts.analyze(spark.read.parquet(path))))
+    with made[0] as run:
+        wanted = {"numeric_summary", "categorical_summary", "distributions", "trends", "segments", "correlations", "outlier_examples"}
+        assert wanted <= set(run.tables) and run.skipped.where("status = 'failed'").count() == 0
+        # What comes from shared scans is what each operator finds by itself.
+        df = spark.read.parquet(path)
+        for name, alone in (
+            ("numeric_summary", ts.numeric_summary(df)), ("table_quality", ts.table_quality(df)), ("kpis", ts.kpis(df)),
+            ("categorical_summary", ts.categorical_summary(df)), ("segments", ts.segments(df)), ("time_profile", ts.time_profile(df)),
+            ("trends", ts.trends(df)), ("outlier_examples", ts.outlier_examples(df)), ("schema_profile", ts.schema_profile(df)),
+        ):
+            got, want = (sorted((shortened(r) for r in x.select(alone.columns).collect()), key=str) for x in (run[name], alone))
+            assert got == want, name
+    assert full <= 9 and few <= 2
+
+
+def shortened(row):
+    return [f"{v:.9g}" if isinstance(v, float) else str(v) for v in row]
