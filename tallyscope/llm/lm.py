@@ -1,18 +1,22 @@
 """Scoring by context-tree weighting over bytes, beside a smoothed word model.
 
 A byte is eight binary decisions. Each decision has Krichevsky-Trofimov estimates in the contexts
-of none to four bytes before it; weights learned from the training texts mix the depths, as in
-context-tree weighting. All counts are gathered from the whole corpus. The tree has every context
-of up to two bytes, and those of three and four bytes that make up at least one in ``CONTEXTS`` of
-all positions, so at most that many of each; what is in no such context has a branch of its own
-beside them. The word model has no bound, so only words that make up at least one in ``SHARE`` of
-all tokens (at most that many words) are sent to the tasks; all others meet their counts in a join.
+of none to ``DEPTH`` bytes before it, and the weights that the training texts give to the depths mix
+them, as in context-tree weighting. Every context is in the tree, however rare.
+
+The tree lives in Spark as its grams: a context of ``DEPTH`` bytes and the byte after it, with their
+counts. Grams that share the last two bytes of their context stand in one partition, so each task
+has whole subtrees: it sums their evidence from the deepest context up, of which only that of the
+256 contexts of one byte goes to the driver, and then takes the mixed probabilities down to every
+gram. Grams and words that make up at least a given fraction of all (so at most a given number)
+are sent to the tasks that score; all others are counted for each text and meet their values in a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +26,21 @@ from pyspark.sql import types as T
 
 from tallyscope.llm.tables import map_batches, written
 
+#: Bytes of the longest contexts; those and the byte after them must fit into a long integer.
+DEPTH = 4
 #: Words with at least this fraction (one in ...) of all tokens are looked up in the tasks.
 SHARE = 1_000_000
-#: Contexts of three and of four bytes are in the tree from this fraction (one in ...) on.
-CONTEXTS = 16_384
+#: Grams with at least this fraction (one in ...) of all positions are looked up in the tasks.
+GRAM_SHARE = 1 << 21
 #: Bytes of text that a task counts at once; bounds memory.
 BLOCK = 1_000_000
+#: Grams that a task computes at once, if they end at a context of two bytes.
+CHUNK = 1 << 16
+#: Contexts whose decisions are computed at once.
+ROWS = 2048
 #: Marks the end of a text; no byte of UTF-8. Before a text stand as many zero bytes as the tree is deep.
 END = b"\xff"
-START = b"\0\0\0\0"
+START = b"\0" * DEPTH
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -49,8 +59,11 @@ def _bits(counts: np.ndarray) -> list[np.ndarray]:
 
 def _evidence(bits: np.ndarray) -> np.ndarray:
     """Log probability of a decision's history under the Krichevsky-Trofimov estimator."""
-    zeros, ones = bits[..., 0], bits[..., 1]
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
+    result = np.zeros(bits.shape[:-1])
+    some = bits.sum(-1) > 0
+    zeros, ones = bits[..., 0][some], bits[..., 1][some]
+    result[some] = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
+    return result
 
 
 def _next(bits: np.ndarray) -> np.ndarray:
@@ -66,154 +79,115 @@ def _by_byte(ones: list[np.ndarray]) -> np.ndarray:
 
 
 class _Depth:
-    """Contexts of one depth in order of their parents, with the counts of the bytes after them."""
-
-    def __init__(self, contexts: np.ndarray, bytes_: np.ndarray, counts: np.ndarray, parents: np.ndarray, bits: int):
-        """``contexts``: codes, the byte next to the predicted one lowest; ``parents``: codes of the
-        contexts that are one byte shorter (of so many ``bits``), in the order of their rows."""
-        self.contexts, row = np.unique(contexts, return_inverse=True)
-        # The shorter context is the code without its highest byte, which is the oldest one.
-        by_code = np.argsort(parents)
-        self.parent = by_code[np.searchsorted(parents[by_code], self.contexts & ((1 << bits) - 1))]
-        order = np.argsort(self.parent, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.contexts, self.parent, row = self.contexts[order], self.parent[order], place[row]
-        by_row = np.argsort(row, kind="stable")
-        self.row, self.byte, self.count = row[by_row], bytes_[by_row], counts[by_row]
-        self.starts = np.searchsorted(self.row, np.arange(len(self.contexts) + 1))
+    """Contexts of one depth with the counts of the bytes after them."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int, shorter: _Depth | None):
+        """``codes``: grams, the predicted byte lowest and the oldest highest."""
+        contexts = codes >> 8 & ((1 << 8 * depth) - 1)
+        self.contexts, self.row = np.unique(contexts, return_inverse=True)
+        # The shorter context is the code without its highest byte; those of one byte are all there.
+        above = self.contexts & ((1 << 8 * (depth - 1)) - 1)
+        self.parent = above if shorter is None else np.searchsorted(shorter.contexts, above)
+        self.parents = 256 if shorter is None else len(shorter.contexts)
+        self.byte, self.count = codes & 255, counts
+        self.order = np.argsort(self.row, kind="stable")
+        self.starts = np.searchsorted(self.row[self.order], np.arange(len(self.contexts) + 1))
 
     def __len__(self) -> int:
         return len(self.contexts)
 
-    def dense(self, a: int, b: int) -> np.ndarray:
-        part = slice(self.starts[a], self.starts[b])
-        out = np.zeros((b - a, 256))
-        out[self.row[part] - a, self.byte[part]] = self.count[part]
-        return out
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Rows a..b, which grams are theirs, and their counts of the 256 bytes."""
+        for a in range(0, len(self), ROWS):
+            b = min(a + ROWS, len(self))
+            part = self.order[self.starts[a] : self.starts[b]]
+            dense = np.zeros((b - a, 256))
+            np.add.at(dense, (self.row[part] - a, self.byte[part]), self.count[part])
+            yield a, b, part, dense
 
 
 def _levels(rows: int) -> list[np.ndarray]:
-    return [np.zeros((rows, 1 << k), np.float32) for k in range(8)]
-
-
-class ContextTree:
-    """Tables of log10 probabilities of the next byte, by the deepest context that is in the tree."""
-
-    def __init__(self, *counted: tuple[np.ndarray, np.ndarray]):
-        """For depths 2, 3, ...: codes of context and next byte (the lowest eight bits), counts.
-
-        Depth 2 has all there is; deeper ones some contexts whose shorter ones are there too.
-        """
-        codes, counts = counted[0]
-        one_contexts, one_bytes = codes >> 8 & 255, codes & 255
-        one = np.zeros((256, 256))
-        np.add.at(one, (one_contexts, one_bytes), counts)
-        self.depths = []
-        parents, bits_there = np.arange(256), 8
-        for codes, counts in counted:
-            depth = _Depth(codes >> 8, codes & 255, counts, parents, bits_there)
-            self.depths.append(depth)
-            parents, bits_there = depth.contexts, bits_there + 8
-        weighted = [_levels(len(d)) for d in self.depths]
-        stops = [_levels(len(d)) for d in self.depths]
-        for i in range(len(self.depths) - 1, -1, -1):
-            for a, b, dense, rest, has, below in self._blocks(i):
-                own_bits, rest_bits = _bits(dense), _bits(rest)
-                for k in range(8):
-                    own = _evidence(own_bits[k])
-                    split = _evidence(rest_bits[k])
-                    if below is not None:
-                        np.add.at(split, self.depths[i + 1].parent[below] - a, weighted[i + 1][k][below])
-                    weighted[i][k][a:b] = np.where(has, np.logaddexp(own, split) - np.log(2), own)
-                    stops[i][k][a:b] = np.where(has, _stop(own, split), 1)
-        one_bits, root_bits = _bits(one), _bits(one.sum(0, keepdims=True))
-        seen = one.sum(1) > 0
-        # p = before + through * (what the next depth says), from the root on.
-        before, through, root = [], [], [_next(b) for b in root_bits]
-        plain = []
-        for k in range(8):
-            own, split = _evidence(one_bits[k]), np.zeros((256, 1 << k))
-            np.add.at(split, self.depths[0].parent, weighted[0][k])
-            stop_one = _stop(own, split)
-            all_ = (np.logaddexp(own, split) - np.log(2))[seen].sum(0, keepdims=True)
-            stop_root = _stop(_evidence(root_bits[k]), all_)
-            here = _next(one_bits[k])
-            plain.append(stop_root * root[k] + (1 - stop_root) * here)
-            before.append(stop_root * root[k] + (1 - stop_root) * stop_one * here)
-            through.append((1 - stop_root) * (1 - stop_one))
-        #: For contexts that were never seen: the deepest that was has the last word.
-        self.order1 = np.where(seen[:, None], _by_byte(plain), _by_byte(root)).astype(np.float32)
-        tables = []
-        for i, depth in enumerate(self.depths):
-            table, next_before, next_through = np.zeros((len(depth), 256), np.float32), _levels(len(depth)), _levels(len(depth))
-            for a, b, dense, rest, _, _ in self._blocks(i):
-                up = depth.parent[a:b]
-                own_bits, rest_bits, some = _bits(dense), _bits(rest), rest.sum(1, keepdims=True) > 0
-                ones = []
-                for k in range(8):
-                    here, stop = _next(own_bits[k]), stops[i][k][a:b]
-                    next_before[k][a:b] = before[k][up] + through[k][up] * stop * here
-                    next_through[k][a:b] = through[k][up] * (1 - stop)
-                    last = np.where(some, _next(rest_bits[k]), here)
-                    ones.append(before[k][up] + through[k][up] * (stop * here + (1 - stop) * last))
-                table[a:b] = _by_byte(ones)
-            tables.append(table)
-            before, through = next_before, next_through
-        self.table = np.concatenate(tables)
-        #: Row of each pair of bytes; then, by row and the byte before, of each longer context.
-        self.rows2 = np.full(1 << 16, -1, np.int32)
-        self.rows2[self.depths[0].contexts] = np.arange(len(self.depths[0]))
-        self.longer = []
-        for i in range(1, len(self.depths)):
-            rows = np.full((max(len(self.depths[i - 1]), 1), 256), -1, np.int16)
-            depth = self.depths[i]
-            rows[depth.parent, depth.contexts >> 8 * (i + 1)] = np.arange(len(depth))
-            self.longer.append(rows.ravel())
-        self.first = np.cumsum([0] + [len(d) for d in self.depths])
-        del self.depths
-
-    def _blocks(self, i: int) -> Iterator[tuple]:
-        """Rows a..b of a depth: their counts, those outside deeper contexts, whether there are
-        deeper ones, and which."""
-        depth = self.depths[i]
-        after = self.depths[i + 1] if i + 1 < len(self.depths) else None
-        for a in range(0, len(depth), 2048):
-            b = min(a + 2048, len(depth))
-            dense = depth.dense(a, b)
-            rest, has, below = dense.copy(), np.zeros((b - a, 1), bool), None
-            if after is not None:
-                c, d = np.searchsorted(after.parent, [a, b])
-                below = slice(c, d)
-                for at in range(c, d, 2048):
-                    end = min(at + 2048, d)
-                    np.subtract.at(rest, after.parent[at:end] - a, after.dense(at, end))
-                has[after.parent[below] - a] = True
-            yield a, b, dense, rest, has, below
-
-    def log10(self, text: bytes) -> float:
-        """log10 probability of a text and its end."""
-        return float(self.log10_each([text])[0])
-
-    def log10_each(self, texts: list[bytes]) -> np.ndarray:
-        data, kept = _joined(texts)
-        deep = len(START)
-        at = [data[deep - i : len(data) - i] for i in range(deep + 1)]  # the byte, and those before it
-        row = self.rows2[at[2].astype(np.int32) << 8 | at[1]]
-        found = row.copy()
-        for i, rows in enumerate(self.longer):
-            longer = rows[np.maximum(row, 0) * 256 + at[i + 3]]
-            row = np.where(row >= 0, longer, -1).astype(np.int32)
-            found = np.where(row >= 0, row + np.int32(self.first[i + 1]), found)
-        if len(self.table):
-            each = self.table.ravel()[np.maximum(found, 0).astype(np.int64) * 256 + at[0]]
-        else:
-            each = np.zeros(len(found), np.float32)
-        unseen = np.flatnonzero(found < 0)
-        each[unseen] = self.order1[at[1][unseen], at[0][unseen]]
-        each[~kept] = 0
-        starts = np.cumsum([0] + [len(t) + deep + 1 for t in texts[:-1]])
-        return np.add.reduceat(each.astype(np.float64), np.minimum(starts, len(each) - 1))
+    return [np.zeros((rows, 1 << k)) for k in range(8)]
+
+
+def _depths(codes: np.ndarray, counts: np.ndarray) -> list[_Depth]:
+    """Depths 2, 3, ... of the subtrees that these grams make up."""
+    depths: list[_Depth] = []
+    for depth in range(2, DEPTH + 1):
+        depths.append(_Depth(codes, counts, depth, depths[-1] if depths else None))
+    return depths
+
+
+def _weigh(depths: list[_Depth]) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """From the deepest contexts up: the sums of their log weighted probabilities for each context of
+    one byte, and for each depth the weights of stopping there (none for the deepest)."""
+    below, stops = None, []
+    for depth in reversed(depths):
+        up, stop = _levels(depth.parents), _levels(len(depth) if below else 0)
+        for a, b, _, dense in depth.blocks():
+            for k, bits in enumerate(_bits(dense)):
+                weighted = own = _evidence(bits)
+                if below:
+                    stop[k][a:b] = _stop(own, below[k][a:b])
+                    weighted = np.logaddexp(own, below[k][a:b]) - np.log(2)
+                np.add.at(up[k], depth.parent[a:b], weighted)
+        below = up
+        stops.insert(0, stop)
+    return below, stops
+
+
+@dataclass
+class _Down:
+    """What comes down to the contexts of one depth: p = before + through * (what the next depth
+    says), and the estimate of the deepest context on the way that has occurred."""
+
+    before: list[np.ndarray]
+    through: list[np.ndarray]
+    here: list[np.ndarray]
+
+
+def _from_root(counts: np.ndarray, split: list[np.ndarray]) -> _Down:
+    """Depths 0 and 1: ``counts`` of bytes after each byte, ``split`` as ``_weigh`` sums it."""
+    one, root, seen = _bits(counts), _bits(counts.sum(0, keepdims=True)), counts.sum(1, keepdims=True) > 0
+    down = _Down([], [], [])
+    for k in range(8):
+        own = _evidence(one[k])
+        parts = (np.logaddexp(own, split[k]) - np.log(2)).sum(0, keepdims=True)
+        stop_root, stop_one = _stop(_evidence(root[k]), parts), _stop(own, split[k])
+        here = np.where(seen, _next(one[k]), _next(root[k]))
+        down.before.append(stop_root * _next(root[k]) + (1 - stop_root) * stop_one * here)
+        down.through.append((1 - stop_root) * (1 - stop_one))
+        down.here.append(here)
+    return down
+
+
+def _predict(codes: np.ndarray, counts: np.ndarray, down: _Down) -> np.ndarray:
+    """log10 probability of the byte of each gram after its context.
+
+    Where a context has not occurred in training, the deepest one that has takes its part.
+    """
+    depths = _depths(codes, counts)
+    _, stops = _weigh(depths)
+    result = np.zeros(len(codes))
+    for i, depth in enumerate(depths):
+        deepest = i == len(depths) - 1
+        after = _Down(*(_levels(0 if deepest else len(depth)) for _ in range(3)))
+        for a, b, part, dense in depth.blocks():
+            up, seen, ones = depth.parent[a:b], dense.sum(1, keepdims=True) > 0, []
+            for k, bits in enumerate(_bits(dense)):
+                before, through = down.before[k][up], down.through[k][up]
+                here = np.where(seen, _next(bits), down.here[k][up])
+                if deepest:
+                    ones.append(before + through * here)
+                else:
+                    stop = stops[i][k][a:b]
+                    after.before[k][a:b] = before + through * stop * here
+                    after.through[k][a:b] = through * (1 - stop)
+                    after.here[k][a:b] = here
+            if deepest:
+                result[part] = _by_byte(ones)[depth.row[part] - a, depth.byte[part]]
+        down = after
+    return result
 
 
 def _stop(own: np.ndarray, split: np.ndarray) -> np.ndarray:
@@ -250,56 +224,140 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield batch.slice(start), texts
 
 
-def corpus_counts(texts: DataFrame, text_column: str = "text") -> DataFrame:
-    """(kind, item, n): counts of words ("w"), of five bytes in a row ("g") and of ends ("e").
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Each byte after the first start, with the ``DEPTH`` bytes before it in the higher bits."""
+    grams = np.zeros(len(data) - DEPTH, np.int64)
+    for i in range(DEPTH + 1):
+        grams = grams << 8 | data[i : len(data) - DEPTH + i]
+    return grams
+
+
+def corpus_counts(rows: DataFrame) -> DataFrame:
+    """(kind, item, code, n, present) of ``rows`` (trained, text): counts of words ("w"), grams ("g", by their
+    code) and ends ("e"), ``n`` in the texts to learn from and ``present`` in all. Words of other texts
+    are not counted.
 
     Each task counts its blocks first, and Spark combines them before the shuffle, so a frequent
     word costs one row for each block.
     """
-    names = ["kind", "item", "n"]
+    schema = "kind string, item binary, code long, n long, present long"
+    names = ["kind", "item", "code", "n", "present"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches, 0):
+        for batch, block in _blocks(batches, 1):
+            trained = batch.column(0).to_pylist()
             words: Counter[bytes] = Counter()
-            for text in block:
-                words.update(_words(text))
-            kinds = pa.array(["w"] * len(words) + ["e"])
-            items = pa.array([*words, b""], pa.binary())
-            yield pa.RecordBatch.from_arrays([kinds, items, pa.array([*words.values(), len(block)], pa.int64())], names=names)
-            data, kept = _joined(block)
-            grams = np.zeros(len(data) - len(START), np.uint64)
-            for i in range(len(START) + 1):
-                grams = grams << np.uint64(8) | data[i : len(data) - len(START) + i]
-            grams, n = np.unique(grams[kept], return_counts=True)
-            flat = np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:])
-            offsets = np.arange(0, flat.size + 1, 5, dtype=np.int32)
-            items = pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([pa.array(["g"] * len(grams)), items, pa.array(n, pa.int64())], names=names)
-
-    rows = map_batches(texts.select(F.col(f"`{text_column}`").alias("text")), count, "kind string, item binary, n long")
-    return written(rows.groupBy("kind", "item").agg(F.sum("n").alias("n")), "counts")
-
-
-def _tree(counts: DataFrame) -> ContextTree:
-    """What comes to the driver: at most 2**24 counts of three bytes, and those after the contexts
-    of three and four bytes that are frequent enough, at most 256 for each."""
-    grams = counts.where("kind = 'g'").select("item", "n")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = []
-    for length in (2, 3, 4):
-        context = F.substring("item", 5 - length, length)
-        after = grams.groupBy(context.alias("context"), F.substring("item", 5, 1).alias("byte")).agg(F.sum("n").alias("n"))
-        if length > 2:
-            frequent = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("all"))
-            frequent = frequent.where(F.col("all") * CONTEXTS >= total).select("context")
-            after = after.join(F.broadcast(frequent), "context")
-        table = after.select(F.concat("context", "byte").alias("item"), "n").toArrow()
-        codes = np.zeros(len(table), np.int64)
-        bytes_ = np.frombuffer(b"".join(table["item"].to_pylist()), np.uint8).reshape(-1, length + 1)
-        for i in range(length + 1):
-            codes = codes << 8 | bytes_[:, i]
-        found.append((codes, table["n"].to_numpy()))
-    return ContextTree(*found)
+            for text, learn in zip(block, trained):
+                if learn:
+                    words.update(_words(text))
+            ends = sum(trained)
+            n = pa.array([*words.values(), ends], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(["w"] * len(words) + ["e"]), pa.array([*words, b""], pa.binary()),
+                    pa.nulls(len(n), pa.int64()), n, n,
+                ],
+                names=names,
+            )
+            for learn in (True, False):
+                texts = [text for text, known in zip(block, trained) if known == learn]
+                if texts:
+                    data, kept = _joined(texts)
+                    codes, n = np.unique(_grams(data)[kept], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(["g"] * len(n)), pa.nulls(len(n), pa.binary()), pa.array(codes),
+                            pa.array(n if learn else np.zeros(len(n), np.int64)), pa.array(n, pa.int64()),
+                        ],
+                        names=names,
+                    )
+
+    found = map_batches(rows.select("trained", "text"), count, schema)
+    sums = [F.sum(c).alias(c) for c in ("n", "present")]
+    return written(found.groupBy("kind", "item", "code").agg(*sums), "counts")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns (code, n, ...) in parts that hold all grams of their contexts of two bytes, in whose order they come."""
+    held: list[list[np.ndarray]] = []
+    size, wanted = 0, CHUNK
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= wanted:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            pairs = columns[0] >> 8 & 0xFFFF
+            cut = np.searchsorted(pairs, pairs[-1])
+            if cut:
+                yield tuple(c[:cut] for c in columns)
+            held = [[c[cut:] for c in columns]]
+            size -= cut
+            wanted = max(CHUNK, 2 * size)
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """(code, present, score): the log10 probability of each gram of ``corpus_counts``.
+
+    To the driver come 511 numbers for each of the 256 contexts of one byte.
+    """
+    spark = counts.sparkSession
+    grams = counts.where("kind = 'g'").select("code", "n", "present")
+    parts = spark.sparkContext.defaultParallelism + grams.count() // CHUNK
+    pair = F.expr("shiftright(code, 8) & 65535")
+    subtrees = grams.repartition(parts, pair).sortWithinPartitions(pair)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n, _ in _whole(batches):
+            split, _ = _weigh(_depths(codes, n))
+            counted = np.zeros((256, 256))
+            np.add.at(counted, (codes >> 8 & 255, codes & 255), n)
+            values = np.concatenate([*split, counted], axis=1)
+            present = np.unique(codes >> 8 & 255)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(present.astype(np.int32)), pa.array(list(values[present]), pa.list_(pa.float64()))],
+                names=["context", "sums"],
+            )
+
+    sums = map_batches(subtrees, weigh, "context int, sums array<double>")
+    table = sums.select("context", F.posexplode("sums")).groupBy("context", "pos").agg(F.sum("col").alias("sum")).toArrow()
+    top = np.zeros((256, 511))
+    top[table["context"].to_numpy(), table["pos"].to_numpy()] = table["sum"].to_numpy()
+    split = [top[:, (1 << k) - 1 : (2 << k) - 1] for k in range(8)]
+    down = spark.sparkContext.broadcast(_from_root(top[:, 255:], split))
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n, present in _whole(batches):
+            columns = [pa.array(codes), pa.array(present), pa.array(_predict(codes, n, down.value))]
+            yield pa.RecordBatch.from_arrays(columns, names=["code", "present", "score"])
+
+    return written(map_batches(subtrees, predict, "code long, present long, score double"), "grams")
+
+
+class Known:
+    """Grams and words that are looked up in the tasks."""
+
+    def __init__(self, words: pa.Table, grams: pa.Table):
+        order = np.argsort(grams["code"].to_numpy())
+        self.codes = np.append(grams["code"].to_numpy()[order], 1 << 62)
+        self.scores = np.append(grams["score"].to_numpy()[order], 0).astype(np.float32)
+        self.words = dict(zip(words["item"].to_pylist(), np.log10(words["n"].to_numpy() + 1.0).tolist()))
+
+    def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the sum of the scores of its known grams; text, code and number of the others."""
+        data, kept = _joined(texts)
+        grams = _grams(data)
+        at = np.searchsorted(self.codes, grams)
+        found = kept & (self.codes[at] == grams)
+        each = np.where(found, self.scores[at].astype(np.float64), 0)
+        starts = np.cumsum([0] + [len(t) + DEPTH + 1 for t in texts[:-1]])
+        sums = np.add.reduceat(each, np.minimum(starts, len(each) - 1))
+        missing = np.flatnonzero(kept & ~found)
+        text = np.searchsorted(starts, missing, "right") - 1
+        # Texts of a block are fewer than its bytes, so both fit into a long integer.
+        keys, times = np.unique(text << 40 | grams[missing], return_counts=True)
+        return sums, keys >> 40, keys & ((1 << 40) - 1), times
 
 
 def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -317,17 +375,26 @@ def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", te
         F.col(f"`{id_column}`").alias("id"), F.coalesce(training, F.lit(False)).alias("trained"),
         F.col(f"`{text_column}`").alias("text"),
     )
-    counts = corpus_counts(rows.where("trained"))
+    counts = corpus_counts(rows)
     words = counts.where("kind <> 'g'")
     total, distinct, ends = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("kind") == "e", F.col("n"))), F.lit(0))
+        F.coalesce(F.sum("n"), F.lit(0)),
+        F.count_if(F.col("n") > 0),
+        F.coalesce(F.sum(F.when(F.col("kind") == "e", F.col("n"))), F.lit(0)),
     ).first()
-    top = words.where((F.col("kind") == "w") & (F.col("n") * SHARE >= total)).select("item", "n").toArrow()
-    logs = np.log10(top["n"].to_numpy() + 1.0).tolist()
-    known = spark.sparkContext.broadcast((dict(zip(top["item"].to_pylist(), logs)), _tree(counts)))
+    grams = gram_scores(counts)
+    positions = grams.agg(F.coalesce(F.sum("present"), F.lit(0))).first()[0]
+    frequent_word = (F.col("kind") == "w") & (F.col("n") * SHARE >= total)
+    frequent_gram = F.col("present") * GRAM_SHARE >= positions
+    known = spark.sparkContext.broadcast(
+        Known(
+            words.where(frequent_word).select("item", "n").toArrow(),
+            grams.where(frequent_gram).select("code", "score").toArrow(),
+        )
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, tree = known.value
+        frequent = known.value.words
         for batch, block in _blocks(batches, 2):
             tokens, found, sums, rest, times, cuts = [], [], [], [], [], [0]
             for text in block:
@@ -346,11 +413,15 @@ def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", te
                 sums.append(total_log)
                 cuts.append(len(rest))
             others = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], names=["item", "times"])
+            scores, text_at, codes, n = known.value.look_up(block)
+            gram_cuts = np.searchsorted(text_at, np.arange(len(block) + 1)).astype(np.int32)
+            rare = pa.StructArray.from_arrays([pa.array(codes), pa.array(n, pa.int64())], names=["code", "times"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array([len(t) for t in block], pa.int64()),
                     pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(sums, pa.float64()),
-                    pa.array(tree.log10_each(block)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), others),
+                    pa.array(scores), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), others),
+                    pa.ListArray.from_arrays(pa.array(gram_cuts), rare),
                 ],
                 names=schema.names,
             )
@@ -361,23 +432,33 @@ def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", te
             T.StructField("n_tokens", T.LongType()), T.StructField("seen", T.LongType()),
             T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType()),
             T.StructField("rest", T._parse_datatype_string("array<struct<item:binary,times:bigint>>")),
+            T.StructField("grams", T._parse_datatype_string("array<struct<code:bigint,times:bigint>>")),
         ]
     )
     scored = written(map_batches(rows, score, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.item", "r.times")
-    rare = words.where((F.col("kind") == "w") & (F.col("n") * SHARE < total)).select("item", "n")
+    rare = words.where((F.col("kind") == "w") & ~frequent_word).select("item", "n")
     by_row = (
         rest.join(rare, "item")
         .groupBy("row")
         .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     )
+    grams_by_row = (
+        scored.select("row", F.explode("grams").alias("g")).select("row", "g.code", "g.times")
+        .join(grams.where(~frequent_gram).select("code", F.col("score").alias("each")), "code")
+        .groupBy("row")
+        .agg(F.sum(F.col("times") * F.col("each")).alias("more_score"))
+    )
     end_log, each = float(np.log10(ends + 1.0)), float(np.log10(total + distinct + 1.0))
     zero = F.lit(0)
-    return scored.drop("rest").join(by_row, "row", "left").select(
-        F.col("id").alias(id_column), "trained", "n_tokens",
-        (F.col("seen") + F.coalesce("more", zero) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
-        (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("size") + 1)).alias("bits_per_byte"),
+    score_of_text = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return (
+        scored.drop("rest", "grams").join(by_row, "row", "left").join(grams_by_row, "row", "left").select(
+            F.col("id").alias(id_column), "trained", "n_tokens",
+            (F.col("seen") + F.coalesce("more", zero) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+            F.lit(int(total)).cast("long").alias("train_tokens"),
+            (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
+            score_of_text.alias("score"),
+            (-score_of_text / F.log10(F.lit(2.0)) / (F.col("size") + 1)).alias("bits_per_byte"),
+        )
     )

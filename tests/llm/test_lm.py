@@ -19,17 +19,15 @@ def grams_of(training, deep):
     return counts
 
 
-def direct(training, text, deep, kept):
-    """Context-tree weighting as defined, in plain recursion.
-
-    A context's parts are the longer contexts that are in the tree, and all the rest together."""
+def direct(training, text, deep):
+    """Context-tree weighting as defined, in plain recursion, over all contexts that occurred."""
     grams = grams_of(training, deep)
-    inside = {c for c, _ in grams if len(c) <= 2 or c in kept}
+    inside = {c for c, _ in grams} | {b""}
 
-    def bits(select, k, node):
+    def bits(c, k, node):
         n = [0, 0]
         for (context, byte), count in grams.items():
-            if select(context) and byte >> (8 - k) == node:
+            if context == c and byte >> (8 - k) == node:
                 n[byte >> (7 - k) & 1] += count
         return n
 
@@ -37,18 +35,12 @@ def direct(training, text, deep, kept):
         g = math.lgamma
         return g(n[0] + 0.5) + g(n[1] + 0.5) - g(n[0] + n[1] + 1) - math.log(math.pi)
 
-    def rest(c):
-        return lambda x: len(x) == min(len(c) + 1, deep) and x.endswith(c) and x not in inside
-
     def parts(c, k, node):
-        longer = [x for x in inside if len(x) == len(c) + 1 and x.endswith(c)]
-        if not longer:
-            return None
-        return sum(weighted(x, k, node) for x in longer) + evidence(bits(rest(c), k, node))
+        return sum(weighted(x, k, node) for x in inside if len(x) == len(c) + 1 and x.endswith(c))
 
     def weighted(c, k, node):
-        own, split = evidence(bits(lambda x: x == c, k, node)), parts(c, k, node)
-        return own if split is None else np.logaddexp(own, split) - math.log(2)
+        own = evidence(bits(c, k, node))
+        return own if len(c) == deep else np.logaddexp(own, parts(c, k, node)) - math.log(2)
 
     total, data = 0.0, b"\0" * 4 + text + b"\xff"
     for i in range(4, len(data)):
@@ -56,55 +48,60 @@ def direct(training, text, deep, kept):
         path = path[: next((d for d, c in enumerate(path) if c not in inside), deep + 1)]
         for k in range(8):
             node, bit = data[i] >> (8 - k), data[i] >> (7 - k) & 1
-
-            def estimate(n):
-                return (n[1] + 0.5) / (sum(n) + 1)
-
-            own = [estimate(bits(lambda x, c=c: x == c, k, node)) for c in path]
-            p, top = own[-1], len(path) - 1
-            last = path[-1]
-            if any(rest(last)(c) for c, _ in grams) and parts(last, k, node) is not None:
-                p = estimate(bits(rest(last), k, node))
-                top += 1
-            for d in range(top - 1, -1, -1):
-                split = parts(path[d], k, node)
-                w = 1 / (1 + math.exp(split - evidence(bits(lambda x, c=path[d]: x == c, k, node))))
+            own = [(n[1] + 0.5) / (sum(n) + 1) for n in (bits(c, k, node) for c in path)]
+            p = own[-1]
+            for d in range(len(path) - 2, -1, -1):
+                w = 1 / (1 + math.exp(parts(path[d], k, node) - evidence(bits(path[d], k, node))))
                 p = w * own[d] + (1 - w) * p
             total += math.log10(p if bit else 1 - p)
     return total
 
 
-def tree(training, deep=4, kept=None):
-    counted = []
-    for depth in range(2, deep + 1):
-        found = {
-            int.from_bytes(c + bytes([byte]), "big"): n
-            for (c, byte), n in grams_of(training, deep).items()
-            if len(c) == depth and (depth == 2 or kept is None or c in kept)
-        }
-        counted.append((np.array(list(found), np.int64), np.array(list(found.values()), np.int64)))
-    return lm.ContextTree(*counted)
+TRAINING = ["abracadabra", "abacab", "", "\u00fcb", "abracadabra"]
+OTHERS = ["abra", "xyz", "\0a", None, "abracadabrab\u00fc"]
 
 
-def test_tree_like_the_definition():
-    training = [b"abracadabra", b"abacab", b"", "\u00fcb".encode()]
-    frequent = {b"bra", b"\0\0\0", b"aba", b"\0\0\0\0", b"abra"}
-    for kept in (set(), frequent, None):
-        t = tree(training, kept=kept)
-        inside = {c for c, _ in grams_of(training, 4)} if kept is None else kept
-        for text in (b"abra", b"", b"xyz", b"\0a"):
-            assert t.log10(text) == pytest.approx(direct(training, text, 4, inside), rel=1e-5)
+@pytest.mark.parametrize("share", [1 << 21, 8, 1])  # all grams looked up, some, none
+def test_tree_like_the_definition(spark, monkeypatch, share):
+    monkeypatch.setattr(lm, "GRAM_SHARE", share)
+    monkeypatch.setattr(lm, "CHUNK", 5)
+    monkeypatch.setattr(lm, "ROWS", 3)
+    texts = TRAINING + OTHERS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") < len(TRAINING)).collect()}
+    training = [t.encode() for t in TRAINING]
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(direct(training, (text or "").encode(), 4), rel=1e-5)
 
 
 def test_next_bytes_sum_to_one():
-    t = tree([b"hello world", b"help"])
-    for table in (t.table, t.order1):
-        assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
-
-
-def test_texts_of_a_block_are_apart():
-    t, texts = tree([b"some text here"]), [b"", b"some", b"text", b""]
-    assert t.log10_each(texts) == pytest.approx([t.log10(x) for x in texts])
+    counts = np.random.default_rng(5).integers(0, 9, (256, 256)).astype(float)
+    codes = (97 << 24 | 98 << 16) + np.arange(65536)  # the context ab, any byte, and all bytes after it
+    down = lm._from_root(counts, lm._weigh(lm._depths(codes, counts.ravel()))[0])
+    p = 10 ** lm._predict(codes, counts.ravel(), down).reshape(256, 256)
+    assert np.allclose(p.sum(1), 1, atol=1e-9)
+
+
+def test_tree_grows_with_the_text(spark):
+    """Every context that occurs has its grams, however rare it is."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(40))) for i in range(400)]
+    kept = []
+    for n in (100, 400):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        found = lm.gram_scores(lm.corpus_counts(df.select(F.lit(True).alias("trained"), "text")))
+        grams = {c + bytes([b]) for c, b in grams_of([t.encode() for _, t in rows[:n]], 4) if len(c) == 4}
+        assert {r.code.to_bytes(5, "big") for r in found.collect()} == grams
+        kept.append(len(grams))
+    assert kept[1] > 3 * kept[0]
+
+
+def test_texts_of_a_block_are_apart(spark):
+    texts = ["", "some", "text", "", "some text here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    together = {r.doc_id: r.score for r in lm.score_texts(df.coalesce(1), F.col("doc_id") == 4).collect()}
+    apart = {r.doc_id: r.score for r in lm.score_texts(df.repartition(5), F.col("doc_id") == 4).collect()}
+    assert together == pytest.approx(apart) and together[0] == together[3] > together[1]
 
 
 def test_edges(spark, monkeypatch):
