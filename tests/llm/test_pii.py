@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from tallyscope.llm import pii
 
@@ -128,3 +129,38 @@ def test_what_is_found_gives_more_contexts_away(spark):
     found = {r.doc_id: [s.kind for s in r.all_spans] for r in pii.find_pii(df).collect()}
     assert all(found[i] == [4] for i in range(5)) and all(found[100 + i] == [1] for i in range(60))
     assert found[380] == [4] and all(found[400 + i] == [] for i in range(40))
+
+
+def test_many_spans_in_one_text(spark):
+    """Time grows with the text: 200,000 spans in one row, of all kinds, overlapping and unknown ones."""
+    draw = random.Random(7)
+    kinds = ["a@b.co", "10.2.3.4", "4111111111111111", "+1 (743) 555-3824", "AC123456", "+378282246310005", "é😀 x"]
+    text = " ".join(draw.choice(kinds) for _ in range(330_000))
+    df = spark.createDataFrame([(1, text), (2, text[:3000])], "doc_id long, text string")
+    start = time.time()
+    found = spans_of(pii.find_pii(df).collect())
+    assert time.time() - start < 60
+    assert found == {1: brute(text), 2: brute(text[:3000])} and len(found[1]) > 200_000
+    start = time.time()
+    redacted = {r.doc_id: r.text for r in pii.redact_pii(df).collect()}
+    assert time.time() - start < 60
+    for i, whole in ((1, text), (2, text[:3000])):
+        out, at = [], 0
+        for a, kind, b in found[i]:
+            if a >= at:
+                out += [whole[at:a], f"<{pii.NAMES[kind].upper()}>"]
+            at = max(at, b)
+        assert redacted[i] == "".join(out) + whole[at:]
+
+
+def test_rounds_go_on_until_nothing_is_found(spark):
+    """A chain of contexts: each has 24 known identifiers, the unknown one of the context before, and one
+    more, which it gives away only once the other is known."""
+    rows = [f"plain order {900000 + i} paid" for i in range(300)]
+    rows += [f"the seed number {10 + i}.{i}.3.4 here" for i in range(30)] + ["the seed number Q1000 here"]
+    for link in range(5):
+        values = [f"{10 + i}.{i}.5.{link}" for i in range(24)] + [f"Q{1000 + link}", f"Q{1001 + link}"]
+        rows += [f"our item {'abcdefg'[link]}word {v} there" for v in values]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = pii.discovered(pii.base_spans(df, "doc_id", "text")).collect()
+    assert {(r.value, r["round"]) for r in found} == {(f"Q{1000 + i}", i + 1) for i in range(6)}
