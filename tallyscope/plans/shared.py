@@ -7,6 +7,7 @@ import contextlib
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_folder: str | None = None
-_written: dict[str, SparkSession] = {}
+_written: dict[str, tuple[SparkSession, int]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,21 +43,21 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFra
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _written[path] = spark
+    _written[path] = (spark, threading.get_ident())
     if paths is not None:
         paths.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def written_paths() -> set[str]:
-    """Folders of all written tables that are still there."""
-    return set(_written)
+    """Folders of the tables that this thread has written and that are still there."""
+    return {path for path, (_, thread) in list(_written.items()) if thread == threading.get_ident()}
 
 
 def discard(paths: list[str]) -> None:
     """Delete written tables; what was read from them cannot be read again."""
     for path in paths:
-        spark = _written.pop(path, None)
+        spark, _ = _written.pop(path, (None, 0))
         if spark is not None:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
