@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import local
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,15 @@ from tallyscope.llm import exact, language, packing, pii, simhash
 from tallyscope.llm.tables import fresh, written
 from tallyscope.plans.shared import discard, written_paths
 
-#: A text whose best language has a lower pooled probability than this is rejected, as is ``und``.
-LEAST_SCORE = 0.35
+#: A text is rejected, as is ``und``, if its best language has a pooled probability below this many times
+#: what each would have if they were all alike, or below ``ENOUGH`` where there are few languages. So a
+#: text of three languages in equal parts stays, however many languages there are.
+LEAST_TIMES = 1.2
+ENOUGH = 0.3
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Intermediate tables of the stage before; they are of no use once its result is written.
-_left: list[str] = []
+#: Intermediate tables of the stage before in this thread; they are of no use once its result is written.
+_left = local()
 
 
 def stage(function: Stage) -> Stage:
@@ -35,13 +39,14 @@ def stage(function: Stage) -> Stage:
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if function.__name__ == "identify_language":
-            _left.clear()
-        elif _left and not any(path.split(":")[-1] in file for file in docs.inputFiles() for path in _left):
-            discard(_left)
+        paths = getattr(_left, "paths", [])
+        if function.__name__ != "identify_language" and paths:
+            files = docs.inputFiles()
+            if not any(path.split(":")[-1] in file for file in files for path in paths):
+                discard(paths)
         before = written_paths()
         result = function(spark, docs, sf_dir)
-        _left.extend(written_paths() - before)
+        _left.paths = sorted(written_paths() - before)
         return result
 
     return run_stage
@@ -51,8 +56,10 @@ def stage(function: Stage) -> Stage:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and those of no language; learns from all labelled rows."""
     name, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    languages = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang").distinct().count()
+    least = min(ENOUGH, LEAST_TIMES / max(languages, 1))
     found = language.with_language(docs, F.lit(True), into=(name, score))
-    return found.where((F.col(name) != language.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(
+    return found.where((F.col(name) != language.UNDETERMINED) & (F.col(score) >= least)).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )
 

@@ -123,11 +123,12 @@ def _tokenizer(json_text: str, ranks: dict[bytes, int], pattern: str) -> Callabl
     key = zlib.crc32(json_text.encode())
     if key not in _tokenizers:
         full = Tokenizer.from_str(json_text)
-        full.encode_special_tokens = True
+        # Texts that spell a special token of the file get its id, as the tokenizer gives it.
+        special = [token.content for token in full.get_added_tokens_decoder().values()]
         fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if _RARE.search(text):
+            if _RARE.search(text) or any(s in text for s in special):
                 return full.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 

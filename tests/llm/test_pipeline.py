@@ -1,6 +1,7 @@
 """The stages against what they must keep, and the whole run."""
 
 import os
+import random
 
 import pytest
 
@@ -46,6 +47,22 @@ def test_stages_in_a_row(spark):
     assert runs.columns == docs.columns and runs.count() == docs.count()
 
 
+def test_documents_of_many_languages_stay(spark):
+    """Twelve languages, each of its own letters, and documents that mix three of them in equal parts."""
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéñøåçþ"
+    draw = random.Random(4)
+
+    def text_of(language):
+        return " ".join("".join(draw.choice(letters[3 * language : 3 * language + 3]) for _ in range(5)) for _ in range(30))
+
+    rows = [(i, text_of(i % 12), f"l{i % 12}") for i in range(240)]
+    rows += [(1000 + i, " ".join(text_of(x) for x in (i, (i + 4) % 12, (i + 8) % 12)), None) for i in range(12)]
+    rows += [(2000, "12 34", "l0"), (2001, None, "l0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows if r[0] < 2000}
+
+
 def test_every_stage_takes_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "12", "en", None, 2)]
     rows += [(10 + i, f"some plain words in a row number {i} mail a{i}@b.co", "en", "s", 9) for i in range(30)]
