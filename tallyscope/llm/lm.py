@@ -339,16 +339,34 @@ class Known:
     """Grams and words that are looked up in the tasks."""
 
     def __init__(self, words: pa.Table, grams: pa.Table):
-        order = np.argsort(grams["code"].to_numpy())
-        self.codes = np.append(grams["code"].to_numpy()[order], 1 << 62)
+        codes = grams["code"].to_numpy()
+        self.shift = np.uint64(64 - max(len(codes).bit_length(), 1))
+        buckets = self._bucket(codes)
+        order = np.argsort(buckets, kind="stable")
+        self.codes = np.append(codes[order], 1 << 62)
         self.scores = np.append(grams["score"].to_numpy()[order], 0).astype(np.float32)
+        self.starts = np.searchsorted(buckets[order], np.arange((1 << 64 - int(self.shift)) + 1)).astype(np.int32)
         self.words = dict(zip(words["item"].to_pylist(), np.log10(words["n"].to_numpy() + 1.0).tolist()))
 
+    def _bucket(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _places(self, grams: np.ndarray) -> np.ndarray:
+        """Where each gram is, or where some other one is; buckets hold one or two."""
+        bucket = self._bucket(grams)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        open_ = np.flatnonzero((self.codes[at] != grams) & (at + 1 < end))
+        while len(open_):
+            at[open_] += 1
+            here = at[open_]
+            open_ = open_[(self.codes[here] != grams[open_]) & (here + 1 < end[open_])]
+        return at
+
     def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text the sum of the scores of its known grams; text, code and number of the others."""
         data, kept = _joined(texts)
         grams = _grams(data)
-        at = np.searchsorted(self.codes, grams)
+        at = self._places(grams)
         found = kept & (self.codes[at] == grams)
         each = np.where(found, self.scores[at].astype(np.float64), 0)
         starts = np.cumsum([0] + [len(t) + DEPTH + 1 for t in texts[:-1]])
