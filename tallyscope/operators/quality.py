@@ -76,8 +76,8 @@ def duplicate_rows(
 ) -> DataFrame:
     """(keys, duplicate_rows): rows equal to an earlier row, nulls equal to each other.
 
-    Only row hashes are shuffled first. Rows are compared in full, and so exactly, only
-    where a hash occurs more than once.
+    Only digests are shuffled: 64-bit ones of all rows, and SHA-256 ones of those rows whose first
+    digest occurs more than once. No two different rows are known that share the latter.
     """
     t = table(df, by)
     columns = t.df.columns
@@ -94,7 +94,11 @@ def duplicate_rows(
         repeated = F.broadcast(repeated)
     # Without a repeated hash the table need not be read again.
     rows = rows.join(repeated, "__hash", "left_semi") if suspects else rows.where(F.lit(False))
-    copies = rows.groupBy(*[field(c) for c in columns]).agg((F.count(F.lit(1)) - 1).alias("n"))
+    # Every value with its length, so that rows read alike only if all their values are alike.
+    texts = [h.cast("string") for h in hashed]
+    spelled = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in texts]
+    whole = F.unhex(F.sha2(F.concat(*spelled), 256)).alias("__whole")
+    copies = rows.groupBy(*t.keys, whole).agg((F.count(F.lit(1)) - 1).alias("n"))
     counted = copies.groupBy(*t.keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"))
     if not t.by:
         return counted

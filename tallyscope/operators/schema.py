@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope import rules
-from tallyscope.plans.table import Fact, Table, exact_distinct, field, table
+from tallyscope.plans.table import Fact, Table, field, more_distinct_than, table
 
 
 def temporal_strings(t: Table, columns: list[str]) -> set[str]:
@@ -51,7 +51,7 @@ def infer_types(df: DataFrame | Table) -> dict[str, str]:
 
     An integer column can be an id only if it has more distinct values than half the
     rows. Where its range or its number of values already rules that out, and that is
-    nearly always, nothing is counted; the other columns are counted exactly.
+    nearly always, nothing is counted; the other columns are decided by bounded sets of hashes.
     """
     t = table(df)
     if "types" in t.__dict__:
@@ -85,11 +85,9 @@ def infer_types(df: DataFrame | Table) -> dict[str, str]:
             types[c] = "numeric"
 
     if undecided:
-        for c, distinct in exact_distinct(t, undecided).items():
-            many = distinct > rules.HIGH_CARDINALITY
-            types[c] = (
-                "id" if many and distinct / rows > rules.HIGH_CARDINALITY_RATIO else "numeric"
-            )
+        limit = max(rules.HIGH_CARDINALITY_RATIO * rows, rules.HIGH_CARDINALITY)
+        for c, many in more_distinct_than(t, undecided, limit).items():
+            types[c] = "id" if many else "numeric"
 
     strings = [c for c in rest if c not in types]
     counts = t.low_cardinality(strings, rules.HIGH_CARDINALITY)

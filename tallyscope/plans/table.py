@@ -24,6 +24,12 @@ HEAD_ROWS = 2000
 TOP_ROWS = 200
 # Leading values that decide on the format of dates in text.
 DATE_VALUES = 100
+# Hashes in a bounded set, as powers of two: fewer distinct values are counted, more are estimated.
+SET_BITS, WIDE_SET_BITS = 10, 14
+# An estimate decides only if it is this many standard errors away from what it is compared with.
+DEVIATIONS = 7
+# Sets of this many groups of tasks are merged before the last task merges theirs.
+SET_GROUPS = 64
 # Longer texts are compared by a 128-bit digest, so that they are not shuffled.
 DIGEST_LENGTH = 32
 
@@ -298,18 +304,21 @@ class Table:
     def low_cardinality(self, columns: Sequence[str], limit: int) -> dict[str, int | None]:
         """Exact distinct counts of the columns, or None where they exceed ``limit``.
 
-        Columns whose leading rows prove them larger never reach the exact count, so
-        long free text is not shuffled just to learn that it has many values.
+        Leading rows may prove a column larger; of all others each task keeps the least hashes, up
+        to a fixed number. A set that is not full holds all there are; a full one is proof of
+        more, wherever in the table they stand. No value is shuffled.
         """
         open_columns = [
             c
             for c in columns
-            if c not in self.distinct_counts and not self.surely_more_than(c, limit)
+            if (c not in self.distinct_counts or 1 << SET_BITS < self.distinct_counts[c] <= limit)
+            and not self.surely_more_than(c, limit)
         ]
         if open_columns and self.keep and set(open_columns) <= set(self.counted_columns()):
             self.distinct_counts.update(self._sizes())
         elif open_columns:
-            self.distinct_counts.update(exact_distinct(self, open_columns))
+            bits = max(SET_BITS, (limit + 1).bit_length())
+            self.distinct_counts.update(set_sizes(self, open_columns, bits))
         counts = {c: self.distinct_counts.get(c) for c in columns}
         return {c: n if n is not None and n <= limit else None for c, n in counts.items()}
 
@@ -346,6 +355,40 @@ def table(df: DataFrame | Table, by: Sequence[str] = ()) -> Table:
     return Table(df, by)
 
 
+def set_sizes(t: Table, columns: Sequence[str], bits: int) -> dict[str, int]:
+    """Number of distinct non-null values per column: exact up to 2**bits, beyond that an estimate with
+    a relative standard error of 2**(-bits/2), which is more than 2**bits too.
+
+    Values count by their 64-bit hashes. One scan for all columns; what is shuffled and kept has a
+    fixed size for each task and column.
+    """
+    if not columns:
+        return {}
+    hashed = [F.when(field(c).isNotNull(), F.xxhash64(field(c))) for c in columns]
+    sets = [F.theta_sketch_agg(h, F.lit(bits)).alias(f"s{i}") for i, h in enumerate(hashed)]
+    group = F.pmod(F.spark_partition_id(), F.lit(SET_GROUPS)).alias("tasks")
+    merged = t.df.groupBy(group).agg(*sets)
+    whole = merged.agg(
+        *[F.coalesce(F.theta_sketch_estimate(F.theta_union_agg(f"s{i}", F.lit(bits))), F.lit(0)) for i in range(len(columns))]
+    )
+    return dict(zip(columns, whole.first()))
+
+
+def more_distinct_than(t: Table, columns: Sequence[str], limit: float) -> dict[str, bool]:
+    """Whether a column of integers or texts has more distinct non-null values than this.
+
+    A bounded set settles it unless the number is close to the limit; only then it is counted.
+    """
+    margin = DEVIATIONS * 2 ** (-WIDE_SET_BITS / 2)
+    result, close = {}, []
+    for c, n in set_sizes(t, columns, WIDE_SET_BITS).items():
+        if n <= 1 << WIDE_SET_BITS or abs(n - limit) > margin * n:
+            result[c] = n > limit
+        else:
+            close.append(c)
+    return result | {c: n > limit for c, n in exact_distinct(t, close).items()}
+
+
 def exact_distinct(t: Table, columns: Sequence[str]) -> dict[str, int]:
     """Number of distinct non-null values per column, over the whole table (long texts: of their
     128-bit digests)."""

@@ -86,3 +86,19 @@ def test_per_group_with_a_null_key(spark):
 
 def test_sample_is_perfect(sales):
     assert ts.table_quality(sales).first()["overall_score"] == pytest.approx(1.0)
+
+
+def test_rows_read_alike_only_if_all_values_are(spark):
+    rows_ = [("1:a", None, 1.0), ("1", ":a", 1.0), ("", None, 0.0), (None, "", -0.0), ("-", None, None), (None, "-", None)]
+    rows_ += [("12:b", "-", 5.0), ("1", "2:b-", 5.0), ("", None, -0.0), (None, "-", None)]
+    df = spark.createDataFrame(rows_, "a string, b string, n double")
+    assert ts.duplicate_rows(df).first()["duplicate_rows"] == 2
+
+
+def test_a_table_of_copies_shuffles_digests_only(spark):
+    long = "concat('some long text of a row ', id % 500, repeat('x', 200))"
+    df = spark.range(50_000, numPartitions=6).selectExpr(f"{long} AS text", "id % 5 AS n")
+    found = ts.duplicate_rows(df)
+    assert found.first()["duplicate_rows"] == 49_500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any("text#" in line for line in plan.splitlines() if "Exchange" in line)

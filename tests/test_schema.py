@@ -1,6 +1,11 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 import tallyscope as ts
+from tallyscope.plans import table as plans_table
+from tallyscope.plans.table import set_sizes
 from tests.conftest import by_key, rows
 
 
@@ -106,3 +111,33 @@ def test_odd_column_names(spark):
     top = rows(ts.category_top_values(df), "rank")[0]
     assert (top["column"], top["value"], top["count"]) == ("quo'te`d", "it's", 30)
     assert ts.analyze(df, "quick")["findings"].count() > 0
+
+
+def test_texts_in_clusters_are_not_shuffled(spark, capfd):
+    """The first 2,000 rows are all alike, so only the whole table shows how many texts there are."""
+    texts = "IF(id < 20000, 'same text', concat('a long text of its own, more than thirty-two letters ', id))"
+    df = spark.range(60_000, numPartitions=4).selectExpr(f"{texts} AS free", "concat('c', id div 3000) AS few")
+    sizes = set_sizes(ts.Table(df), ["free", "few"], 10)
+    assert sizes["few"] == 20 and 1024 < sizes["free"] < 80_000
+    assert ts.infer_types(df) == {"free": "id", "few": "categorical"}
+    hashed = [F.theta_sketch_agg(F.xxhash64(c), F.lit(10)) for c in df.columns]
+    df.groupBy(F.spark_partition_id()).agg(*hashed).explain()
+    exchange = [line for line in capfd.readouterr().out.splitlines() if "Exchange" in line]
+    assert exchange and not any("free#" in line for line in exchange)
+
+
+@pytest.mark.parametrize("distinct", [4_900, 5_000, 5_001, 5_100, 9_999])
+def test_ids_around_half_the_rows(spark, distinct):
+    """Numbers that a bounded set cannot tell from half the rows are counted."""
+    df = spark.range(10_000, numPartitions=3).selectExpr(f"id % {distinct} * 7919 AS n")
+    for bits in (14, 6):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(plans_table, "WIDE_SET_BITS", bits)
+            assert ts.infer_types(df) == {"n": "id" if distinct > 5_000 else "numeric"}
+
+
+def test_set_sizes_are_exact_until_full(spark):
+    df = spark.range(50_000, numPartitions=7).selectExpr("id % 1000 AS a", "IF(id % 2 = 0, id % 300, NULL) AS b", "CAST(NULL AS INT) AS c", "id AS d")
+    found = set_sizes(ts.Table(df), ["a", "b", "c", "d"], 10)
+    assert (found["a"], found["b"], found["c"]) == (1000, 150, 0) and abs(found["d"] - 50_000) < 7 * 50_000 / 32
+    assert set_sizes(ts.Table(df.limit(0)), ["a"], 10) == {"a": 0}
