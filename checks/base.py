@@ -41,6 +41,16 @@ def stacked(source: str, columns: Sequence[str], keys: Sequence[str] = ()) -> st
     )
 
 
+def with_t_tail(source: str, columns: Sequence[str]) -> str:
+    """SQL for ``columns`` of ``source`` and p, the two-sided tail of Student's t for its columns t and v
+    (degrees of freedom): Simpson's rule over the density, at 4,000 steps from 0 to t."""
+    names = ", ".join(columns)
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    density = "exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi() * v) * pow(1 + pow(h * i, 2) / v, -(v + 1) / 2)"
+    return f"""SELECT {names}, greatest(0, 1 - 2 * any_value(h) / 3 * sum({weight} * {density})) AS p
+    FROM (SELECT *, least(abs(t), 40) / 4000 AS h FROM ({source})), range(0, 4001) AS s(i) GROUP BY {names}"""
+
+
 LINEITEM_NUMBERS = [
     ("l_orderkey", 0), ("l_partkey", 1), ("l_suppkey", 2), ("l_linenumber", 3),
     ("l_quantity", 4), ("l_extendedprice", 5), ("l_discount", 6), ("l_tax", 7),

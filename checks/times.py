@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tallyscope as ts
-from checks.base import Check, r, read, rounded
+from checks.base import Check, r, read, rounded, with_t_tail
 from pyspark.sql import functions as F
 
 GRAIN = """CASE WHEN d <= 1.5 THEN 'daily' WHEN d <= 8 THEN 'weekly' WHEN d <= 35 THEN 'monthly'
@@ -87,6 +87,19 @@ TREND_SQL = f"""WITH {series_cte('monthly', 'orders', 'o_orderdate', 'o_totalpri
         {r('regr_slope(value, x) / avg(value) * 100', 6)} AS slope_pct FROM y"""
 
 
+def fit_sql(grain: str, metric: str) -> str:
+    return f"""(WITH {series_cte(grain, 'orders', 'o_orderdate', metric)}
+    SELECT '{grain}' AS grain, '{metric}' AS metric, regr_slope(value, x) AS slope, count(*) - 2e0 AS v,
+        sqrt(regr_r2(value, x) * (count(*) - 2) / (1 - regr_r2(value, x))) AS t FROM y)"""
+
+
+FITS = " UNION ALL ".join(fit_sql(g, m) for g in PERIODS for m in ("o_orderkey", "o_custkey", "o_totalprice"))
+TREND_T = f"SELECT f.* FROM ({FITS}) f JOIN ({grain_sql('orders', 'o_orderdate')}) g ON f.grain = g.grain"
+SIGNIFICANCE_SQL = f"""SELECT metric, CASE WHEN p > 0.05 THEN 'stable' WHEN slope > 0 THEN 'increasing'
+        ELSE 'decreasing' END AS direction, {r('p', 6)} AS p_value
+    FROM ({with_t_tail(TREND_T, ["metric", "slope"])})"""
+
+
 def change(spark, sf):
     found = ts.trends(read(spark, sf, "orders"), metrics=["o_totalprice"], grain="quarterly")
     columns = ["current_period", "previous_period", "current_value", "previous_value", "change_pct"]
@@ -186,7 +199,8 @@ CHECKS = {
     "trend_significance": Check(
         lambda s, d: ts.trends(read(s, d, "orders")).select(
             "metric", "direction", F.round("p_value", 6).alias("p_value")
-        )
+        ),
+        SIGNIFICANCE_SQL,
     ),
     "time_profile_seasonal": Check(
         lambda s, d: rounded(ts.time_profile(seasonal(s, d)), cv=4), SEASON_SQL
