@@ -33,6 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = (spark, threading.get_ident())
+    return path
+
+
 def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives lost executors.
 
@@ -40,10 +47,9 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFra
     ``discard``; whatever is left goes when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    _written[path] = (spark, threading.get_ident())
     if paths is not None:
         paths.append(path)
     return spark.read.schema(schema).parquet(path)
