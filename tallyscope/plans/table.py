@@ -460,6 +460,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 # A per-group table is broadcast only when its bytes have been added up and are no more than this.
+# Spark would guess from the size of its files, which says little about the rows in memory.
 BROADCAST_BYTES = 32_000_000
 # Otherwise its rows are repeated this often, so that one hot group is shared by as many tasks.
 SALTS = 32
@@ -472,7 +473,7 @@ def with_group_values(
 
     Without group keys the single row of values is read back and becomes literals, so
     the scan keeps its shape. With keys, ``values`` is materialised and counted: a small
-    one is broadcast, a large one is joined on the keys plus a salt.
+    one is broadcast, a large one is joined on the keys plus a salt, always by sorting both sides.
     """
     keys = t.by if keys is None else list(keys)
     if not keys:
@@ -497,4 +498,4 @@ def with_group_values(
         "__salt", F.pmod(F.xxhash64(*[field(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
     )
     repeated = values.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return join_on(salted, repeated, [*keys, "__salt"]).drop("__salt")
+    return join_on(salted, repeated.hint("merge"), [*keys, "__salt"]).drop("__salt")

@@ -247,3 +247,26 @@ def two_sided(t, df):
     density = np.cos(angle) ** (df - 1)
     scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
     return 2 * scale * float(np.sum((density[1:] + density[:-1]) / 2) * (angle[1] - angle[0]))
+
+
+def grouped(spark, groups):
+    """(g, t, v): the days of each group, one row per day listed."""
+    start = dt.datetime(2020, 1, 1)
+    data = [(g, start + dt.timedelta(days=d), 1.0 + i) for g, days in groups.items() for i, d in enumerate(days)]
+    return spark.createDataFrame(data, "g string, t timestamp_ntz, v double").repartition(3)
+
+
+def test_values_of_many_groups_are_never_broadcast(spark, monkeypatch):
+    """A table of group values beyond the limit, repeated for each salt, looks small to Spark by its files."""
+    from tallyscope.plans import table as tables
+
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+    groups = {"a": [0, 7, 14], None: [0, 30, 60, 90], "busy": [0, 1] * 9}
+    df = grouped(spark, groups)
+    limits = spark.createDataFrame([(g, [float(len(d))]) for g, d in groups.items()], "g string, n array<double>")
+    found = tables.with_group_values(ts.Table(df, ["g"]), df, limits)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r["g"]), r["n"]) for r in found.collect()) == sorted(
+        (str(g), [float(len(d))]) for g, d in groups.items() for _ in d
+    )
+    assert {r["g"]: r["grain"] for r in ts.time_grain(df, "t", ["g"]).collect()} == {"a": "weekly", None: "monthly", "busy": "daily"}
