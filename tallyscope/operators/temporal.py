@@ -121,7 +121,7 @@ def time_grain(
     if left.isEmpty():
         return stats.select(*t.keys, "n", "first", "last", F.lit(GRAINS[0]).alias("grain"))
     rows = t.df.select(*t.keys, micros(t.moment(date_col)).alias("__at")).where("__at IS NOT NULL")
-    if t.by:
+    if t.by and not stats.where("crowded").isEmpty():
         rows = with_group_values(t, rows, left).drop("__open")
     medians = median_grain(gaps(rows, t.by, "__at"), t.by)
     if t.by:

@@ -270,3 +270,16 @@ def test_values_of_many_groups_are_never_broadcast(spark, monkeypatch):
         (str(g), [float(len(d))]) for g, d in groups.items() for _ in d
     )
     assert {r["g"]: r["grain"] for r in ts.time_grain(df, "t", ["g"]).collect()} == {"a": "weekly", None: "monthly", "busy": "daily"}
+
+
+def test_trends_without_crowded_groups_join_no_rows(spark, monkeypatch):
+    """Groups to leave out are looked for first: without any, rows are not joined with all groups."""
+    from tallyscope.operators import temporal
+
+    def joined(*_):
+        raise AssertionError("rows were joined")
+
+    monkeypatch.setattr(temporal, "with_group_values", joined)
+    df = grouped(spark, {"a": [0, 7, 14], None: [0, 30, 60, 90], "one": [5]})
+    found = {r["g"]: (r["periods"], r["current_value"]) for r in ts.trends(df, ["g"], "t", ["v"]).collect()}
+    assert found == {"a": (3, 3.0), None: (3, 7.0)}  # Jan 1 and 31, Mar 1 and 31
